@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ordered import prefix_scan
@@ -182,9 +183,11 @@ def last_writer_spans(
         pieces.select(key, "__tb", F.explode(F.array("start_ms", "end_ms")).alias("__cut"))
         .distinct()
     )
-    cells = prefix_scan(
-        cuts, [key, "__tb"], ["__cut"], F.lit(0), nexts={"__until": F.col("__cut")}
-    ).filter(F.col("__until").isNotNull())
+    # A bucket has at most bucket_ms + 1 distinct boundaries: a bounded window.
+    w = W.partitionBy(key, "__tb").orderBy("__cut")
+    cells = cuts.withColumn("__until", F.lead("__cut").over(w)).filter(
+        F.col("__until").isNotNull()
+    )
     return (
         pieces.join(cells, [key, "__tb"])
         .filter((F.col("__cut") >= F.col("start_ms")) & (F.col("__cut") < F.col("end_ms")))

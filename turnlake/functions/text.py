@@ -152,8 +152,7 @@ def fmt_duration(seconds: Column) -> Column:
 def episode_code(col: Column) -> Column:
     """struct(prefix, season, episode, variant) of the first SxxEyy; null when absent."""
     found = F.regexp_extract(col, EPISODE_CODE, 0)
-    at = F.locate
-    start = F.call_function("instr", col, found)
+    start = F.instr(col, found)
     prefix = F.regexp_replace(F.substring(col, F.lit(1), start - 1), r"[_\- ]+$", "")
     rest = F.substring(col, start + F.length(found), F.length(col))
     variant = F.nullif(F.regexp_replace(rest, r"^[_\- ]+", ""), F.lit(""))
@@ -212,15 +211,32 @@ def json_list_canon(col: Column) -> Column:
 
 
 def season_code(col: Column) -> Column:
-    n = F.try_cast(col, "int") if hasattr(F, "try_cast") else col.try_cast("int")
+    n = col.try_cast("int")
     return F.when(n.isNotNull(), F.concat(F.lit("S"), _pad(n, 2)))
 
 
 def parse_stamp(text: Column, epoch: Column | None = None) -> Column:
     """ISO text (``Z`` allowed) or epoch seconds -> timestamp; unreadable -> null."""
-    parsed = F.coalesce(
-        F.try_to_timestamp(F.replace(text, F.lit("Z"), F.lit("+00:00"))),
-    )
+    parsed = F.try_to_timestamp(F.replace(text, F.lit("Z"), F.lit("+00:00")))
     if epoch is None:
         return parsed
     return F.coalesce(parsed, F.timestamp_seconds(epoch))
+
+
+def fixed2(x: Column) -> Column:
+    """Two decimals, half up, by integer arithmetic (same digits on every engine)."""
+    v = F.floor(F.abs(x) * 100 + 0.5).cast("bigint")
+    sign = F.when((x < 0) & (v > 0), F.lit("-")).otherwise(F.lit(""))
+    return F.concat(sign, F.floor(v / 100).cast("string"), F.lit("."), _pad(v % 100, 2))
+
+
+def ms_fixed2(ms: Column) -> Column:
+    """Milliseconds as seconds with two decimals."""
+    v = F.floor((ms + 5) / 10).cast("bigint")
+    return F.concat(F.floor(v / 100).cast("string"), F.lit("."), _pad(v % 100, 2))
+
+
+def ms_fixed3(ms: Column) -> Column:
+    """Milliseconds as seconds with three decimals (exact)."""
+    v = ms.cast("bigint")
+    return F.concat(F.floor(v / 1000).cast("string"), F.lit("."), _pad(v % 1000, 3))

@@ -34,13 +34,17 @@ def build_session(app: str = "turnlake", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_FALLBACK: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints; a temp folder only where none is set."""
     named = spark.conf.get(CHECKPOINT_CONF, None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="turnlake-")
-        spark.conf.set(CHECKPOINT_CONF, named)
-    return named
+    if named:
+        return named
+    if not _FALLBACK:
+        _FALLBACK.append(tempfile.mkdtemp(prefix="turnlake-"))
+    return _FALLBACK[0]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
