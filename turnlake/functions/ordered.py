@@ -110,3 +110,19 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, r
     """First ``n`` rows per key.  Spark prunes to n per key before the shuffle, so hot keys are cheap."""
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
+
+
+def trailing(
+    df: DataFrame, keys: Sequence[str], t: str, span: int, bucket: int, aggs: Mapping[str, Column]
+) -> DataFrame:
+    """Aggregates over the rows of the last ``span`` units before each row (itself excluded).
+
+    Rows near the end of a bucket are repeated as a halo in the next ones, so each
+    (key, bucket) is complete on its own.
+    """
+    first = F.floor(F.col(t) / bucket).cast("bigint")
+    last = F.floor((F.col(t) + span) / bucket).cast("bigint")
+    haloed = df.withColumn(_B, F.explode(F.sequence(first, last)))
+    w = W.partitionBy(*keys, _B).orderBy(t).rangeBetween(-span, -1)
+    out = haloed.select("*", *[a.over(w).alias(name) for name, a in aggs.items()])
+    return out.filter(F.col(_B) == first).drop(_B)

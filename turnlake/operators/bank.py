@@ -7,11 +7,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.blocks import GROUP_ROWS, all_blocks, blocks_needed, hashed_block
-from ..functions.ordered import top_n
+from ..functions.intervals import floor_div
+from ..functions.ordered import prefix_scan, top_n
 from ..functions.text import blank_to_null, norm_key
 from .alignment import best_overlap
 
@@ -302,8 +302,10 @@ def assign_segments(segments: DataFrame, assignments: DataFrame) -> DataFrame:
         "episode_id", F.col("best.seg_id").alias("seg_id"), "ord", F.col("speaker").alias("__to")
     ).filter(F.col("seg_id").isNotNull())
     # Changes along the assignment list of one segment: neighbours that differ.
-    w = W.partitionBy("episode_id", "seg_id").orderBy("ord")
-    steps = hits.withColumn("__was", F.lag("__to").over(w))
+    steps = prefix_scan(
+        hits, ["episode_id", "seg_id"], ["ord"], floor_div(F.col("ord"), 4096),
+        prevs={"__was": F.col("__to")},
+    )
     agg = steps.groupBy("episode_id", "seg_id").agg(
         F.max_by("__to", "ord").alias("__to"),
         F.min_by("__to", "ord").alias("__first"),
@@ -453,15 +455,18 @@ def embed_clips(
     if fn is None:
         return clips.withColumn("vec", F.when(F.size(samples) > 0, default_vector(F.col(samples))))
 
+    def one(x):
+        if x is None or not len(x):
+            return None
+        try:
+            return np.asarray(fn(np.asarray(x)), dtype=float)
+        except Exception:  # an encoder failure rejects its clip, not the job
+            return None
+
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            vecs = [
-                None if x is None or not len(x) else np.asarray(fn(np.asarray(x)), dtype=float)
-                for x in batch[samples]
-            ]
-            yield batch.assign(vec=vecs)
+            yield batch.assign(vec=[one(x) for x in batch[samples]])
 
-    schema = clips.schema.simpleString()[len("struct<"):-1]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clips.schema.fields)
     return clips.mapInPandas(encode, f"{fields}, vec array<double>")
 
