@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.intervals import floor_div, last_writer_spans, overlap_pairs, union_length
 from ..functions.ordered import prefix_scan
@@ -73,7 +74,10 @@ def _edit_batch(refs: list[np.ndarray], hyps: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("struct<cost: bigint, dels: bigint>")
+_EDIT = T.StructType([T.StructField("cost", T.LongType()), T.StructField("dels", T.LongType())])
+
+
+@F.pandas_udf(_EDIT)
 def _edit_udf(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     out = np.zeros((len(ref), 2), dtype=np.int64)
     size = np.array([max(len(a), len(b)) for a, b in zip(ref, hyp)])
@@ -125,18 +129,21 @@ def edit_counts(pairs: DataFrame, keys: Sequence[str], tile: int = TILE) -> Data
         lambda b: F.struct(b.alias("b"), F.slice(col, b * tile + 1, tile).alias("toks")),
     )
     blocks = lambda col, n: far.select(*keys, F.inline(cut(col, n)))
-    return out.unionByName(edit_counts_blocks(blocks("__r", "__m"), blocks("__h", "__n"), keys))
+    return out.unionByName(
+        edit_counts_blocks(blocks("__r", "__m"), blocks("__h", "__n"), keys, tile)
+    )
 
 
-def edit_counts_blocks(ref: DataFrame, hyp: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """S, I, D, N from token blocks (keys.., b, toks), every block but the last of equal size.
+def edit_counts_blocks(
+    ref: DataFrame, hyp: DataFrame, keys: Sequence[str], tile: int = TILE
+) -> DataFrame:
+    """S, I, D, N from token blocks (keys.., b, toks) of ``tile`` tokens, the last one shorter.
 
     Tiles of one anti-diagonal are independent: they run as one Spark stage over
     all pairs, and only their edges (written to the shared folder) feed the next.
     The loop count is the longest diagonal, a single number; a side without any
     block is an empty text.
     """
-    k = F.struct(*keys)
     lens = lambda df, name: df.groupBy(*keys).agg(
         F.sum(F.size("toks")).alias(f"__len_{name}"), F.count(F.lit(1)).alias(f"__nb_{name}")
     )
@@ -151,17 +158,12 @@ def edit_counts_blocks(ref: DataFrame, hyp: DataFrame, keys: Sequence[str]) -> D
     waves = both.agg(F.max(F.col("__nb_r") + F.col("__nb_h") - 1)).first()[0]
     if waves is None:
         return trivial
-    tiles = (
-        both.join(ref.withColumnRenamed("b", "bi").withColumnRenamed("toks", "rt"), list(keys))
-        .join(hyp.withColumnRenamed("b", "bj").withColumnRenamed("toks", "ht"), list(keys))
-    ) if waves == 1 else None
     r = ref.select(*keys, F.col("b").alias("bi"), F.col("toks").alias("rt"))
     h = hyp.select(*keys, F.col("b").alias("bj"), F.col("toks").alias("ht"))
-    if tiles is None:
+    if waves > 1:
         r, h = settle(r, "edit-ref"), settle(h, "edit-hyp")
     ends = []
     edges = None
-    offset = F.lit(TILE)
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields if f.name in keys)
     schema = (
         f"{key_schema}, bi int, bj int, bottom_c array<int>, bottom_d array<int>, right_c array<int>, right_d array<int>"
@@ -197,7 +199,7 @@ def edit_counts_blocks(ref: DataFrame, hyp: DataFrame, keys: Sequence[str]) -> D
             work = work.join(top, [*keys, "bi", "bj"], "left").join(left, [*keys, "bi", "bj"], "left").select(
                 *keys, "bi", "bj", "rt", "ht", "top_c", "top_d", "left_c", "left_d"
             )
-        done = work.mapInPandas(_tile_runner(list(keys)), schema)
+        done = work.mapInPandas(_tile_runner(list(keys), tile), schema)
         edges = done if waves == 1 else settle(done, "edit-wave")
         last = edges.join(full, list(keys)).filter(
             (F.col("bi") == F.col("__nb_r") - 1) & (F.col("bj") == F.col("__nb_h") - 1)
@@ -216,22 +218,22 @@ def edit_counts_blocks(ref: DataFrame, hyp: DataFrame, keys: Sequence[str]) -> D
     return out
 
 
-def _tile_runner(keys: list[str]):
+def _tile_runner(keys: list[str], tile: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [_tile(row) for row in batch.itertuples(index=False)]
+            rows = [_tile(row, tile) for row in batch.itertuples(index=False)]
             out = pd.DataFrame(rows, columns=["bottom_c", "bottom_d", "right_c", "right_d"])
             yield pd.concat([batch[[*keys, "bi", "bj"]].reset_index(drop=True), out], axis=1)
 
     return run
 
 
-def _tile(row) -> tuple:
+def _tile(row, tile: int) -> tuple:
     """Edges of one tile.  Bottom and top include column 0, so they carry the corner."""
     _, codes = np.unique(np.concatenate([row.rt, row.ht]), return_inverse=True)
     ref = codes[: len(row.rt)].astype(np.int32)
     hyp = codes[len(row.rt) :].astype(np.int32)[None, :]
-    i0, j0 = int(row.bi) * TILE, int(row.bj) * TILE
+    i0, j0 = int(row.bi) * tile, int(row.bj) * tile
     h, w = len(ref), hyp.shape[1]
     if row.top_c is None:
         cost = np.arange(j0, j0 + w + 1, dtype=np.int32)[None, :]
