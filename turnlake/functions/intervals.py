@@ -143,7 +143,9 @@ def overlap_pairs(
     if once:
         cond = cond & (F.col("__tb") == floor_div(low, bucket_ms))
     joined = a.join(b, cond, how)
-    return joined.withColumn("overlap_ms", high - low).drop("__k", "__tb", "__rb", "__as", "__ae")
+    # least/greatest skip nulls: an unmatched row must not show an overlap.
+    length = F.when(F.col("b_start").isNotNull(), high - low)
+    return joined.withColumn("overlap_ms", length).drop("__k", "__tb", "__rb", "__as", "__ae")
 
 
 def union_length(spans: DataFrame, keys: Sequence[str], name: str = "length") -> DataFrame:

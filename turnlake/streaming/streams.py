@@ -93,13 +93,19 @@ def run_to_files(stream: DataFrame, out: str, checkpoint: str) -> None:
 
 
 def run_to_snapshot(stream: DataFrame, out: str, checkpoint: str, mode: str = "complete") -> None:
-    """Drain into a snapshot table that each micro-batch replaces (running totals)."""
+    """Drain into snapshots ``out/epoch=<n>``; a replayed epoch rewrites only its own folder."""
 
-    def replace(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     q = (
-        stream.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint)
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
         .outputMode(mode).trigger(availableNow=True).start()
     )
     q.awaitTermination()
+
+
+def latest_snapshot(spark: SparkSession, out: str) -> DataFrame:
+    snaps = spark.read.parquet(out)
+    newest = snaps.agg(F.max("epoch").alias("epoch"))
+    return snaps.join(newest, "epoch", "left_semi").drop("epoch")
