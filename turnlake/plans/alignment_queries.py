@@ -201,7 +201,7 @@ def talk_ranking(t):
     return N.talk_ranking(N.speaking_time(t.spoken))
 
 
-_SHOWS = "SELECT *, 'show'||(episode_id%5) AS "show", (episode_id//5)%4 AS season FROM speaking"
+_SHOWS = '''SELECT *, 'show'||(episode_id%5) AS "show", (episode_id//5)%4 AS season FROM speaking'''
 
 
 def _with_show(t):
