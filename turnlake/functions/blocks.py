@@ -26,4 +26,4 @@ def hashed_block(df: DataFrame, cols: Sequence[str], n: int, name: str) -> DataF
 
 
 def all_blocks(df: DataFrame, n: int, name: str) -> DataFrame:
-    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("int"))
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

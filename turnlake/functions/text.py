@@ -223,17 +223,37 @@ def parse_stamp(text: Column, epoch: Column | None = None) -> Column:
     return F.coalesce(parsed, F.timestamp_seconds(epoch))
 
 
+def _half_even(x: Column, digits: int) -> Column:
+    """x * 10^digits rounded half-even on the exact binary value, as BIGINT.
+
+    The product's rounding error is recovered by splitting x, so a value just off
+    a tie goes to its true side: the rule of correctly rounded decimal output.
+    """
+    scale = float(10**digits)
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    product = x * scale
+    error = (high * scale - product) + (x - high) * scale
+    low = F.floor(product)
+    half = product - low
+    up = (half > 0.5) | ((half == 0.5) & ((error > 0) | ((error == 0) & (low % 2 != 0))))
+    return low.cast("bigint") + F.when(up, 1).otherwise(0)
+
+
+def exact_round(x: Column, digits: int) -> Column:
+    """Decimal rounding, half to even on the binary value; infinities pass through."""
+    x = x.cast("double")
+    return F.when(F.abs(x) < 1e11, _half_even(x, digits) / float(10**digits)).otherwise(x)
+
+
 def fixed2(x: Column) -> Column:
-    """Two decimals, half up, by integer arithmetic (same digits on every engine)."""
-    v = F.floor(F.abs(x) * 100 + 0.5).cast("bigint")
-    sign = F.when((x < 0) & (v > 0), F.lit("-")).otherwise(F.lit(""))
-    return F.concat(sign, F.floor(v / 100).cast("string"), F.lit("."), _pad(v % 100, 2))
+    """Two decimals of a non-negative number."""
+    v = _half_even(x.cast("double"), 2)
+    return F.concat(F.floor(v / 100).cast("string"), F.lit("."), _pad(v % 100, 2))
 
 
 def ms_fixed2(ms: Column) -> Column:
     """Milliseconds as seconds with two decimals."""
-    v = F.floor((ms + 5) / 10).cast("bigint")
-    return F.concat(F.floor(v / 100).cast("string"), F.lit("."), _pad(v % 100, 2))
+    return fixed2(ms / 1000)
 
 
 def ms_fixed3(ms: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordered import top_n
+from ..functions.text import exact_round
 
 # Default API price and decision limits.
 USD_PER_MINUTE = 0.006
@@ -14,13 +15,13 @@ MUSIC_LIMIT, CLARITY_LIMIT, SNR_LIMIT, REVERB_LIMIT = 0.3, 0.6, 15.0, 0.5
 
 def rtf(processing_s: Column, audio_s: Column) -> Column:
     """Processing time over audio time, 4 digits; null when there is no audio."""
-    return F.when(audio_s > 0, F.round(processing_s / audio_s, 4))
+    return F.when(audio_s > 0, exact_round(processing_s / audio_s, 4))
 
 
 def estimate_cost(duration_s: Column, last_end_ms: Column, per_minute: float = USD_PER_MINUTE) -> Column:
     """Minutes x price, 4 digits; a missing duration is the last segment end; null when <= 0."""
     seconds = F.coalesce(duration_s, last_end_ms / 1000)
-    return F.when(seconds > 0, F.round(seconds / 60 * per_minute, 4))
+    return F.when(seconds > 0, exact_round(seconds / 60 * per_minute, 4))
 
 
 def cost_rollup(events: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.intervals import floor_div, last_writer_spans, overlap_pairs, union_length
 from ..functions.ordered import prefix_scan
-from ..functions.text import norm_text, norm_words, words_of
+from ..functions.text import exact_round, norm_text, norm_words, words_of
 from ..session import settle
 
 FRAME_MS = 10
@@ -259,7 +259,7 @@ def with_rates(counts: DataFrame) -> DataFrame:
     rate = F.when(
         F.col("num_words") > 0, F.col("num_errors") / F.col("num_words")
     ).otherwise(F.when(F.col("num_errors") == 0, 0.0).otherwise(float("inf")))
-    return counts.withColumn("wer", F.round(rate, 4)).withColumn("wer_pct", F.round(rate * 100, 2))
+    return counts.withColumn("wer", exact_round(rate, 4)).withColumn("wer_pct", exact_round(rate * 100, 2))
 
 
 def wer(pairs: DataFrame, keys: Sequence[str], ref: str = "ref_text", hyp: str = "hyp_text") -> DataFrame:
@@ -377,7 +377,7 @@ def der(ref: DataFrame, hyp: DataFrame, duration: DataFrame, order: str = "turn_
     return out.select(
         "episode_id", "total_frames", F.col("ref").alias("ref_frames"), miss.alias("missed"),
         fa.alias("false_alarm"), F.col("confused").alias("confusion"),
-        F.round(rate, 4).alias("der"), F.round(rate * 100, 2).alias("der_pct"),
+        exact_round(rate, 4).alias("der"), exact_round(rate * 100, 2).alias("der_pct"),
     )
 
 
@@ -395,7 +395,7 @@ def jer(ref: DataFrame, hyp: DataFrame) -> DataFrame:
     )
     episodes = ref.select("episode_id").union(hyp.select("episode_id")).distinct()
     rate = F.when(F.coalesce("u", F.lit(0)) > 0, 1 - F.col("i") / F.col("u")).otherwise(0.0)
-    return episodes.join(size, "episode_id", "left").select("episode_id", F.round(rate, 4).alias("jer"))
+    return episodes.join(size, "episode_id", "left").select("episode_id", exact_round(rate, 4).alias("jer"))
 
 
 def tick_sets(ref: DataFrame, hyp: DataFrame) -> DataFrame:
@@ -467,7 +467,7 @@ def eval_report(
 ) -> DataFrame:
     """clip x asr x dia with WER %, DER %, JER and the mean real-time factor per tool."""
     rtf = lambda stage, name: runtime.filter(F.col("stage") == stage).groupBy(F.col("tool").alias(name)).agg(
-        F.round(F.avg("rtf"), 4).alias(f"rtf_{name}")
+        exact_round(F.avg("rtf"), 4).alias(f"rtf_{name}")
     )
     return (
         grid.join(durations, "clip", "left")
@@ -477,7 +477,7 @@ def eval_report(
         .join(rtf("asr", "asr"), "asr", "left")
         .join(rtf("diarization", "dia"), "dia", "left")
         .select(
-            "clip", "asr", "dia", F.round(F.col("duration_ms") / 1000, 2).alias("duration"), "wer", "der", "jer",
+            "clip", "asr", "dia", exact_round(F.col("duration_ms") / 1000, 2).alias("duration"), "wer", "der", "jer",
             F.coalesce("rtf_asr", F.lit(0.0)).alias("rtf_asr"), F.coalesce("rtf_dia", F.lit(0.0)).alias("rtf_dia"),
         )
     )

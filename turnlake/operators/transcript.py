@@ -144,7 +144,8 @@ def dominant_speaker(aligned: DataFrame, prefer_longer: bool = True) -> DataFram
         F.sum(F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0))).alias("d"),
         F.count(F.lit(1)).alias("n"),
         F.min("word_idx").alias("i"),
-        F.sum(F.coalesce(F.col("prob"), F.lit(0.0))).alias("p"),
+        # Integer parts per billion: the mean does not depend on summation order.
+        F.sum(F.round(F.coalesce(F.col("prob"), F.lit(0.0)) * 1e9).cast("bigint")).alias("p"),
     )
     metric = F.col("d") if prefer_longer else F.col("n")
     pick = F.max_by(
@@ -153,7 +154,7 @@ def dominant_speaker(aligned: DataFrame, prefer_longer: bool = True) -> DataFram
     got = per.groupBy("episode_id", "seg_id").agg(
         pick.alias("w"),
         F.sum(F.when(known, F.col("d"))).alias("total"),
-        (F.sum("p") / F.sum("n")).alias("asr_conf"),
+        (F.sum("p") / 1e9 / F.sum("n")).alias("asr_conf"),
         F.sum("n").alias("n_words"),
     )
     share = F.when(F.col("total") > 0, F.col("w.d") / F.col("total"))

@@ -322,7 +322,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         min(word_idx) AS first_idx FROM aligned WHERE speaker<>'Unknown' GROUP BY ALL"""),
     "dom": (["mix", "aligned"], """SELECT a.episode_id, a.seg_id, coalesce(m.speaker,'Unknown') AS speaker,
         CASE WHEN m.speaker IS NULL THEN a.asr_conf ELSE m.dur_ms/m.total END AS speaker_conf, a.asr_conf, a.n_words
-        FROM (SELECT episode_id, seg_id, sum(prob)/count(*) AS asr_conf, count(*) AS n_words FROM aligned GROUP BY ALL) a
+        FROM (SELECT episode_id, seg_id, sum(round(prob*1e9)::BIGINT)::BIGINT/1e9/count(*) AS asr_conf, count(*) AS n_words FROM aligned GROUP BY ALL) a
         LEFT JOIN (SELECT *, sum(dur_ms) OVER (PARTITION BY episode_id, seg_id) AS total FROM mix
           QUALIFY row_number() OVER (PARTITION BY episode_id, seg_id ORDER BY dur_ms DESC, first_idx)=1) m
         USING (episode_id, seg_id)"""),

@@ -9,14 +9,28 @@ def ts(ms: str, sep: str = ".") -> str:
     )
 
 
+def half_even(x: str, digits: int) -> str:
+    """x * 10^digits, half-even on the exact binary value (product error by splitting)."""
+    x, m = f"({x})::DOUBLE", f"{10**digits}::DOUBLE"
+    high = f"({x}*134217729::DOUBLE-({x}*134217729::DOUBLE-{x}))"
+    err = f"(({high}*{m}-{x}*{m})+({x}-{high})*{m})"
+    half = f"({x}*{m}-floor({x}*{m}))"
+    odd = f"(floor({x}*{m})::BIGINT%2<>0)"
+    up = f"({half}>0.5 OR ({half}=0.5 AND ({err}>0 OR ({err}=0 AND {odd}))))"
+    return f"(floor({x}*{m})::BIGINT+CASE WHEN {up} THEN 1 ELSE 0 END)"
+
+
+def rnd(x: str, digits: int) -> str:
+    return f"({half_even(x, digits)}/{10**digits}::DOUBLE)"
+
+
 def fixed2(x: str) -> str:
-    v = f"(floor(abs({x})*100+0.5)::BIGINT)"
+    v = half_even(x, 2)
     return f"({v}//100)::VARCHAR||'.'||lpad(({v}%100)::VARCHAR,2,'0')"
 
 
 def ms2(ms: str) -> str:
-    v = f"((({ms})+5)//10)"
-    return f"({v}//100)::VARCHAR||'.'||lpad(({v}%100)::VARCHAR,2,'0')"
+    return fixed2(f"({ms})/1000")
 
 
 def ms3(ms: str) -> str:
