@@ -314,16 +314,32 @@ def speaker_tokens(words: DataFrame) -> DataFrame:
     )
 
 
-def token_blocks(tokens: DataFrame) -> DataFrame:
-    """Blocks of TILE tokens per episode: the group size is the block size."""
+def text_tokens(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Tokens of the joined segment texts of each key, with their position ``pos``."""
+    rows = segments.select(*keys, "seg_id", F.posexplode(norm_words(F.col("text"))).alias("i", "tok"))
+    return prefix_scan(
+        rows, keys, ["seg_id", "i"], floor_div(F.col("seg_id"), 1024), sums={"pos": F.lit(1).cast("bigint")}
+    )
+
+
+def token_blocks(tokens: DataFrame, keys: Sequence[str] = ("episode_id",)) -> DataFrame:
+    """Blocks of TILE tokens per key: the group size is the block size."""
     return (
         tokens.withColumn("b", floor_div(F.col("pos"), TILE).cast("int"))
-        .groupBy("episode_id", "b")
+        .groupBy(*keys, "b")
         .agg(F.array_sort(F.collect_list(F.struct("pos", F.xxhash64("tok").alias("t")))).alias("s"))
-        .select("episode_id", "b", F.col("s.t").alias("toks"))
+        .select(*keys, "b", F.col("s.t").alias("toks"))
     )
 
 
+def document_wer(ref: DataFrame, hyp: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """WER of whole documents given as (keys.., seg_id, text) rows, aligned end to end."""
+    counts = edit_counts_blocks(
+        token_blocks(text_tokens(ref, keys), keys), token_blocks(text_tokens(hyp, keys), keys), keys
+    )
+    return with_rates(counts)
+
+
 def cpwer(hyp_words: DataFrame, ref_words: DataFrame) -> DataFrame:
     """WER of speaker-grouped texts per episode; labels count as words.
 

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import QUERIES, Query
 
-MODULES = ("alignment_queries", "text_queries", "name_queries")
+MODULES = ("alignment_queries", "text_queries", "name_queries", "bank_queries", "scoring_queries")
 
 
 def all_queries() -> dict[str, Query]:
