@@ -6,7 +6,8 @@ from importlib import import_module
 
 from .registry import QUERIES, Query
 
-MODULES = ("alignment_queries", "text_queries", "name_queries", "bank_queries", "scoring_queries")
+MODULES = ("alignment_queries", "text_queries", "name_queries", "bank_queries", "scoring_queries",
+           "log_queries", "source_queries", "stream_queries")
 
 
 def all_queries() -> dict[str, Query]:

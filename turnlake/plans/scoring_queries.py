@@ -51,9 +51,15 @@ def wer_delta(t):
     return got.withColumn("wer", F.round("wer", 6)).withColumn("delta_pct", F.round("delta_pct", 6))
 
 
-@query("document_wer", "E13 C23")
+_DOC = edit_ctes(
+    f"SELECT episode_id AS k, flatten(list({norm_words('ref_text')} ORDER BY seg_id)) AS ref, flatten(list({norm_words('hyp_text')} ORDER BY seg_id)) AS hyp FROM hyp GROUP BY 1"
+)
+_COUNTS = "substitutions, insertions, deletions, num_words, num_errors"
+
+
+@query("document_wer", "E13 C23", f"SELECT k AS episode_id, {_COUNTS}, {_RATE} FROM counts", "hyp", _DOC, True)
 def document_wer(t):
-    """Whole-episode texts aligned in one matrix each, in tiles; brute force in the tests."""
+    """Whole-episode texts aligned in one matrix each, in tiles."""
     seg = t.hyp.select("episode_id", "seg_id", "ref_text", "hyp_text")
     return S.document_wer(
         seg.select("episode_id", "seg_id", F.col("ref_text").alias("text")),
@@ -61,9 +67,18 @@ def document_wer(t):
     )
 
 
-@query("cpwer", "E16 F2")
+def _spk(src: str, who: str) -> str:
+    return (
+        f"SELECT episode_id, list(tok ORDER BY speaker, start_ms, seg_id, word_idx) AS toks FROM (SELECT episode_id, {who} AS speaker, start_ms, seg_id, word_idx,"
+        f" array_to_string({norm_words('word')},' ') AS tok FROM {src} UNION ALL SELECT DISTINCT episode_id, {who}, -1, -1, -1, lower({who}) FROM {src}) WHERE tok<>'' GROUP BY 1"
+    )
+
+
+_CP = edit_ctes(f"SELECT r.episode_id AS k, r.toks AS ref, h.toks AS hyp FROM ({_spk('word', 'said_by')}) r JOIN ({_spk('aligned', 'speaker')}) h USING (episode_id)")
+
+
+@query("cpwer", "E16", f"SELECT k AS episode_id, {_COUNTS}, {_RATE} FROM counts", "word aligned", _CP, True)
 def cpwer(t):
-    """Whole-episode alignment; too slow in SQL, checked against brute force in the tests."""
     words = t.aligned.select("episode_id", "seg_id", "word_idx", "word", "start_ms", "speaker")
     ref = t.word.select("episode_id", "seg_id", "word_idx", "word", "start_ms", F.col("said_by").alias("speaker"))
     return S.cpwer(words, ref)

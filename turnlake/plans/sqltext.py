@@ -55,18 +55,19 @@ def edit_ctes(pairs: str) -> str:
     defined value; equal costs prefer match, substitution, deletion, insertion.
     """
     return f"""
- pairs AS MATERIALIZED ({pairs}),
+ pairs AS MATERIALIZED (SELECT row_number() OVER ()::INT AS id, * FROM ({pairs})),
+ rt AS MATERIALIZED (SELECT id, hash(unnest(ref)) AS r, unnest(range(1, len(ref)+1))::INT AS i FROM pairs),
  dp AS (
-  SELECT k, ref, hyp, 0 AS i, unnest(range(0, len(hyp)+1)) AS j, unnest(range(0, len(hyp)+1)) AS c, 0::BIGINT AS d FROM pairs
+  SELECT id, 0 AS i, j, CASE WHEN j>0 THEN hash(hyp[j]) END AS h, j AS c, 0 AS d FROM (SELECT id, hyp, unnest(range(0, len(hyp)+1))::INT AS j FROM pairs)
   UNION ALL
-  SELECT k, ref, hyp, i, j, c, last_value(path IGNORE NULLS) OVER (PARTITION BY k ORDER BY j ROWS UNBOUNDED PRECEDING) AS d FROM (
-   SELECT k, ref, hyp, i, j, c, CASE WHEN j=0 THEN i::BIGINT WHEN same OR c=gc+1 THEN gd WHEN c=uc+1 THEN ud+1 END AS path FROM (
-    SELECT *, min(x-j) OVER (PARTITION BY k ORDER BY j ROWS UNBOUNDED PRECEDING)+j AS c FROM (
-     SELECT k, ref, hyp, i, j, uc, ud, gc, gd, same, CASE WHEN j=0 THEN i WHEN same THEN gc ELSE least(gc,uc)+1 END AS x FROM (
-      SELECT k, ref, hyp, i+1 AS i, j, c AS uc, d AS ud, lag(c) OVER w AS gc, lag(d) OVER w AS gd, (j>0 AND ref[i+1]=hyp[j]) AS same
-      FROM dp WHERE i < len(ref) WINDOW w AS (PARTITION BY k ORDER BY j)))))
+  SELECT id, i, j, h, c, last_value(path IGNORE NULLS) OVER (PARTITION BY id ORDER BY j ROWS UNBOUNDED PRECEDING)::INT AS d FROM (
+   SELECT id, i, j, h, c, CASE WHEN j=0 THEN i WHEN same OR c=gc+1 THEN gd WHEN c=uc+1 THEN ud+1 END AS path FROM (
+    SELECT *, (min(x-j) OVER (PARTITION BY id ORDER BY j ROWS UNBOUNDED PRECEDING)+j)::INT AS c FROM (
+     SELECT id, i, j, h, uc, ud, gc, gd, same, CASE WHEN j=0 THEN i WHEN same THEN gc ELSE least(gc,uc)+1 END AS x FROM (
+      SELECT dp.id, rt.i, j, h, c AS uc, d AS ud, lag(c) OVER w AS gc, lag(d) OVER w AS gd, coalesce(r=h, false) AS same
+      FROM dp JOIN rt ON dp.id=rt.id AND rt.i=dp.i+1 WINDOW w AS (PARTITION BY dp.id ORDER BY j)))))
  ),
  counts AS (
   SELECT k, (c-(d+len(hyp)-len(ref))-d)::BIGINT AS substitutions, (d+len(hyp)-len(ref))::BIGINT AS insertions, d::BIGINT AS deletions,
-   len(ref)::BIGINT AS num_words, c::BIGINT AS num_errors FROM dp WHERE i=len(ref) AND j=len(hyp)
+   len(ref)::BIGINT AS num_words, c::BIGINT AS num_errors FROM dp JOIN pairs ON pairs.id=dp.id AND i=len(ref) AND j=len(hyp)
  )"""

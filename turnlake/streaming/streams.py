@@ -70,7 +70,9 @@ def first_owner(joined: DataFrame) -> DataFrame:
 
 def stream_mask_sessions(masks: DataFrame, gap_ms: int = 120, min_ms: int = 80, lateness: str = "10 minutes") -> DataFrame:
     """Live merging of masks: sessions whose gap counts from the end of each event."""
-    gap = F.concat((F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0)) + gap_ms).cast("string"), F.lit(" milliseconds"))
+    # Sessions that touch are merged, while a gap of exactly ``gap_ms`` must separate.
+    reach = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0)) + gap_ms - 1
+    gap = F.concat(reach.cast("string"), F.lit(" milliseconds"))
     stamped = masks.withColumn("ts", event_time(F.col("start_ms"))).withWatermark("ts", lateness)
     merged = stamped.groupBy("episode_id", "type", F.session_window("ts", gap)).agg(
         F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count(F.lit(1)).alias("members"),
