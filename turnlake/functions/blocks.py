@@ -27,3 +27,13 @@ def hashed_block(df: DataFrame, cols: Sequence[str], n: int, name: str) -> DataF
 
 def all_blocks(df: DataFrame, n: int, name: str) -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+
+def wide(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows for a compute-heavy step.
+
+    Such rows are few bytes but much work; left alone, adaptive execution would
+    coalesce them by size into a handful of tasks.
+    """
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)

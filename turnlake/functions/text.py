@@ -8,6 +8,7 @@ differ between regex engines.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -24,6 +25,11 @@ NOT_PREFIX_SAFE = r"[^A-Za-z0-9_-]+"
 UNKNOWN = "Unknown"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def blank_to_null(col: Column) -> Column:
     return F.nullif(F.trim(col), F.lit(""))
 
@@ -71,12 +77,17 @@ def norm_name(col: Column, case_sensitive: bool = False) -> Column:
         text = F.lower(text)
         source, target, longer = _fold_table()
         text = F.translate(text, source, target)
-        # Every expansion is one rare letter; test once before walking them.
-        rare = "[" + "".join(c for c, _ in longer) + "]"
-        spelled = text
-        for char, kept in longer:
-            spelled = F.replace(spelled, F.lit(char), F.lit(kept))
-        text = F.when(text.rlike(rare), spelled).otherwise(text)
+        # Sharp s is common; the other expansions are rare and tested for once.
+        text = F.replace(text, F.lit("ß"), F.lit("ss"))
+        rest = [(c, k) for c, k in longer if c != "ß"]
+
+        def expand(t: Column) -> Column:
+            spelled = t
+            for char, kept in rest:
+                spelled = F.replace(spelled, F.lit(char), F.lit(kept))
+            return F.when(t.rlike("[" + "".join(c for c, _ in rest) + "]"), spelled).otherwise(t)
+
+        text = let(text, expand)
     return F.regexp_replace(text, NOT_ALNUM, "")
 
 

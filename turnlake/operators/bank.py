@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.blocks import GROUP_ROWS, all_blocks, blocks_needed, hashed_block
+from ..functions.blocks import GROUP_ROWS, all_blocks, blocks_needed, hashed_block, wide
 from ..functions.intervals import floor_div
 from ..functions.ordered import prefix_scan, top_n
-from ..functions.text import blank_to_null, norm_key
+from ..functions.text import blank_to_null, let, norm_key
 from .alignment import best_overlap
 
 BANK_BLOCK = 4096
@@ -117,8 +117,8 @@ def match_bank(
         groups, "grp",
     )
     best = (
-        asked.groupBy("grp", "block")
-        .cogroup(cells.groupBy("grp", "block"))
+        wide(asked, "grp", "block").groupBy("grp", "block")
+        .cogroup(wide(cells, "grp", "block").groupBy("grp", "block"))
         .applyInPandas(_match_cell, "qid string, sim double, emb_id bigint")
     )
     info = stored.select("emb_id", "speaker_id", "display_name", "name_key", "created")
@@ -403,28 +403,39 @@ def clip_quality(samples: Column) -> Column:
             (a["c"] + F.when(F.abs(x.cast("double")) >= 0.99, 1).otherwise(0)).cast("bigint").alias("c"),
         ),
     )
-    mean, mean_q = sums["s"] / n, sums["q"] / n
-    rms = F.sqrt(mean_q)
-    std = F.sqrt(F.greatest(mean_q - mean * mean, F.lit(0.0)))
-    score = (
-        F.least(rms / 0.1, F.lit(1.0)) * 0.4
-        + F.greatest(F.lit(0.0), 1.0 - sums["c"] / n * 10) * 0.4
-        + F.least(std / 0.1, F.lit(1.0)) * 0.2
-    )
-    return F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).otherwise(F.lit(0.0))
+
+    def score(v: Column) -> Column:
+        mean, mean_q = v["s"] / n, v["q"] / n
+        std = F.sqrt(F.greatest(mean_q - mean * mean, F.lit(0.0)))
+        total = (
+            F.least(F.sqrt(mean_q) / 0.1, F.lit(1.0)) * 0.4
+            + F.greatest(F.lit(0.0), 1.0 - v["c"] / n * 10) * 0.4
+            + F.least(std / 0.1, F.lit(1.0)) * 0.2
+        )
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
+
+    return F.when(n > 0, let(sums, score)).otherwise(F.lit(0.0))
 
 
 def trim_silence(samples: Column, threshold_db: float = -40.0, min_samples: int = 0) -> Column:
     """First to last sample above the threshold; empty when none or the span is too short."""
     limit = F.lit(10 ** (threshold_db / 20.0))
+
+    def span(loud: Column) -> Column:
+        return F.struct(
+            F.array_position(loud, True).alias("first"),
+            (F.size(loud) + 1 - F.array_position(F.reverse(loud), True)).alias("last"),
+        )
+
+    def cut(at: Column) -> Column:
+        length = at["last"] - at["first"]
+        return F.when(
+            F.coalesce((at["first"] > 0) & (length >= min_samples), F.lit(False)),
+            F.slice(samples, F.greatest(at["first"], F.lit(1)).cast("int"), (F.greatest(length, F.lit(0)) + 1).cast("int")),
+        ).otherwise(F.slice(samples, 1, 0))
+
     loud = F.transform(samples, lambda x: F.abs(x.cast("double")) > limit)
-    first = F.array_position(loud, True)
-    last = F.size(loud) + 1 - F.array_position(F.reverse(loud), True)
-    ok = (first > 0) & (last - first >= min_samples)
-    return F.when(
-        F.coalesce(ok, F.lit(False)),
-        F.slice(samples, F.greatest(first, F.lit(1)).cast("int"), (F.greatest(last - first, F.lit(0)) + 1).cast("int")),
-    ).otherwise(F.slice(samples, 1, 0))
+    return let(let(loud, span), cut)
 
 
 def downsample(samples: Column, max_points: int = 5000) -> Column:

@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.blocks import BLOCK_ROWS, GROUP_ROWS, all_blocks, blocks_needed, hashed_block
+from ..functions.blocks import BLOCK_ROWS, all_blocks, blocks_needed, hashed_block, wide
 from ..functions.ordered import top_n
 from ..functions.text import LABEL_LINE, match_case, norm_name
 
+NAME_GROUP = 64  # one name against a block of candidates is milliseconds of work
+
 # Confidence and rank of each lookup kind.
 KIND_CONF = {"canonical": 1.0, "alias": 0.95, "misspelling": 0.9}
 KIND_RANK = {"canonical": 0, "alias": 1, "misspelling": 2}
@@ -158,14 +160,14 @@ def _ratio_cell(key, asked: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
 
 
 def _fuzzy_ratio(names: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
-    groups = blocks_needed(names, GROUP_ROWS // 10)
+    groups = blocks_needed(names, NAME_GROUP)
     asked = all_blocks(hashed_block(names.select("norm"), ["norm"], groups, "grp"), n, "block")
     cands = all_blocks(
         hashed_block(candidates.select("norm", "canonical", "ord"), ["norm"], n, "block"), groups, "grp"
     )
     return (
-        asked.groupBy("grp", "block")
-        .cogroup(cands.groupBy("grp", "block"))
+        wide(asked, "grp", "block").groupBy("grp", "block")
+        .cogroup(wide(cands, "grp", "block").groupBy("grp", "block"))
         .applyInPandas(_ratio_cell, "norm string, score double, ord bigint, canonical string")
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.blocks import wide
 from ..functions.intervals import floor_div, last_writer_spans, overlap_pairs, union_length
 from ..functions.ordered import prefix_scan
 from ..functions.text import exact_round, norm_text, norm_words, words_of
@@ -119,7 +120,7 @@ def edit_counts(pairs: DataFrame, keys: Sequence[str], tile: int = TILE) -> Data
         _tokens(F.col("ref_ws")).alias("__r"), _tokens(F.col("hyp_ws")).alias("__h"),
     )
     short = (F.col("__m") <= tile) & (F.col("__n") <= tile)
-    near = sized.filter(short).withColumn("__e", _edit_udf("__r", "__h"))
+    near = wide(sized.filter(short), *keys).withColumn("__e", _edit_udf("__r", "__h"))
     out = near.select(*keys, *_counts(F.col("__e.cost"), F.col("__e.dels"), F.col("__m"), F.col("__n")))
     if pairs.filter(F.greatest(F.size("ref_ws"), F.size("hyp_ws")) > tile).isEmpty():
         return out
@@ -199,7 +200,7 @@ def edit_counts_blocks(
             work = work.join(top, [*keys, "bi", "bj"], "left").join(left, [*keys, "bi", "bj"], "left").select(
                 *keys, "bi", "bj", "rt", "ht", "top_c", "top_d", "left_c", "left_d"
             )
-        done = work.mapInPandas(_tile_runner(list(keys), tile), schema)
+        done = wide(work, *keys, "bi").mapInPandas(_tile_runner(list(keys), tile), schema)
         edges = done if waves == 1 else settle(done, "edit-wave")
         last = edges.join(full, list(keys)).filter(
             (F.col("bi") == F.col("__nb_r") - 1) & (F.col("bj") == F.col("__nb_h") - 1)

@@ -15,6 +15,7 @@ from ..functions.text import (
     blank_to_null,
     fixed2,
     fmt_timestamp,
+    let,
     ms_fixed2,
     timestamp_suffix,
     words_of,
@@ -67,15 +68,19 @@ def synthesise_words(words: Column, text: Column, start: Column, end: Column, co
 
 def even_word_times(text: Column, start: Column, end: Column) -> Column:
     """Equal slots for whitespace tokens, nearest millisecond."""
-    ws = words_of(text)
-    n, span = F.size(ws), end - start
-    at = lambda i: start + F.floor((2 * i * span + n) / (2 * n)).cast("bigint")
-    return F.transform(
-        ws,
-        lambda w, i: F.struct(
-            w.alias("word"), at(i).alias("start_ms"), at(i + 1).alias("end_ms"), F.lit(1.0).alias("prob")
-        ),
-    )
+    span = end - start
+
+    def slots(ws: Column) -> Column:
+        n = F.size(ws)
+        at = lambda i: start + F.floor((2 * i * span + n) / (2 * n)).cast("bigint")
+        return F.transform(
+            ws,
+            lambda w, i: F.struct(
+                w.alias("word"), at(i).alias("start_ms"), at(i + 1).alias("end_ms"), F.lit(1.0).alias("prob")
+            ),
+        )
+
+    return let(words_of(text), slots)
 
 
 def normalise_segments(raw: DataFrame) -> DataFrame:
@@ -132,57 +137,63 @@ def speaker_mix(aligned: DataFrame) -> DataFrame:
     )
 
 
-def dominant_speaker(aligned: DataFrame, prefer_longer: bool = True) -> DataFrame:
-    """One speaker per segment.
+def segment_speakers(aligned: DataFrame, prefer_longer: bool = True, with_mix: bool = True) -> DataFrame:
+    """Dominant speaker, confidences, word count and (optionally) the mix per segment.
 
-    Longest duration (first heard on ties), confidence = its share, null when no
-    time was spoken; without ``prefer_longer`` the most words, confidence = mean
-    word probability.  Segments heard by nobody are ``Unknown``.
+    One pass over the words: per (segment, speaker) first, combined map-side, then
+    per segment over a handful of rows.  ``mix`` is null where nobody was heard.
     """
     known = F.col("speaker") != UNKNOWN
     per = aligned.groupBy("episode_id", "seg_id", "speaker").agg(
-        F.sum(F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0))).alias("d"),
-        F.count(F.lit(1)).alias("n"),
+        F.sum(F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0))).alias("dur_ms"),
+        F.count(F.lit(1)).alias("n_words"),
         F.min("word_idx").alias("i"),
         # Integer parts per billion: the mean does not depend on summation order.
         F.sum(F.round(F.coalesce(F.col("prob"), F.lit(0.0)) * 1e9).cast("bigint")).alias("p"),
     )
-    metric = F.col("d") if prefer_longer else F.col("n")
+    metric = F.col("dur_ms") if prefer_longer else F.col("n_words")
     pick = F.max_by(
-        F.struct("speaker", "d"), F.when(known, F.struct(metric.alias("m"), (-F.col("i")).alias("ni")))
+        F.struct("speaker", "dur_ms"), F.when(known, F.struct(metric.alias("m"), (-F.col("i")).alias("ni")))
     )
-    got = per.groupBy("episode_id", "seg_id").agg(
+    aggs = [
         pick.alias("w"),
-        F.sum(F.when(known, F.col("d"))).alias("total"),
-        (F.sum("p") / 1e9 / F.sum("n")).alias("asr_conf"),
-        F.sum("n").alias("n_words"),
-    )
-    share = F.when(F.col("total") > 0, F.col("w.d") / F.col("total"))
+        F.sum(F.when(known, F.col("dur_ms"))).alias("total"),
+        (F.sum("p") / 1e9 / F.sum("n_words")).alias("asr_conf"),
+        F.sum("n_words").alias("n"),
+    ]
+    if with_mix:
+        aggs.append(F.collect_list(F.when(known, F.struct("speaker", "dur_ms", "n_words"))).alias("mix"))
+    got = per.groupBy("episode_id", "seg_id").agg(*aggs)
+    share = F.when(F.col("total") > 0, F.col("w.dur_ms") / F.col("total"))
     conf = F.when(F.col("w").isNull(), F.col("asr_conf")).otherwise(
         share if prefer_longer else F.col("asr_conf")
     )
-    return got.select(
-        "episode_id",
-        "seg_id",
+    out = [
         F.coalesce("w.speaker", F.lit(UNKNOWN)).alias("speaker"),
         conf.alias("speaker_conf"),
-        "asr_conf",
-        "n_words",
-    )
+        F.col("asr_conf"),
+        F.col("n").alias("n_words"),
+    ]
+    if with_mix:
+        out.append(F.when(F.size("mix") > 0, F.array_sort("mix")).alias("mix"))
+    return got.select("episode_id", "seg_id", *out)
 
 
-def aligned_segments(segments: DataFrame, aligned: DataFrame) -> DataFrame:
-    """Segments with their dominant speaker, mix and counts."""
-    mix = (
-        speaker_mix(aligned)
-        .groupBy("episode_id", "seg_id")
-        .agg(F.array_sort(F.collect_list(F.struct("speaker", "dur_ms", "n_words"))).alias("mix"))
-    )
+def dominant_speaker(aligned: DataFrame, prefer_longer: bool = True) -> DataFrame:
+    """One speaker per segment.
+
+    Longest duration (first heard on ties), confidence = its share, null when no
+    time was spoken; without ``prefer_longer`` the most words, confidence = mean
+    word probability.  Segments heard by nobody are ``Unknown``.
+    """
+    return segment_speakers(aligned, prefer_longer, with_mix=False)
+
+
+def aligned_segments(segments: DataFrame, aligned: DataFrame, with_mix: bool = True) -> DataFrame:
+    """Segments with their dominant speaker, confidences, word count and mix."""
     drop = [c for c in ("speaker",) if c in segments.columns]
-    return (
-        segments.drop(*drop)
-        .join(dominant_speaker(aligned), ["episode_id", "seg_id"])
-        .join(mix, ["episode_id", "seg_id"], "left")
+    return segments.drop(*drop).join(
+        segment_speakers(aligned, with_mix=with_mix), ["episode_id", "seg_id"]
     )
 
 

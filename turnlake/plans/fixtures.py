@@ -101,7 +101,7 @@ class Tables:
     @cached_property
     def spoken(self) -> DataFrame:
         """Segments with the speaker of alignment and their word count."""
-        return aligned_segments(self.seg.drop("ws", "text"), self.aligned).select(
+        return aligned_segments(self.seg.drop("ws", "text"), self.aligned, with_mix=False).select(
             "episode_id", "seg_id", "speaker", "start_ms", "end_ms", "n_words"
         )
 

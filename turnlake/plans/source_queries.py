@@ -84,14 +84,14 @@ def read_rttm(t):
     W.write_rttm(t.turn_ovl, path)
     noise = t.turn_ovl.select(F.lit(";; comment line").alias("value"), F.col("episode_id"))
     noise.select("value").write.text(f"{path}-noise")
-    return R.read_rttm(t.spark, [f"{path}/*", f"{path}-noise"])
+    return R.read_rttm(t.spark, [path, f"{path}-noise"])
 
 
 @query("read_aligned", "A5 B5", """SELECT episode_id::VARCHAR AS episode_id, start_ms, end_ms, speaker, text, len(words)::BIGINT AS n_words, words[1].word AS first_word, words[-1].speaker AS last_speaker FROM aseg""", "aseg")
 def read_aligned(t):
     path = scratch_path(t.spark, "aligned")
     W.write_aligned(t.aseg, path)
-    got = R.read_aligned(t.spark, f"{path}/*")
+    got = R.read_aligned(t.spark, path)
     return got.select(
         "episode_id", "start_ms", "end_ms", "speaker", "text", F.size("words").cast("bigint").alias("n_words"),
         F.element_at("words", 1)["word"].alias("first_word"), F.element_at("words", -1)["speaker"].alias("last_speaker"),
@@ -181,7 +181,7 @@ def episode_catalog(t):
             F.when(F.col("episode_id") % 4 != 0, F.concat(F.lit("show"), (F.col("episode_id") % 5).cast("string"))).alias("show_slug"),
             F.concat(F.lit("S01E"), (F.col("episode_id") % 60).cast("string")).alias("episode_id"))).alias("value"),
     )
-    docs.drop("pad").write.partitionBy("show", "dir").text(path)
+    docs.drop("pad").repartition("dir").write.partitionBy("show", "dir").text(path)
     meta = (
         t.spark.read.schema(R.METADATA).json(f"{path}/*/*/*.txt").withColumn("path", F.input_file_name())
     )

@@ -17,14 +17,22 @@ def _seconds(ms: Column) -> Column:
     return ms / F.lit(1000.0)
 
 
-def write_lines(lines: DataFrame, path: str, order: list[str], text: str = "line") -> None:
-    """One text document per episode below ``path``/episode_id=<id>/."""
+def write_lines(
+    lines: DataFrame, path: str, order: list[str], text: str = "line", per_episode: bool = True
+) -> None:
+    """Ordered text: one folder per episode, or one set of part files for all.
+
+    Lines that name their episode (RTTM) need no folder each; a large corpus is
+    then a number of even part files instead of one small file per recording.
+    """
     keys = ["episode_id", *order]
-    (
-        lines.repartitionByRange(*keys).sortWithinPartitions(*keys)
-        .select("episode_id", F.col(text).alias("value"))
-        .write.partitionBy("episode_id").text(path)
+    rows = lines.repartitionByRange(*keys).sortWithinPartitions(*keys).select(
+        "episode_id", F.col(text).alias("value")
     )
+    if per_episode:
+        rows.write.partitionBy("episode_id").text(path)
+    else:
+        rows.select("value").write.text(path)
 
 
 def aligned_records(segments: DataFrame) -> DataFrame:
@@ -39,8 +47,13 @@ def aligned_records(segments: DataFrame) -> DataFrame:
     )
 
 
-def write_aligned(segments: DataFrame, path: str) -> None:
-    aligned_records(segments).withColumn("episode_id", F.col("file")).write.partitionBy("episode_id").json(path)
+def write_aligned(segments: DataFrame, path: str, per_episode: bool = False) -> None:
+    """JSON lines in (episode, start) order; every record names its episode."""
+    rows = aligned_records(segments).repartitionByRange("file", "start").sortWithinPartitions("file", "start")
+    if per_episode:
+        rows.withColumn("episode_id", F.col("file")).write.partitionBy("episode_id").json(path)
+    else:
+        rows.write.json(path)
 
 
 def rttm_lines(turns: DataFrame) -> DataFrame:
@@ -52,8 +65,8 @@ def rttm_lines(turns: DataFrame) -> DataFrame:
     return turns.select("episode_id", "start_ms", "end_ms", line.alias("line"))
 
 
-def write_rttm(turns: DataFrame, path: str) -> None:
-    write_lines(rttm_lines(turns), path, ["start_ms", "end_ms"])
+def write_rttm(turns: DataFrame, path: str, per_episode: bool = False) -> None:
+    write_lines(rttm_lines(turns), path, ["start_ms", "end_ms"], per_episode=per_episode)
 
 
 def write_csv(table: DataFrame, path: str) -> None:
