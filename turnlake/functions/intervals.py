@@ -148,37 +148,51 @@ def overlap_pairs(
     return joined.withColumn("overlap_ms", length).drop("__k", "__tb", "__rb", "__as", "__ae")
 
 
-def union_length(spans: DataFrame, keys: Sequence[str], name: str = "length") -> DataFrame:
-    """Total length of the union of spans per key, by one running maximum of ends."""
+def union_lengths(spans: DataFrame, keys: Sequence[str], side: str, sides: Sequence[str]) -> DataFrame:
+    """Length of the union of spans per key: for each side (``len_<side>``) and for all (``len_all``).
+
+    One scan carries the furthest end seen, per side and overall; a span adds what
+    lies beyond it.
+    """
     folded = (
         spans.filter(F.col("start_ms") < F.col("end_ms"))
-        .groupBy(*keys, "start_ms")
+        .groupBy(*keys, "start_ms", side)
         .agg(F.max("end_ms").alias("end_ms"))
     )
+    mine = lambda s: F.when(F.col(side) == s, F.col("end_ms"))
     scanned = prefix_scan(
         folded,
         keys,
-        ["start_ms"],
+        ["start_ms", side],
         floor_div(F.col("start_ms"), SCAN_MS),
-        maxes={"__reach": F.col("end_ms")},
+        maxes={"__all": F.col("end_ms"), **{f"__{s}": mine(s) for s in sides}},
+    )
+    beyond = lambda reach: F.greatest(
+        F.lit(0), F.col("end_ms") - F.greatest(F.col("start_ms"), F.col(reach))
     )
-    piece = F.greatest(
-        F.lit(0), F.col("end_ms") - F.greatest(F.col("start_ms"), F.col("__reach"))
+    return scanned.groupBy(*keys).agg(
+        F.sum(beyond("__all")).alias("len_all"),
+        *[F.sum(F.when(F.col(side) == s, beyond(f"__{s}")).otherwise(0)).alias(f"len_{s}") for s in sides],
     )
-    return scanned.groupBy(*keys).agg(F.sum(piece).alias(name))
 
 
-def last_writer_spans(
-    turns: DataFrame, key: str = "episode_id", order: str = "ord", bucket_ms: int = BUCKET_MS
+def last_writer_cells(
+    turns: DataFrame,
+    side: str,
+    sides: Sequence[str],
+    key: str = "episode_id",
+    order: str = "ord",
+    bucket_ms: int = BUCKET_MS,
 ) -> DataFrame:
-    """Disjoint spans where the row with the highest ``order`` overwrites the others.
+    """Elementary spans with the last writer (highest ``order``) of each side in ``who_<side>``.
 
-    Spans are cut at bucket edges and folded, then each bucket is cut at its own
-    boundaries and every elementary piece keeps its last writer.
+    Spans are cut at bucket edges and folded, each bucket is cut at its own
+    boundaries, and every piece between two boundaries keeps its last writer per
+    side.  Stretches nobody covers are absent.
     """
     pieces = (
-        clip_to_bucket(turns.select(key, "start_ms", "end_ms", "speaker", order), bucket_ms)
-        .groupBy(key, "__tb", "start_ms", "end_ms")
+        clip_to_bucket(turns.select(key, "start_ms", "end_ms", "speaker", order, side), bucket_ms)
+        .groupBy(key, "__tb", "start_ms", "end_ms", side)
         .agg(F.max(F.struct(F.col(order).alias("o"), F.col("speaker").alias("speaker"))).alias("__w"))
     )
     cuts = (
@@ -193,12 +207,6 @@ def last_writer_spans(
     return (
         pieces.join(cells, [key, "__tb"])
         .filter((F.col("__cut") >= F.col("start_ms")) & (F.col("__cut") < F.col("end_ms")))
-        .groupBy(key, "__tb", "__cut", "__until")
-        .agg(F.max("__w").alias("__w"))
-        .select(
-            key,
-            F.col("__cut").alias("start_ms"),
-            F.col("__until").alias("end_ms"),
-            F.col("__w.speaker").alias("speaker"),
-        )
+        .groupBy(key, F.col("__cut").alias("start_ms"), F.col("__until").alias("end_ms"))
+        .agg(*[F.max(F.when(F.col(side) == s, F.col("__w")))["speaker"].alias(f"who_{s}") for s in sides])
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.blocks import wide
-from ..functions.intervals import floor_div, last_writer_spans, overlap_pairs, union_length
+from ..functions.intervals import floor_div, last_writer_cells, union_lengths
 from ..functions.ordered import prefix_scan
 from ..functions.text import exact_round, norm_text, norm_words, words_of
 from ..session import settle
@@ -145,24 +145,22 @@ def edit_counts_blocks(
     The loop count is the longest diagonal, a single number; a side without any
     block is an empty text.
     """
-    lens = lambda df, name: df.groupBy(*keys).agg(
-        F.sum(F.size("toks")).alias(f"__len_{name}"), F.count(F.lit(1)).alias(f"__nb_{name}")
+    r = settle(ref.select(*keys, F.col("b").alias("bi"), F.col("toks").alias("rt")), "edit-ref")
+    h = settle(hyp.select(*keys, F.col("b").alias("bj"), F.col("toks").alias("ht")), "edit-hyp")
+    lens = lambda df, col, name: df.groupBy(*keys).agg(
+        F.sum(F.size(col)).alias(f"__len_{name}"), F.count(F.lit(1)).alias(f"__nb_{name}")
     )
-    size = lens(ref, "r").join(lens(hyp, "h"), list(keys), "full_outer").na.fill(0)
+    size = lens(r, "rt", "r").join(lens(h, "ht", "h"), list(keys), "full_outer").na.fill(0)
     one = size.filter((F.col("__len_r") == 0) | (F.col("__len_h") == 0))
     trivial = one.select(
         *keys, F.lit(0).cast("bigint").alias("substitutions"),
         F.col("__len_h").alias("insertions"), F.col("__len_r").alias("deletions"),
         F.col("__len_r").alias("num_words"), (F.col("__len_h") + F.col("__len_r")).alias("num_errors"),
     )
-    both = settle(size.filter((F.col("__len_r") > 0) & (F.col("__len_h") > 0)), "edit-size")
+    both = size.filter((F.col("__len_r") > 0) & (F.col("__len_h") > 0))
     waves = both.agg(F.max(F.col("__nb_r") + F.col("__nb_h") - 1)).first()[0]
     if waves is None:
         return trivial
-    r = ref.select(*keys, F.col("b").alias("bi"), F.col("toks").alias("rt"))
-    h = hyp.select(*keys, F.col("b").alias("bj"), F.col("toks").alias("ht"))
-    if waves > 1:
-        r, h = settle(r, "edit-ref"), settle(h, "edit-hyp")
     ends = []
     edges = None
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields if f.name in keys)
@@ -371,64 +369,51 @@ def der(ref: DataFrame, hyp: DataFrame, duration: DataFrame, order: str = "turn_
     beyond it do not count.
     """
     frames = duration.select("episode_id", floor_div(F.col("duration_ms"), FRAME_MS).alias("total_frames"))
-
-    def flat(df: DataFrame) -> DataFrame:
-        spans = _in_units(df, FRAME_MS, order).join(frames, "episode_id")
-        inside = spans.withColumn("end_ms", F.least("end_ms", "total_frames")).drop("total_frames")
-        return last_writer_spans(inside, bucket_ms=FRAME_BUCKET)
-
-    r, h = flat(ref), flat(hyp)
-    length = F.sum(F.col("end_ms") - F.col("start_ms"))
-    both = overlap_pairs(r, h, ["speaker"], bucket_ms=FRAME_BUCKET).groupBy("episode_id").agg(
-        F.sum("overlap_ms").alias("both"),
-        F.sum(F.when(F.col("speaker") != F.col("b_speaker"), F.col("overlap_ms")).otherwise(0)).alias("confused"),
+    sides = _in_units(ref, FRAME_MS, order).withColumn("side", F.lit("r")).unionByName(
+        _in_units(hyp, FRAME_MS, order).withColumn("side", F.lit("h"))
     )
-    out = (
-        frames.join(r.groupBy("episode_id").agg(length.alias("ref")), "episode_id", "left")
-        .join(h.groupBy("episode_id").agg(length.alias("hyp")), "episode_id", "left")
-        .join(both, "episode_id", "left")
-        .na.fill(0)
+    inside = sides.join(frames, "episode_id").withColumn("end_ms", F.least("end_ms", "total_frames")).drop(
+        "total_frames"
     )
-    miss, fa = F.col("ref") - F.col("both"), F.col("hyp") - F.col("both")
-    rate = F.when(F.col("ref") > 0, (miss + fa + F.col("confused")) / F.col("ref")).otherwise(0.0)
-    return out.select(
-        "episode_id", "total_frames", F.col("ref").alias("ref_frames"), miss.alias("missed"),
-        fa.alias("false_alarm"), F.col("confused").alias("confusion"),
-        exact_round(rate, 4).alias("der"), exact_round(rate * 100, 2).alias("der_pct"),
+    cells = last_writer_cells(inside, "side", ["r", "h"], bucket_ms=FRAME_BUCKET)
+    n = F.col("end_ms") - F.col("start_ms")
+    r, h = F.col("who_r"), F.col("who_h")
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
+    sums = cells.groupBy("episode_id").agg(
+        total(r.isNotNull()).alias("ref_frames"),
+        total(r.isNotNull() & h.isNull()).alias("missed"),
+        total(r.isNull() & h.isNotNull()).alias("false_alarm"),
+        total(r != h).alias("confusion"),
     )
+    out = frames.join(sums, "episode_id", "left").na.fill(0)
+    wrong = F.col("missed") + F.col("false_alarm") + F.col("confusion")
+    rate = F.when(F.col("ref_frames") > 0, wrong / F.col("ref_frames")).otherwise(0.0)
+    return out.withColumn("der", exact_round(rate, 4)).withColumn("der_pct", exact_round(rate * 100, 2))
 
 
 def jer(ref: DataFrame, hyp: DataFrame) -> DataFrame:
     """1 - intersection/union of (100 ms tick, speaker) sets, from lengths of span unions."""
-    r, h = _in_units(ref, TICK_MS), _in_units(hyp, TICK_MS)
-    keys = ["episode_id", "speaker"]
-    size = (
-        union_length(r.unionByName(h), keys, "u")
-        .join(union_length(r, keys, "r"), keys, "left")
-        .join(union_length(h, keys, "h"), keys, "left")
-        .na.fill(0)
-        .groupBy("episode_id")
-        .agg(F.sum("u").alias("u"), F.sum(F.col("r") + F.col("h") - F.col("u")).alias("i"))
-    )
+    sizes = tick_sets(ref, hyp)
     episodes = ref.select("episode_id").union(hyp.select("episode_id")).distinct()
-    rate = F.when(F.coalesce("u", F.lit(0)) > 0, 1 - F.col("i") / F.col("u")).otherwise(0.0)
-    return episodes.join(size, "episode_id", "left").select("episode_id", exact_round(rate, 4).alias("jer"))
+    rate = F.when(
+        F.coalesce("all_ticks", F.lit(0)) > 0, 1 - F.col("common_ticks") / F.col("all_ticks")
+    ).otherwise(0.0)
+    return episodes.join(sizes, "episode_id", "left").select("episode_id", exact_round(rate, 4).alias("jer"))
 
 
 def tick_sets(ref: DataFrame, hyp: DataFrame) -> DataFrame:
-    """Sizes of the tick sets per episode: reference, hypothesis, intersection, union."""
-    r, h = _in_units(ref, TICK_MS), _in_units(hyp, TICK_MS)
-    keys = ["episode_id", "speaker"]
-    return (
-        union_length(r.unionByName(h), keys, "u")
-        .join(union_length(r, keys, "r"), keys, "left")
-        .join(union_length(h, keys, "h"), keys, "left")
-        .na.fill(0)
-        .groupBy("episode_id")
-        .agg(
-            F.sum("r").alias("ref_ticks"), F.sum("h").alias("hyp_ticks"),
-            F.sum(F.col("r") + F.col("h") - F.col("u")).alias("common_ticks"), F.sum("u").alias("all_ticks"),
-        )
+    """Sizes of the tick sets per episode: reference, hypothesis, intersection, union.
+
+    |A and B| = |A| + |B| - |A or B|, each the length of a union of spans.
+    """
+    sides = _in_units(ref, TICK_MS).withColumn("side", F.lit("r")).unionByName(
+        _in_units(hyp, TICK_MS).withColumn("side", F.lit("h"))
+    )
+    size = union_lengths(sides, ["episode_id", "speaker"], "side", ["r", "h"])
+    return size.groupBy("episode_id").agg(
+        F.sum("len_r").alias("ref_ticks"), F.sum("len_h").alias("hyp_ticks"),
+        F.sum(F.col("len_r") + F.col("len_h") - F.col("len_all")).alias("common_ticks"),
+        F.sum("len_all").alias("all_ticks"),
     )
 
 

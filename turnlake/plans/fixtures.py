@@ -16,8 +16,10 @@ from ..functions.ordered import prefix_scan
 from ..functions.text import words_of
 from ..operators.alignment import align_midpoint
 from ..operators.transcript import aligned_segments
+from ..session import settle
 
 WORD_MS = 400
+_STAGED: dict[tuple[str, str], DataFrame] = {}
 
 
 class Tables:
@@ -31,6 +33,16 @@ class Tables:
 
     @cached_property
     def seg(self) -> DataFrame:
+        """Timed segments, staged once per application as the table the operators expect.
+
+        Real inputs are such tables already; only these test data must be derived.
+        """
+        key = (self.spark.sparkContext.applicationId, self.dir)
+        if key not in _STAGED:
+            _STAGED[key] = settle(self._derive_seg(), "segments")
+        return _STAGED[key]
+
+    def _derive_seg(self) -> DataFrame:
         base = self.raw("conversations").select(
             F.col("conv_id").alias("episode_id"), F.col("turn").alias("seg_id"), F.col("role").alias("speaker"),
             "text", words_of(F.col("text")).alias("ws"),
