@@ -127,19 +127,20 @@ def dual_source(aligned: DataFrame, prefer: str = "vocals") -> DataFrame:
 
 
 def cast_snapshot(cast: DataFrame, previous: DataFrame | None = None) -> DataFrame:
-    """Canonical names per show and season in cast order, with a changed flag."""
-    now = (
-        cast.filter(F.trim("canonical") != "")
-        .groupBy("show", "season")
-        .agg(F.array_sort(F.collect_list(F.struct("ord", F.trim("canonical").alias("name")))).alias("s"))
-        .select(
-            "show", "season", F.concat(F.lit("S"), F.format_string("%02d", "season")).alias("season_code"),
-            F.array_join(F.col("s.name"), ",").alias("names"),
-        )
-    )
+    """Canonical names per show and season, one row per place in the cast.
+
+    ``changed`` tells whether the show's season differs anywhere from the previous
+    snapshot (same layout); a season without one has changed.  Places are compared
+    row by row, so no list is built.
+    """
+    keys = ["show", "season"]
+    now = cast.select(*keys, "ord", F.trim("canonical").alias("canonical")).filter(F.col("canonical") != "")
     if previous is None:
-        return now.withColumn("changed", F.lit(True))
-    old = previous.select("show", "season", F.col("names").alias("__old"))
-    return now.join(old, ["show", "season"], "left").withColumn(
-        "changed", ~F.col("names").eqNullSafe(F.col("__old"))
-    ).drop("__old")
+        changed = now.select(*keys).distinct().withColumn("changed", F.lit(True))
+    else:
+        old = previous.select(*keys, "ord", F.col("canonical").alias("__old"))
+        changed = now.join(old, [*keys, "ord"], "full_outer").groupBy(*keys).agg(
+            F.bool_or(~F.col("canonical").eqNullSafe(F.col("__old"))).alias("changed")
+        )
+    code = F.concat(F.lit("S"), F.format_string("%02d", "season"))
+    return now.join(changed, keys).select(*keys, code.alias("season_code"), "ord", "canonical", "changed")

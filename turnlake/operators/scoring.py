@@ -14,7 +14,7 @@ from ..functions.blocks import wide
 from ..functions.intervals import floor_div, last_writer_cells, union_lengths
 from ..functions.ordered import prefix_scan
 from ..functions.text import exact_round, norm_text, norm_words, words_of
-from ..session import settle
+from ..session import scratch_path, settle
 
 FRAME_MS = 10
 TICK_MS = 100
@@ -161,24 +161,24 @@ def edit_counts_blocks(
     waves = both.agg(F.max(F.col("__nb_r") + F.col("__nb_h") - 1)).first()[0]
     if waves is None:
         return trivial
-    ends = []
     edges = None
+    base = scratch_path(ref.sparkSession, "edit-wave")
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields if f.name in keys)
     schema = (
         f"{key_schema}, bi int, bj int, bottom_c array<int>, bottom_d array<int>, right_c array<int>, right_d array<int>"
     )
     full = both.select(*keys, "__nb_r", "__nb_h", "__len_r", "__len_h")
     for wave in range(waves):
-        cell = full.select(
-            *keys, "__nb_r", "__nb_h",
+        # Pairs with a tile on this diagonal, then their tiles on it.
+        cell = full.filter(F.lit(wave) < F.col("__nb_r") + F.col("__nb_h") - 1).select(
+            *keys,
             F.explode(
                 F.sequence(
-                    F.greatest(F.lit(0), F.lit(wave) - F.col("__nb_h") + 1),
-                    F.least(F.lit(wave), F.col("__nb_r") - 1),
+                    F.greatest(F.lit(0), F.lit(wave) - F.col("__nb_h") + 1).cast("int"),
+                    F.least(F.lit(wave), F.col("__nb_r") - 1).cast("int"),
                 )
-            ).cast("int").alias("bi"),
-        ) if wave else full.select(*keys, "__nb_r", "__nb_h", F.lit(0).alias("bi"))
-        cell = cell.filter(F.lit(wave) < F.col("__nb_r") + F.col("__nb_h") - 1)
+            ).alias("bi"),
+        )
         cell = cell.withColumn("bj", (F.lit(wave) - F.col("bi")).cast("int"))
         work = cell.join(r, [*keys, "bi"]).join(h, [*keys, "bj"])
         if edges is None:
@@ -199,22 +199,22 @@ def edit_counts_blocks(
                 *keys, "bi", "bj", "rt", "ht", "top_c", "top_d", "left_c", "left_d"
             )
         done = wide(work, *keys, "bi").mapInPandas(_tile_runner(list(keys), tile), schema)
-        edges = done if waves == 1 else settle(done, "edit-wave")
-        last = edges.join(full, list(keys)).filter(
-            (F.col("bi") == F.col("__nb_r") - 1) & (F.col("bj") == F.col("__nb_h") - 1)
-        )
-        ends.append(
-            last.select(
-                *keys,
-                *_counts(
-                    F.element_at("right_c", -1), F.element_at("right_d", -1), F.col("__len_r"), F.col("__len_h")
-                ),
-            )
+        if waves == 1:
+            edges = done
+        else:
+            done.write.parquet(f"{base}/wave={wave}")
+            edges = done.sparkSession.read.schema(schema).parquet(f"{base}/wave={wave}")
+    # The last tile of every pair, from whichever diagonal it was on.
+    tiles = edges if waves == 1 else edges.sparkSession.read.schema(schema).parquet(base)
+    last = tiles.join(full, list(keys)).filter(
+        (F.col("bi") == F.col("__nb_r") - 1) & (F.col("bj") == F.col("__nb_h") - 1)
+    )
+    return trivial.unionByName(
+        last.select(
+            *keys,
+            *_counts(F.element_at("right_c", -1), F.element_at("right_d", -1), F.col("__len_r"), F.col("__len_h")),
         )
-    out = trivial
-    for part in ends:
-        out = out.unionByName(part)
-    return out
+    )
 
 
 def _tile_runner(keys: list[str], tile: int):

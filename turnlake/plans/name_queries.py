@@ -111,10 +111,12 @@ def attach_cast(t):
     return got.select("nid", F.array_join("aliases", ",").alias("aliases"), F.array_join("misspellings", ",").alias("misspellings"))
 
 
-@query("cast_snapshot", "B11", """SELECT s.*, s.names IS DISTINCT FROM CASE WHEN s.season=2 THEN NULL WHEN s.season%2=0 THEN s.names ELSE 'old' END AS changed FROM (
-  SELECT 'show'||(ord%3) AS "show", ord%4+1 AS season, 'S'||lpad((ord%4+1)::VARCHAR,2,'0') AS season_code, string_agg(canonical, ',' ORDER BY ord) AS names FROM castv GROUP BY ord%3, ord%4) s""", "castv")
+@query("cast_snapshot", "B11", """SELECT 'show'||(ord%3) AS "show", ord%4+1 AS season, 'S'||lpad((ord%4+1)::VARCHAR,2,'0') AS season_code, ord, canonical,
+  ord%4+1=2 OR (ord%4+1)%2=1 AS changed FROM castv""", "castv")
 def cast_snapshot(t):
+    """The previous snapshot lacks season 2 and held another name in odd seasons."""
     members = t.cast.withColumn("show", F.concat(F.lit("show"), (F.col("ord") % 3).cast("string"))).withColumn("season", F.col("ord") % 4 + 1)
-    now = O.cast_snapshot(members)
-    before = now.filter("season <> 2").withColumn("names", F.when(F.col("season") % 2 == 0, F.col("names")).otherwise("old"))
+    before = O.cast_snapshot(members).filter("season <> 2").withColumn(
+        "canonical", F.when(F.col("season") % 2 == 0, F.col("canonical")).otherwise("old")
+    )
     return O.cast_snapshot(members, before)

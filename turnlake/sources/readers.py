@@ -8,7 +8,6 @@ Multi-file input is read in parallel, one JSON document per line by default
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE
@@ -224,16 +223,20 @@ def episode_catalog(spark: SparkSession, root: str) -> DataFrame:
 
 
 def label_catalog(entries: DataFrame) -> DataFrame:
-    """Add labels; later duplicates get their folder as suffix.  ``sort_key`` orders ignoring case."""
-    label = F.concat_ws(" · ", "show_slug", "episode_id")
-    order = [c for c in ("root",) if c in entries.columns] + ["path"]
-    # Duplicates of one label only: copies of one episode folder.
-    w = W.partitionBy("label").orderBy(*order)
-    numbered = entries.withColumn("label", label).withColumn("n", F.row_number().over(w))
-    final = F.when(F.col("n") == 1, F.col("label")).otherwise(
+    """Add labels; all but the first entry of a label get their folder as suffix.
+
+    ``sort_key`` orders ignoring case.  The first entry is a minimum, combined
+    before the shuffle, so many copies of one label are no burden.
+    """
+    place = F.struct(*[c for c in ("root", "path") if c in entries.columns])
+    labelled = entries.withColumn("label", F.concat_ws(" · ", "show_slug", "episode_id")).withColumn("__at", place)
+    first = labelled.groupBy("label").agg(F.min("__at").alias("__first"))
+    final = F.when(F.col("__at") == F.col("__first"), F.col("label")).otherwise(
         F.concat("label", F.lit(" ("), F.col("dir"), F.lit(")"))
     )
-    return numbered.withColumn("label", final).withColumn("sort_key", F.lower("label")).drop("n")
+    return labelled.join(first, "label").withColumn("label", final).withColumn("sort_key", F.lower("label")).drop(
+        "__at", "__first"
+    )
 
 
 def merge_catalogs(current: DataFrame, legacy: DataFrame) -> DataFrame:
