@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.blocks import wide
 from ..functions.intervals import floor_div, last_writer_cells, union_lengths
 from ..functions.ordered import prefix_scan
-from ..functions.text import exact_round, norm_text, norm_words, words_of
+from ..functions.text import exact_round, norm_words, words_of
 from ..session import scratch_path, settle
 
 FRAME_MS = 10
@@ -27,25 +27,39 @@ TILE = 4096
 # Choice among equal costs: match, substitution, deletion, insertion.
 
 
-def _dp_row(cost, dels, ref_tok, hyp, left_cost, left_dels):
+def _dp_row(cost, dels, ref_tok, hyp, left_cost, left_dels, ramp):
     """Next matrix row for a batch; arrays are (pairs, width + 1), column 0 given."""
     diag, up = cost[:, :-1], cost[:, 1:]
     same = hyp == ref_tok[:, None]
-    free = np.where(same, diag, np.minimum(diag, up) + 1)
-    width = hyp.shape[1]
-    ramp = np.arange(width + 1, dtype=np.int32)
-    row = np.concatenate([left_cost[:, None], free], axis=1) - ramp
+    # Neighbouring cells differ by at most one, so a match never needs the minimum.
+    free = np.minimum(diag, up)
+    free += 1
+    np.copyto(free, diag, where=same)
+    row = np.empty_like(cost)
+    row[:, 0] = left_cost
+    row[:, 1:] = free
+    row -= ramp
     np.minimum.accumulate(row, axis=1, out=row)
     row += ramp
     own = row[:, 1:]
-    by_diag = same | (own == diag + 1)
-    inserted = ~by_diag & (own != up + 1)
-    path = np.where(by_diag, dels[:, :-1], dels[:, 1:] + 1)
-    path = np.concatenate([left_dels[:, None], path], axis=1)
-    source = np.where(inserted, 0, ramp[1:])
-    source = np.concatenate([np.zeros((len(hyp), 1), dtype=np.int32), source], axis=1)
-    np.maximum.accumulate(source, axis=1, out=source)
-    return row, np.take_along_axis(path, source, axis=1)
+    by_diag = (own - diag) == 1
+    by_diag |= same
+    inserted = (own - up) != 1
+    inserted &= ~by_diag
+    path = np.empty_like(dels)
+    path[:, 0] = left_dels
+    body = path[:, 1:]
+    np.add(dels[:, 1:], 1, out=body)
+    np.copyto(body, dels[:, :-1], where=by_diag)
+    if inserted.any():
+        # An insertion carries the value of the nearest cell to its left that is none.
+        source = np.zeros_like(row)
+        np.multiply(~inserted, ramp[1:], out=source[:, 1:])
+        np.maximum.accumulate(source, axis=1, out=source)
+        if len(row) > 1:
+            source += (np.arange(len(row), dtype=source.dtype) * row.shape[1])[:, None]
+        path = path.reshape(-1).take(source)
+    return row, path
 
 
 def _edit_batch(refs: list[np.ndarray], hyps: list[np.ndarray]) -> np.ndarray:
@@ -64,6 +78,7 @@ def _edit_batch(refs: list[np.ndarray], hyps: list[np.ndarray]) -> np.ndarray:
     dels = np.zeros_like(cost)
     out = np.zeros((p, 2), dtype=np.int64)
     rows = np.arange(p)
+    ramp = np.arange(hyp.shape[1] + 1, dtype=np.int32)
     for i in range(m.max() + 1):
         done = m == i
         if done.any():
@@ -71,7 +86,7 @@ def _edit_batch(refs: list[np.ndarray], hyps: list[np.ndarray]) -> np.ndarray:
             out[done, 1] = dels[rows[done], n[done]]
         if i < m.max():
             edge = np.full(p, i + 1, dtype=np.int32)
-            cost, dels = _dp_row(cost, dels, ref[:, i], hyp, edge, edge)
+            cost, dels = _dp_row(cost, dels, ref[:, i], hyp, edge, edge, ramp)
     return out
 
 
@@ -220,37 +235,59 @@ def edit_counts_blocks(
 def _tile_runner(keys: list[str], tile: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [_tile(row, tile) for row in batch.itertuples(index=False)]
-            out = pd.DataFrame(rows, columns=["bottom_c", "bottom_d", "right_c", "right_d"])
+            rows = list(batch.itertuples(index=False))
+            edges: list = [None] * len(rows)
+            # Tiles of similar shape advance together, row by row.
+            order = sorted(range(len(rows)), key=lambda k: (len(rows[k].rt), len(rows[k].ht)))
+            while order:
+                width = max(len(rows[k].ht) for k in order[:64]) + 1
+                take = max(1, min(64, 60_000 // width))
+                chunk, order = order[:take], order[take:]
+                for k, edge in zip(chunk, _tiles([rows[k] for k in chunk], tile)):
+                    edges[k] = edge
+            out = pd.DataFrame(edges, columns=["bottom_c", "bottom_d", "right_c", "right_d"])
             yield pd.concat([batch[[*keys, "bi", "bj"]].reset_index(drop=True), out], axis=1)
 
     return run
 
 
-def _tile(row, tile: int) -> tuple:
-    """Edges of one tile.  Bottom and top include column 0, so they carry the corner."""
-    _, codes = np.unique(np.concatenate([row.rt, row.ht]), return_inverse=True)
-    ref = codes[: len(row.rt)].astype(np.int32)
-    hyp = codes[len(row.rt) :].astype(np.int32)[None, :]
-    i0, j0 = int(row.bi) * tile, int(row.bj) * tile
-    h, w = len(ref), hyp.shape[1]
-    if row.top_c is None:
-        cost = np.arange(j0, j0 + w + 1, dtype=np.int32)[None, :]
-        dels = np.zeros_like(cost)
-    else:
-        cost = np.asarray(row.top_c, dtype=np.int32)[None, :]
-        dels = np.asarray(row.top_d, dtype=np.int32)[None, :]
-    if row.left_c is None:
-        lc = np.arange(i0 + 1, i0 + h + 1, dtype=np.int32)
-        ld = lc
-    else:
-        lc = np.asarray(row.left_c, dtype=np.int32)
-        ld = np.asarray(row.left_d, dtype=np.int32)
-    rc, rd = np.empty(h, dtype=np.int32), np.empty(h, dtype=np.int32)
-    for i in range(h):
-        cost, dels = _dp_row(cost, dels, ref[i : i + 1], hyp, lc[i : i + 1], ld[i : i + 1])
-        rc[i], rd[i] = cost[0, -1], dels[0, -1]
-    return cost[0], dels[0], rc, rd
+def _tiles(rows: list, tile: int) -> list[tuple]:
+    """Edges of a few tiles.  Bottom and top include column 0, so they carry the corner.
+
+    Shorter tiles are padded below and to the right, where nothing they use is read.
+    """
+    p = len(rows)
+    hs = np.array([len(r.rt) for r in rows])
+    ws = np.array([len(r.ht) for r in rows])
+    height, width = int(hs.max()), int(ws.max())
+    _, codes = np.unique(np.concatenate([x for r in rows for x in (r.rt, r.ht)]), return_inverse=True)
+    ref = np.full((p, height), -1, dtype=np.int32)
+    hyp = np.full((p, width), -2, dtype=np.int32)
+    ramp = np.arange(width + 1, dtype=np.int32)
+    cost, dels = np.zeros((p, width + 1), dtype=np.int32), np.zeros((p, width + 1), dtype=np.int32)
+    lc, ld = np.zeros((p, height), dtype=np.int32), np.zeros((p, height), dtype=np.int32)
+    at = 0
+    for k, r in enumerate(rows):
+        h, w = hs[k], ws[k]
+        ref[k, :h], hyp[k, :w] = codes[at : at + h], codes[at + h : at + h + w]
+        at += h + w
+        if r.top_c is None:
+            cost[k] = ramp + int(r.bj) * tile
+        else:
+            cost[k, : w + 1], dels[k, : w + 1] = r.top_c, r.top_d
+        if r.left_c is None:
+            lc[k, :h] = ld[k, :h] = np.arange(h) + int(r.bi) * tile + 1
+        else:
+            lc[k, :h], ld[k, :h] = r.left_c, r.left_d
+    rc, rd = np.empty((p, height), dtype=np.int32), np.empty((p, height), dtype=np.int32)
+    every = np.arange(p)
+    bottom: list = [None] * p
+    for i in range(height):
+        cost, dels = _dp_row(cost, dels, ref[:, i], hyp, lc[:, i], ld[:, i], ramp)
+        rc[:, i], rd[:, i] = cost[every, ws], dels[every, ws]
+        for k in np.flatnonzero(hs == i + 1):
+            bottom[k] = (cost[k, : ws[k] + 1].copy(), dels[k, : ws[k] + 1].copy())
+    return [(*bottom[k], rc[k, : hs[k]], rd[k, : hs[k]]) for k in range(p)]
 
 
 def with_rates(counts: DataFrame) -> DataFrame:
@@ -298,7 +335,8 @@ def speaker_tokens(words: DataFrame) -> DataFrame:
 
     Input (episode_id, speaker, start_ms, seg_id, word_idx, word); output adds ``pos``.
     """
-    tok = norm_text(F.col("word"))
+    # A word holds no inner space, so its scoring form is one replacement.
+    tok = F.regexp_replace(F.lower("word"), r"[^\p{L}\p{N}_]", "")
     body = words.select("episode_id", "speaker", "start_ms", "seg_id", "word_idx", tok.alias("tok"))
     label = words.select("episode_id", "speaker").distinct().select(
         "episode_id", "speaker", F.lit(-1).cast("bigint").alias("start_ms"),

@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.blocks import wide
 from ..functions.intervals import floor_div
 from ..functions.ordered import prefix_scan
 from ..functions.text import words_of
@@ -39,7 +40,7 @@ class Tables:
         """
         key = (self.spark.sparkContext.applicationId, self.dir)
         if key not in _STAGED:
-            _STAGED[key] = settle(self._derive_seg(), "segments")
+            _STAGED[key] = settle(wide(self._derive_seg(), "episode_id", "seg_id"), "segments")
         return _STAGED[key]
 
     def _derive_seg(self) -> DataFrame:
@@ -318,7 +319,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         WINDOW w AS (PARTITION BY episode_id ORDER BY seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""),
     "word": (["seg"], """SELECT episode_id, seg_id, i AS word_idx, word, start_ms + (i-1)*400 AS start_ms,
         start_ms + i*400 AS end_ms, ((i*37 + seg_id*11 + episode_id*7) % 100)/100.0 AS prob, speaker AS said_by
-        FROM (SELECT episode_id, seg_id, start_ms, speaker, unnest(ws) AS word, unnest(range(1, len(ws)+1)) AS i FROM seg)"""),
+        FROM (SELECT episode_id, seg_id, start_ms, speaker, unnest(ws) AS word, unnest(range(1, len(ws)+1))::INT AS i FROM seg)"""),
     "turn": (["seg"], """SELECT episode_id, seg_id AS turn_id, speaker, start_ms+300 AS start_ms,
         CASE WHEN (episode_id+seg_id)%9=4 THEN start_ms+300+nw*100 ELSE end_ms+300 END AS end_ms,
         ((seg_id*17+episode_id*5)%100)/100.0 AS conf FROM seg"""),

@@ -55,7 +55,7 @@ def read_asr_segments(t):
     return segments
 
 
-@query("read_asr_eval", "A2 M14", _WORDS.format("0", "CASE WHEN word_idx%10<>0 THEN prob ELSE 1 END") + " ", "word")
+@query("read_asr_eval", "A2 M14", _WORDS.format("0::BIGINT", "CASE WHEN word_idx%10<>0 THEN prob ELSE 1 END"), "word")
 def read_asr_eval(t):
     """The other dialect has no ids (position 0 here) and defaults a missing p to 1."""
     _, words = R.read_asr(t.spark, _written(t, _asr_docs(t, "w", "p"), "asr-eval"), "eval")
