@@ -320,7 +320,7 @@ def draft_srt(t):
     return T.render_srt(labelled, skip_blank=True)
 
 
-@query("to_document", "B4 C32")
+@query("to_document", "B4")
 def to_document(t):
     """Nested JSON; no SQL check because JSON number and key spelling differ between engines."""
     extras = t.seg.select("episode_id").distinct().select("episode_id", F.lit(9).alias("ord"), F.lit("segment_count").alias("key"), F.lit("extra").alias("value"))
