@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
 from .fixtures import Tables, with_views
 
 
@@ -37,6 +38,7 @@ def query(
 
 def runner(q: Query) -> Callable[[SparkSession, str], DataFrame]:
     def call(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
         return q.run(Tables(spark, sf_dir))
 
     call.__name__ = q.name

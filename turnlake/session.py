@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -31,17 +32,31 @@ def build_session(app: str = "turnlake", master: str | None = None, **conf: str)
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 _FALLBACK: list[str] = []
+_SHIPPED: set[str] = set()
+
+
+def is_local(spark: SparkSession) -> bool:
+    """True where the driver is the only executor, so that its own folders are shared by definition."""
+    return spark.conf.get("spark.master", "").split("[")[0] == "local"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temp folder only where none is set."""
-    named = spark.conf.get(CHECKPOINT_CONF, None)
+    """The folder the cluster names for checkpoints (setting or context).
+
+    A temporary folder stands in on a ``local`` master only; elsewhere a missing setting is an error,
+    because executors would write to disks that nobody else sees.
+    """
+    named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not is_local(spark):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share")
     if not _FALLBACK:
         _FALLBACK.append(tempfile.mkdtemp(prefix="turnlake-"))
     return _FALLBACK[0]
@@ -49,7 +64,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path for one intermediate table below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    path = f"{shared_dir(spark).rstrip('/')}/turnlake-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return path
 
 
 def settle(df, label: str):
@@ -58,3 +74,27 @@ def settle(df, label: str):
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application settled; call it once the results that read it are written."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/turnlake-{context.applicationId}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, wherever the driver was started."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="turnlake-ship-"), "turnlake.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
