@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnlake.session import ship
 
-from . import html, mixing, rules, warc
+from . import classifier, html, mixing, packing, rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,11 +63,28 @@ FROM b
 """
 
 
+@_query("op3_pack_sequences", "documents")
+def _pack(docs: DataFrame, _: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("row", "skip")
+
+
 @_query("op4_mix_sources", "documents", _MIX_SQL)
 def _mix(docs: DataFrame, _: str) -> DataFrame:
     return mixing.sample(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@_query("op6_quality_classifier", "documents")
+def _classifier(docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = docs.sparkSession.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    weights = classifier.fit(docs, labels, usable=~held_out)
+    return classifier.score(docs.select("doc_id", "text"), weights).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 @_query("op8_html_text", "pages")
 def _html(pages: DataFrame, _: str) -> DataFrame:
     return html.extract(pages).withColumn("n_chars", F.char_length("text").cast("long"))
