@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnlake.session import ship
 
-from . import classifier, html, mixing, packing, rules, warc
+from . import classifier, html, lines, mixing, packing, rules, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,6 +63,26 @@ FROM b
 """
 
 
+_LINES_SQL = r"""
+WITH l AS (
+  SELECT d.doc_id, u.i, u.line, trim(u.line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut
+  FROM documents d, unnest(string_split(coalesce(d.text, ''), chr(10))) WITH ORDINALITY AS u(line, i)),
+k AS (SELECT *, translate(cut, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.last AS gone FROM k LEFT JOIN c ON k.key = c.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+@_query("op1_line_dedup", "documents", _LINES_SQL)
+def _lines(docs: DataFrame, _: str) -> DataFrame:
+    return lines.dedup_lines(docs.select("doc_id", "text")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 @_query("op3_pack_sequences", "documents")
 def _pack(docs: DataFrame, _: str) -> DataFrame:
     import public_tokenizers
@@ -85,6 +105,22 @@ def _classifier(docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+_VECTORS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id)::BIGINT AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN c ON v.vec_id = c.a
+"""
+
+
+@_query("op7_embedding_dedup", "embeddings", _VECTORS_SQL)
+def _vectors(vectors_table: DataFrame, _: str) -> DataFrame:
+    return vectors.near_vectors(vectors_table)[0]
+
+
 @_query("op8_html_text", "pages")
 def _html(pages: DataFrame, _: str) -> DataFrame:
     return html.extract(pages).withColumn("n_chars", F.char_length("text").cast("long"))
