@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnlake.session import ship
 
-from . import classifier, html, lines, mixing, packing, rules, vectors, warc
+from . import classifier, html, lines, minhash, mixing, packing, rules, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,6 +83,28 @@ def _lines(docs: DataFrame, _: str) -> DataFrame:
     )
 
 
+_NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s
+  FROM w, unnest(range(1, greatest(len(w), 2))) AS t(i) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+k AS MATERIALIZED (SELECT p.a, p.b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+l AS MATERIALIZED (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.a = d.doc_id
+"""
+
+
+@_query("op2_minhash_dedup", "documents", _NEAR_SQL)
+def _near(docs: DataFrame, _: str) -> DataFrame:
+    return minhash.near_documents(docs, shingle=2)
+
+
 @_query("op3_pack_sequences", "documents")
 def _pack(docs: DataFrame, _: str) -> DataFrame:
     import public_tokenizers
