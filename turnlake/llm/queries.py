@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnlake.session import ship
 
-from . import classifier, html, lines, minhash, mixing, packing, rules, vectors, warc
+from . import classifier, html, lines, minhash, mixing, packing, rules, suffixes, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,6 +117,13 @@ def _mix(docs: DataFrame, _: str) -> DataFrame:
     return mixing.sample(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@_query("op5_suffix_dedup", "documents")
+def _suffixes(docs: DataFrame, _: str) -> DataFrame:
+    return suffixes.remove_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @_query("op6_quality_classifier", "documents")
 def _classifier(docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = docs.sparkSession.read.parquet(f"{sf_dir}/labels.parquet")
