@@ -1,8 +1,68 @@
-"""Training-data pipeline over ``documents``."""
+"""Training-data pipeline over ``documents``: quality, line dedup, near dedup, mixing, packing.
 
-STAGES = []
+Every stage takes all rows that its predecessor kept, written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from turnlake.llm import classifier, lines, minhash, mixing, packing
+from turnlake.session import settle, ship
+
+#: A document stays if label 1 is at least this likely.
+KEEP_SCORE = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the classifier rejects; it learns from the labelled documents of the table."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    weights = classifier.fit(docs, labels, usable=~held_out)
+    return classifier.score(docs, weights, score_col="_quality").where(F.col("_quality") >= KEEP_SCORE).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take out lines that five or more documents share, but for one; ``n_chars`` follows the text."""
+    return lines.dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    return minhash.drop_near(docs, shingle=5, percent=80)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out until each source has its share of words."""
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, placed in token sequences."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("row", "skip")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("mixing", mix),
+    ("packing", pack),
+]
+
+#: SQL cannot express the classifier; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of one data directory."""
+    ship(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

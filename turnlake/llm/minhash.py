@@ -158,6 +158,31 @@ def _far(a: str, b: str, percent: int) -> Column:
 
 def near_documents(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``."""
+    component_id = F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("smallest"))
+    return _grouped(docs, shingle, percent, id_col, text_col).select(
+        F.col("id").alias(id_col), "n_shingles", component_id.alias("component_id"), component_id.eqNullSafe(F.col("id")).alias("kept")
+    )
+
+
+def drop_near(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group (the one with the smallest id), and all those without words."""
+    rows = settle(_grouped(docs, shingle, percent, id_col, text_col).select("id", "h", "label"), "grouped")
+    best = rows.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "h")).alias("best"))
+    alone = rows.where("label is null").groupBy("id", "h").agg(F.lit(1).alias("_rows"))
+    # Rows equal in id and text cannot be told apart: where a winner has such twins, they are merged below.
+    winners = best.select("best.id", "best.h").join(
+        rows.where("label is not null").groupBy(F.col("id").alias("i"), F.col("h").alias("j")).agg(F.count(F.lit(1)).alias("_rows")),
+        F.col("id").eqNullSafe(F.col("i")) & F.col("h").eqNullSafe(F.col("j")),
+    ).select("id", "h", "_rows")
+    chosen = winners.unionByName(alone).select(F.col("id").alias("_id"), F.col("h").alias("_h"), "_rows")
+    own = docs.withColumn("_own", F.xxhash64(F.col(text_col).cast("string")))
+    kept = own.join(chosen, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_h")))
+    merged = kept.where("_rows > 1").dropDuplicates(["_id", "_h"])
+    return kept.where("_rows = 1").unionByName(merged).select(*docs.columns)
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """id, h, n_shingles, label (null without a set) and smallest id of the label, per document."""
     drawn = settle(sketches(docs, shingle, id_col, text_col), "sketches")
     classes = drawn.where("f is not null").groupBy("f", "g").agg(
         F.min("id").alias("first"), F.min("h").alias("h"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n")
@@ -188,10 +213,6 @@ def near_documents(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col:
     named = labels(links.unionByName(more))
 
     found = classes.select("f", "first").join(named.withColumnRenamed("node", "f"), "f", "left").withColumn("label", F.coalesce("label", F.xxhash64("f")))
-    smallest = found.groupBy("label").agg(F.min("first").alias("component"))
-    component = found.join(smallest, "label").select("f", "component")
-    out = drawn.select("id", "n_shingles", "f").join(component, "f", "left")
-    component_id = F.when(F.col("f").isNull(), F.col("id")).otherwise(F.col("component"))
-    return out.select(
-        F.col("id").alias(id_col), "n_shingles", component_id.alias("component_id"), component_id.eqNullSafe(F.col("id")).alias("kept")
-    )
+    smallest = found.groupBy("label").agg(F.min("first").alias("smallest"))
+    component = found.join(smallest, "label").select("f", "label", "smallest")
+    return drawn.select("id", "h", "n_shingles", "f").join(component, "f", "left").drop("f")
