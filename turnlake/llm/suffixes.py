@@ -301,15 +301,21 @@ def _level(source: DataFrame, kinds: tuple[T.DataType, T.DataType], grid: int, s
             right, ident, own, base, anchor, first, last, open_first, open_last = items[item][2:]
             size = len(text) - LINE
             nearest = base + size - right
-            common = max(same if k else 0, group[k + 1][1] if k + 1 < len(group) else 0) - LINE
-            twins = any(0 <= n < len(group) and group[n][0] == text and items[group[n][2]][2] == right for n in (k - 1, k + 1))
+            beside = [(n, (same if n < k else group[n][1]) - LINE) for n in (k - 1, k + 1) if 0 <= n < len(group)]
+            rights = [items[group[n][2]][2] for n, _ in beside]
+            # A neighbour cut off at its text's end says nothing beyond its last byte.
+            common = max((c if r >= match else min(c, r) for (_, c), r in zip(beside, rights)), default=0)
+            unique = all(c < match for _, c in beside)
+            twins = any(group[n][0] == text and r == right for (n, _), r in zip(beside, rights))
             if own is not None and twins:
                 yield ident, own, base, base + size, *NOWHERE
                 own = None
             elif own is not None and right >= match:
                 if common >= match:
                     yield ident, own, nearest - (common - match), nearest + match, *NOWHERE
-                open_last = min(open_last, nearest - max(0, common - match + 1) if common >= match else nearest - 1)
+                    open_last = min(open_last, nearest - (common - match) - 1)
+                elif unique:
+                    open_last = min(open_last, nearest - 1)
             plain = text[:HEAD] + text[HEAD + LINE :]
             strip = plain[right:][::-1] + plain[:right]
             if own is not None and open_first <= open_last:
