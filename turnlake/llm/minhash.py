@@ -6,10 +6,11 @@ bin is filled, and from round COORDINATES on, bin i - COORDINATES takes all elem
 sets need one or two rounds instead of one hash per coordinate and element.
 
 Documents with equal sets form a class first.  Classes that agree in all coordinates of a band share a bucket.
-Each bucket first compares its members with one centre only; verified links are contracted to components;
-then members outside the centre's component are compared with the bucket's members of other components.  So every
-pair that shares a bucket is either verified or already connected, while a large group of near copies costs
-one comparison per member.  A sketch of one bit per coordinate discards far pairs inside the join; what is
+Each bucket first compares its members with one centre only, and verified links are contracted to components.
+Members outside the centre's component then meet one more member of each of their buckets, drawn anew per bucket,
+which connects nearly all that belong to a group.  The few still outside are compared with all of the bucket's members
+of other components.  So every pair that shares a bucket is either verified or already connected, while a large
+group of near copies costs a few comparisons per member.  A sketch of one bit per coordinate discards far pairs inside the join; what is
 left is decided on the full sets.
 
 Null and empty texts, and texts without words, have no set and link with nothing.  Null ids are allowed (a
@@ -188,28 +189,39 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
         F.min("id").alias("first"), F.min("h").alias("h"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n")
     )
     member = classes.select("f", "h", "bits", F.explode("bands").alias("key"))
-    bucket = classes.select("f", F.explode("bands").alias("key")).groupBy("key").agg(F.min("f").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    bucket = classes.select("f", F.explode("bands").alias("key")).groupBy("key").agg(
+        F.min("f").alias("centre"), F.min(F.struct(F.xxhash64("f", "key").alias("drawn"), "f")).alias("other"), F.count(F.lit(1)).alias("size")
+    ).where("size > 1").select("key", "centre", F.col("other.f").alias("second"))
     shared = settle(member.join(bucket, "key"), "buckets")
     sets = settle(_full_sets(docs, shared.select("h").distinct(), shingle, text_col), "sets")
     bits = shared.select("f", "bits").dropDuplicates(["f"])
 
-    star = shared.where("f <> centre").select("f", "centre", "bits").dropDuplicates(["f", "centre"])
-    star = star.join(bits.select(F.col("f").alias("centre"), F.col("bits").alias("other")), "centre").where(~_far("bits", "other", percent))
-    links = settle(_verify(star.select(F.col("f").alias("a"), F.col("centre").alias("b")), sets, percent), "links")
-
-    named = labels(links)
-    main = named.select(F.col("node").alias("centre"), F.col("label").alias("main"))
-    placed = shared.join(named.withColumnRenamed("node", "f"), "f", "left").join(main, "centre", "left").select(
-        "key", "f", "bits", "centre", F.coalesce("label", F.xxhash64("f")).alias("label"), F.coalesce("main", F.xxhash64("centre")).alias("main")
-    )
-    stray = settle(placed.where("label <> main").select("key", F.col("f").alias("a"), F.col("bits").alias("abits"), F.col("label").alias("alabel")), "strays")
-    other = placed.where("f <> centre").select("key", F.col("f").alias("b"), F.col("bits").alias("bbits"), F.col("label").alias("blabel"))
+    def compare(pairs: DataFrame, label: str) -> DataFrame:
+        """Links among pairs (f, other) of which the first carries its sketch."""
+        pairs = pairs.where("f <> other").dropDuplicates(["f", "other"])
+        near = pairs.join(bits.select(F.col("f").alias("other"), F.col("bits").alias("theirs")), "other").where(~_far("bits", "theirs", percent))
+        return settle(_verify(near.select(F.col("f").alias("a"), F.col("other").alias("b")), sets, percent), label)
+
+    def placed(named: DataFrame) -> DataFrame:
+        """Bucket members with their component's label and that of the bucket's centre."""
+        main = named.select(F.col("node").alias("centre"), F.col("label").alias("main"))
+        return shared.join(named.withColumnRenamed("node", "f"), "f", "left").join(main, "centre", "left").select(
+            "key", "f", "bits", "second", F.coalesce("label", F.xxhash64("f")).alias("label"), F.coalesce("main", F.xxhash64("centre")).alias("main")
+        )
+
+    links = compare(shared.select("f", "bits", F.col("centre").alias("other")), "links")
+    outside = placed(labels(links)).where("label <> main")
+    links = links.unionByName(compare(outside.select("f", "bits", F.col("second").alias("other")), "second-links"))
+
+    members = settle(placed(labels(links)), "members")
+    stray = members.where("label <> main").select("key", F.col("f").alias("a"), F.col("bits").alias("abits"), F.col("label").alias("alabel"))
+    other = members.select("key", F.col("f").alias("b"), F.col("bits").alias("bbits"), F.col("label").alias("blabel"))
     rest = (
         stray.join(other, "key")
         .where((F.col("alabel") != F.col("blabel")) & ~_far("abits", "bbits", percent))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
-    more = settle(_verify(rest, sets, percent), "more-links")
+    more = settle(_verify(rest, sets, percent), "last-links")
     named = labels(links.unionByName(more))
 
     found = classes.select("f", "first").join(named.withColumnRenamed("node", "f"), "f", "left").withColumn("label", F.coalesce("label", F.xxhash64("f")))
