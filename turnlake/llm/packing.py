@@ -39,7 +39,7 @@ UNIT, SMALL = 8, 64
 GAP = 0.001
 FULL = 0.985
 SALTS = 64
-CACHED_WORDS, CACHED_CHARS = 300_000, 32
+CACHED_WORDS, CACHED_CHARS = 200_000, 32
 
 _TOKENIZERS: dict[str, "_Words"] = {}
 
@@ -79,46 +79,43 @@ class _Words(dict):
             self[chunk] = ids
         return ids
 
-    def learn(self, texts: list[str]) -> None:
-        """Encode the texts' new chunks in one call."""
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; all new chunks are encoded in one call."""
+        chunks = [t.split(" ") for t in texts]
         if len(self) > CACHED_WORDS or len(self.letters) > CACHED_WORDS or len(self.marks) > CACHED_WORDS:
             self.older = dict(self), self.letters
             self.clear()
             self.letters, self.marks = {}, {"": b""}
-        new = set()
-        for t in texts:
-            new.update(t.split(" "))
+        new = set().union(*chunks)
         new.difference_update(self)
+        known, known_letters, letters_of = self.older[0].get, self.older[1].get, self.letters
         split, missing = [], set()
         for chunk in new:
             if len(chunk) > CACHED_CHARS:
                 continue
-            ids = self.older[0].get(chunk)
-            if ids is not None:
-                self[chunk] = ids
-                continue
             found = _SIMPLE(chunk)
             if not found:
-                self[chunk] = self.encode(chunk)
+                ids = known(chunk)
+                self[chunk] = self.encode(chunk) if ids is None else ids
                 continue
-            letters, mark = found[1].lower(), found[2]
+            letters, mark = found.groups()
+            letters = letters.lower()
             split.append((chunk, letters, mark))
-            if letters not in self.letters:
-                ids = self.older[1].get(letters)
+            if letters not in letters_of:
+                ids = known_letters(letters)
                 if ids is None:
                     missing.add(letters)
                 else:
-                    self.letters[letters] = ids
+                    letters_of[letters] = ids
             if mark not in self.marks:
                 self.marks[mark] = self.encode(mark)
         wanted = list(missing)
         for letters, found in zip(wanted, self.letters_model.encode_batch_fast(wanted, add_special_tokens=False)):
-            self.letters[letters] = _packed(found.ids)
+            letters_of[letters] = _packed(found.ids)
         for chunk, letters, mark in split:
-            self[chunk] = self.letters[letters] + self.marks[mark]
-
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.split(" ")))
+            self[chunk] = letters_of[letters] + self.marks[mark] if mark else letters_of[letters]
+        one = self.__getitem__
+        return [b"".join(map(one, c)) for c in chunks]
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -147,10 +144,10 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         for whole in batches:
             for part in tx.slices(whole):
                 texts = [(t or "").replace("\n", " ") for t in part.column("text").to_pylist()]
-                words.learn(texts)
+                coded = words.ids(texts)
                 row, start, size, crc, total, ids = [], [], [], [], [], []
-                for k, t in enumerate(texts):
-                    body = words.ids(t) + end
+                for k, body in enumerate(coded):
+                    body += end
                     n = len(body) // 4
                     for at in range(0, n, length):
                         piece = body[4 * at : 4 * (at + length)]
@@ -160,7 +157,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                         crc.append(zlib.crc32(piece))
                         total.append(n)
                         ids.append(piece)
-                flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
+                flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
                 where = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id").take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(size, pa.int64()),
