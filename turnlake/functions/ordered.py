@@ -10,6 +10,8 @@ carry is joined back.  Rows are shuffled once, exactly as with the plain window.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -61,11 +63,15 @@ def prefix_scan(
         carry.append(F.lag(f"__t_{name}").over(per_key).alias(f"__c_{name}"))
     for name in nexts:
         carry.append(F.lead(f"__t_{name}").over(per_key).alias(f"__c_{name}"))
-    carried = src.groupBy(*keys, _B).agg(*totals).select(*keys, _B, *carry)
+    # Null keys and null buckets are groups like any other, as in a window.
+    group = [*keys, _B]
+    renamed = [F.col(c).alias(f"__k{i}") for i, c in enumerate(group)]
+    carried = src.groupBy(*group).agg(*totals).select(*renamed, *carry)
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(group)))
 
     local = W.partitionBy(*keys, _B).orderBy(*order)
     local_before = local.rowsBetween(W.unboundedPreceding, -1)
-    joined = src.join(carried, [*keys, _B])
+    joined = src.join(carried, same)
     out = list(df.columns)
     cols = [F.col(c) for c in out]
     for name, col in sums.items():

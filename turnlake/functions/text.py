@@ -15,8 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Separators, keep-classes and patterns of the text formats.
-SPACE = r"[ \t\n\r\f]+"
-NOT_WORD = r"[^\p{L}\p{N}_ \t\n\r\f]"
+SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]+"
+NOT_WORD = r"[^\p{L}\p{N}_\t-\r\x1c-\x20\x85\p{Z}]"
 NOT_ALNUM = r"[^\p{L}\p{N}]"
 SENTENCE_END = r"[.!?]+"
 EPISODE_CODE = r"(?i)S(\d{1,2})E(\d{1,2})"
@@ -48,18 +48,21 @@ def norm_words(col: Column) -> Column:
     return words_of(F.regexp_replace(F.lower(col), NOT_WORD, ""))
 
 
-@lru_cache(maxsize=1)
-def _fold_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Compatibility decomposition of Latin letters, derived from Unicode data.
+# Unicode blocks with decomposable letters: Latin, Greek, Cyrillic, letter-like, ligatures, full width.
+_FOLDED = ((0xA0, 0x250), (0x370, 0x530), (0x1E00, 0x2000), (0x2070, 0x2190), (0xFB00, 0xFB07), (0xFF01, 0xFF5F))
+
+
+@lru_cache(maxsize=2)
+def _fold_table(case_sensitive: bool) -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """Compatibility decomposition without marks, derived from Unicode data.
 
     Returns one-to-one pairs for ``translate`` and the few one-to-many expansions.
     """
     source, target, longer = [], [], []
-    for code in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07)):
+    for code in (c for low, high in _FOLDED for c in range(low, high)):
         char = chr(code)
-        kept = "".join(
-            c for c in unicodedata.normalize("NFKD", char).casefold() if c.isalnum()
-        )
+        plain = unicodedata.normalize("NFKD", char)
+        kept = "".join(c for c in (plain if case_sensitive else plain.casefold()) if c.isalnum())
         if kept == char or not kept or not char.isalnum():
             continue
         if len(kept) == 1:
@@ -71,24 +74,34 @@ def _fold_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 
 
 def norm_name(col: Column, case_sensitive: bool = False) -> Column:
-    """Lookup form of a name: accents folded, case folded, letters and digits only."""
+    """Lookup form of a name: accents folded, letters and digits only, case folded unless it counts."""
     text = F.trim(F.coalesce(col, F.lit("")))
     if not case_sensitive:
         text = F.lower(text)
-        source, target, longer = _fold_table()
-        text = F.translate(text, source, target)
+    source, target, longer = _fold_table(case_sensitive)
+    text = F.translate(text, source, target)
+    if not case_sensitive:
         # Sharp s is common; the other expansions are rare and tested for once.
         text = F.replace(text, F.lit("ß"), F.lit("ss"))
-        rest = [(c, k) for c, k in longer if c != "ß"]
+    rest = [(c, k) for c, k in longer if c != "ß"]
+
+    def expand(t: Column) -> Column:
+        spelled = t
+        for char, kept in rest:
+            spelled = F.replace(spelled, F.lit(char), F.lit(kept))
+        return F.when(t.rlike("[" + "".join(c for c, _ in rest) + "]"), spelled).otherwise(t)
+
+    return F.regexp_replace(let(text, expand), NOT_ALNUM, "")
+
+
+def title(col: Column) -> Column:
+    """Upper case for letters that follow no letter, lower case for all others."""
 
-        def expand(t: Column) -> Column:
-            spelled = t
-            for char, kept in rest:
-                spelled = F.replace(spelled, F.lit(char), F.lit(kept))
-            return F.when(t.rlike("[" + "".join(c for c, _ in rest) + "]"), spelled).otherwise(t)
+    def shaped(chars: Column) -> Column:
+        starts = lambda i: (i == 0) | ~F.coalesce(F.get(chars, i - 1).rlike(r"^\p{L}$"), F.lit(False))
+        return F.array_join(F.transform(chars, lambda c, i: F.when(starts(i), F.upper(c)).otherwise(F.lower(c))), "")
 
-        text = let(text, expand)
-    return F.regexp_replace(text, NOT_ALNUM, "")
+    return let(F.split(col, ""), shaped)
 
 
 def norm_key(col: Column) -> Column:
@@ -104,7 +117,7 @@ def match_case(original: Column, canonical: Column) -> Column:
         F.when(F.coalesce(original, F.lit("")) == "", canonical)
         .when(has_upper & ~has_lower, F.upper(canonical))
         .when(has_lower & ~has_upper, F.lower(canonical))
-        .when(has_upper & (original == F.initcap(original)), F.initcap(canonical))
+        .when(has_upper & (original == title(original)), title(canonical))
         .otherwise(canonical)
     )
 
@@ -113,7 +126,7 @@ def split_sentences(col: Column) -> Column:
     return F.filter(
         F.transform(
             F.split(col, SENTENCE_END),
-            lambda s: F.regexp_replace(s, r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", ""),
+            lambda s: F.regexp_replace(s, f"^{SPACE}|{SPACE}$", ""),
         ),
         lambda s: s != F.lit(""),
     )

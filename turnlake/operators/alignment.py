@@ -19,6 +19,13 @@ from ..functions.text import UNKNOWN
 
 TIE = "UNK"
 OUTSIDE = "UNKNOWN"
+ROW = "__row"
+
+
+def by_row(pairs: DataFrame, columns: list[str], *aggs: Column) -> DataFrame:
+    """Aggregate per numbered row; equal rows stay apart and columns may have any type."""
+    held = pairs.groupBy(ROW).agg(F.first(F.struct(*columns)).alias("__held"), *aggs)
+    return held.select("__held.*", *[c for c in held.columns if c not in (ROW, "__held")])
 
 
 def align_midpoint(
@@ -133,7 +140,7 @@ def align_overlap(
         F.count(F.lit(1)).alias("n"), F.min("speaker").alias("who")
     )
     pairs = overlap_pairs(
-        words, spans, ["n", "who"], how="left" if not strict else "inner", once=False,
+        words.withColumn(ROW, F.monotonically_increasing_id()), spans, ["n", "who"], how="left" if not strict else "inner", once=False,
         bucket_ms=bucket_ms, widen_ms=eps_ms,
     )
     # The largest and the "other end" of the largest overlap differ iff there is a tie.
@@ -141,7 +148,7 @@ def align_overlap(
         F.struct("overlap_ms", F.col("b_start").alias("s"), F.col("b_end").alias("e"), "b_n", "b_who")
     )
     last = F.max(F.struct("overlap_ms", (-F.col("b_start")).alias("s"), (-F.col("b_end")).alias("e")))
-    best = pairs.groupBy(*words.columns).agg(first.alias("__f"), last.alias("__l"))
+    best = by_row(pairs, words.columns, first.alias("__f"), last.alias("__l"))
     tied = (
         (F.col("__f.s") != -F.col("__l.s"))
         | (F.col("__f.e") != -F.col("__l.e"))
@@ -166,12 +173,14 @@ def best_overlap(
     folded = b.groupBy("episode_id", "start_ms", "end_ms").agg(
         F.min(F.struct(F.col(b_order).alias("o"), F.struct(*b_cols).alias("v"))).alias("m")
     )
-    pairs = overlap_pairs(a, folded, ["m"], how="left", once=False, bucket_ms=bucket_ms)
+    pairs = overlap_pairs(
+        a.withColumn(ROW, F.monotonically_increasing_id()), folded, ["m"], how="left", once=False, bucket_ms=bucket_ms
+    )
     key = F.when(
         F.col("overlap_ms").isNotNull(), F.struct(F.col("overlap_ms"), (-F.col("b_m.o")).alias("no"))
     )
-    return pairs.groupBy(*a.columns).agg(
-        F.max_by(F.col("b_m.v"), key).alias("best"), F.max("overlap_ms").alias("overlap_ms")
+    return by_row(
+        pairs, a.columns, F.max_by(F.col("b_m.v"), key).alias("best"), F.max("overlap_ms").alias("overlap_ms")
     )
 
 

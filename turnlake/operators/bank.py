@@ -262,13 +262,23 @@ def apply_assignments(segments: DataFrame, assignments: DataFrame) -> DataFrame:
 
 
 def apply_mapping(segments: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Manual (label, name) map on the original label; blanks are ignored."""
+    """Manual (label, name) map on the original label; blanks are ignored.
+
+    With an ``episode_id`` column the mapping touches that episode only.  A label given twice takes the entry
+    with the highest ``ord``, or the greatest name where entries have no order.
+    """
     base = _with_original(segments)
+    scope = ["episode_id"] if "episode_id" in mapping.columns else []
+    latest = F.struct("ord", F.trim("name")) if "ord" in mapping.columns else F.trim("name")
     m = (
-        mapping.select(F.trim("label").alias("__l"), F.trim("name").alias("__to"))
-        .filter((F.col("__l") != "") & (F.col("__to") != ""))
-    )
-    joined = base.withColumn("__o", _original(base)).join(m, F.col("__o") == F.col("__l"), "left")
+        mapping.filter((F.trim("label") != "") & (F.trim("name") != ""))
+        .groupBy(*[F.col(c).alias(f"__{c}") for c in scope], F.trim("label").alias("__l"))
+        .agg(F.max_by(F.trim("name"), latest).alias("__to"))
+    )
+    same = F.col("__o") == F.col("__l")
+    for c in scope:
+        same = same & (F.col(c) == F.col(f"__{c}"))
+    joined = base.withColumn("__o", _original(base)).join(m, same, "left")
     hit = F.col("__to").isNotNull() & (F.col("speaker") != F.col("__to"))
     keep = [c for c in base.columns if c not in ("speaker", "original_speaker")]
     return joined.select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.intervals import SCAN_MS, floor_div
 from ..functions.ordered import islands, prefix_scan, trailing
 from ..functions.text import fmt_timestamp
+from .alignment import ROW, by_row
 
 
 def merge_masks(masks: DataFrame, gap_ms: int = 120, min_ms: int = 80) -> DataFrame:
@@ -114,7 +115,7 @@ def match_sfx(masks: DataFrame, profiles: DataFrame, bin_hz: int = 100) -> DataF
         F.explode(F.sequence(F.floor(low / bin_hz), F.floor(high / bin_hz))).alias("__b"),
         "profile", "center_hz", "bandwidth_hz", "avg_ms",
     )
-    m = masks.withColumn("__mb", F.floor(F.col("freq_hz") / bin_hz))
+    m = masks.withColumn(ROW, F.monotonically_increasing_id()).withColumn("__mb", F.floor(F.col("freq_hz") / bin_hz))
     cond = (
         (F.col("type") == F.col("__t")) & (F.col("__mb") == F.col("__b"))
         & (F.abs(F.col("freq_hz") - F.col("center_hz")) <= F.col("bandwidth_hz"))
@@ -126,7 +127,7 @@ def match_sfx(masks: DataFrame, profiles: DataFrame, bin_hz: int = 100) -> DataF
     )
     joined = m.join(p, cond, "left").withColumn("__d", dist)
     best = F.min(F.when(F.col("profile").isNotNull(), F.struct("__d", "profile")))
-    return joined.groupBy(*masks.columns).agg(best.alias("__m")).select(
+    return by_row(joined, masks.columns, best.alias("__m")).select(
         *masks.columns, F.col("__m.profile").alias("profile"), F.col("__m.__d").alias("distance")
     )
 

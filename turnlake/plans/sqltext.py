@@ -39,13 +39,13 @@ def ms3(ms: str) -> str:
 
 def norm_words(x: str) -> str:
     return (
-        rf"list_filter(regexp_split_to_array(regexp_replace(lower({x}),'[^\p{{L}}\p{{N}}_ \t\n\r\f]','','g'),"
-        r"'[ \t\n\r\f]+'), lambda x: x<>'')"
+        rf"list_filter(regexp_split_to_array(regexp_replace(lower({x}),'[^\p{{L}}\p{{N}}_\t-\r\x1c-\x20\x{{85}}\p{{Z}}]','','g'),"
+        r"'[\t-\r\x1c-\x20\x{85}\p{Z}]+'), lambda x: x<>'')"
     )
 
 
 def simple_words(x: str) -> str:
-    return rf"list_filter(regexp_split_to_array(lower({x}),'[ \t\n\r\f]+'), lambda x: x<>'')"
+    return rf"list_filter(regexp_split_to_array(lower({x}),'[\t-\r\x1c-\x20\x{{85}}\p{{Z}}]+'), lambda x: x<>'')"
 
 
 def edit_ctes(pairs: str) -> str:

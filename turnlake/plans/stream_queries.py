@@ -16,6 +16,37 @@ def _stream(t, df, label, files=1):
     return K.stream_new_files(t.spark, path, df.schema)
 
 
+#: Recordings land in three batches, a day apart; the last batch only moves the clock on.
+LANDINGS = 3
+START = "2024-01-01 00:00:00"
+
+
+def _landings(t, df, label, clock="started_at"):
+    """A derived table as a stream of one file per batch: recordings land one after the other.
+
+    The closing batch holds one row of no recording, a year later, so that the watermark passes all others.
+    """
+    path = scratch_path(t.spark, label)
+    turn = F.pmod(F.col("episode_id"), F.lit(LANDINGS))
+    stamped = df.withColumn(clock, F.to_timestamp(F.lit(START)) + F.make_dt_interval(turn.cast("int")))
+    for k in range(LANDINGS):
+        stamped.filter(turn == k).coalesce(1).write.mode("append").parquet(path)
+    closing = stamped.limit(1).withColumn("episode_id", F.lit(-1).cast(df.schema["episode_id"].dataType)).withColumn(
+        clock, F.to_timestamp(F.lit(START)) + F.make_dt_interval(F.lit(366))
+    )
+    closing.coalesce(1).write.mode("append").parquet(path)
+    return K.stream_new_files(t.spark, path, stamped.schema, files_per_batch=1)
+
+
+def _closed(t, df, label, ts):
+    """A log as a stream in two batches: all rows, then one row a year later that closes the windows."""
+    path = scratch_path(t.spark, label)
+    df.coalesce(1).write.parquet(path)
+    last = df.agg(F.max(ts)).first()[0]
+    df.limit(1).withColumn(ts, F.lit(last).cast("timestamp") + F.make_dt_interval(F.lit(366))).withColumn("tool", F.lit(None).cast("string")).coalesce(1).write.mode("append").parquet(path)
+    return K.stream_new_files(t.spark, path, df.schema, files_per_batch=1)
+
+
 def _files(t, stream, label):
     out = scratch_path(t.spark, label)
     K.run_to_files(stream, out, f"{out}-checkpoint")
@@ -45,13 +76,13 @@ def stream_runtime(t):
 
 @query("stream_runtime_tumbling", "K2", "SELECT tool, stage, date_trunc('day', ts) AS day, count(*) AS runs, round(sum(duration_s),6) AS total_s FROM runtime GROUP BY ALL", "runtime")
 def stream_runtime_tumbling(t):
-    got = _snapshot(t, K.stream_runtime(_stream(t, t.runtime, "runtime"), "1 day"), "runtime-days")
+    got = _files(t, K.stream_runtime(_closed(t, t.runtime, "runtime", "ts"), "1 day"), "runtime-days")
     return got.select("tool", "stage", F.col("window.start").cast("timestamp_ntz").alias("day"), "runs", F.round("total_s", 6).alias("total_s"))
 
 
 @query("stream_runtime_sliding", "K2 F7", """SELECT tool, stage, d + INTERVAL (6*k) HOUR AS window_start, count(*) AS runs FROM (SELECT tool, stage, ts, time_bucket(INTERVAL '6 hours', ts) AS d, unnest([0,-1]) AS k FROM runtime) GROUP BY ALL""", "runtime")
 def stream_runtime_sliding(t):
-    got = _snapshot(t, K.stream_runtime(_stream(t, t.runtime, "runtime"), "12 hours", slide="6 hours"), "runtime-slides")
+    got = _files(t, K.stream_runtime(_closed(t, t.runtime, "runtime", "ts"), "12 hours", slide="6 hours"), "runtime-slides")
     return got.select("tool", "stage", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "runs")
 
 
@@ -66,12 +97,12 @@ def stream_new_episodes(t):
     return t.spark.read.schema(seg.schema).parquet(out).groupBy("episode_id").agg(F.count(F.lit(1)).alias("segments"))
 
 
-@query("stream_align", "K4", "SELECT episode_id, seg_id, word_idx, speaker FROM aligned WHERE speaker<>'Unknown'", "aligned")
+@query("stream_align", "K4", "SELECT episode_id, seg_id, word_idx, speaker FROM aligned", "aligned")
 def stream_align(t):
-    """Words and turns as two streams; a shared epoch makes media time the event time."""
-    words = _stream(t, t.plain_word.select("episode_id", "seg_id", "word_idx", "start_ms", "end_ms"), "words")
-    turns = _stream(t, t.turn.select("episode_id", "turn_id", "speaker", "start_ms", "end_ms"), "turns")
-    return K.first_owner(_files(t, K.stream_align(words, turns, longest_turn="1 day", lateness="1 day"), "aligned"))
+    """Words and turns as two streams, recordings one after the other, with the default lateness."""
+    words = _landings(t, t.plain_word.select("episode_id", "seg_id", "word_idx", "start_ms", "end_ms"), "words")
+    turns = _landings(t, t.turn.select("episode_id", "turn_id", "speaker", "start_ms", "end_ms"), "turns")
+    return K.first_owner(_files(t, K.stream_align(words, turns), "aligned").filter("episode_id >= 0"))
 
 
 @query("stream_mask_sessions", "K5", """SELECT episode_id, type, start_ms, end_ms, members FROM (
@@ -80,8 +111,9 @@ def stream_align(t):
     SELECT *, CASE WHEN start_ms - max(end_ms) OVER (PARTITION BY episode_id, type ORDER BY start_ms, end_ms, mask_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 120 THEN 0 ELSE 1 END AS n FROM mask)) GROUP BY ALL)
   WHERE members>1 OR end_ms-start_ms>=80""", "mask")
 def stream_mask_sessions(t):
-    masks = _stream(t, t.mask.select("episode_id", "type", "mask_id", "start_ms", "end_ms"), "masks")
-    return _snapshot(t, K.stream_mask_sessions(masks), "mask-sessions")
+    """Recordings one after the other, sessions emitted once they are closed."""
+    masks = _landings(t, t.mask.select("episode_id", "type", "mask_id", "start_ms", "end_ms"), "masks")
+    return _files(t, K.stream_mask_sessions(masks), "mask-sessions").filter("episode_id >= 0")
 
 
 @query("stream_dedup", "K6", "SELECT DISTINCT media_path, provider FROM cost", "cost")

@@ -52,25 +52,34 @@ def _json(spark: SparkSession, path: str, schema: str, multiline: bool) -> DataF
     return spark.read.schema(schema).option("multiLine", multiline).option("mode", "PERMISSIVE").json(path)
 
 
+def _named(docs: DataFrame, episode_from: str) -> DataFrame:
+    """Documents without a ``file`` key take the stem of their file, or the name of its folder."""
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    name = F.element_at(F.split(path, "/"), -2 if episode_from == "folder" else -1)
+    if episode_from != "folder":
+        name = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+    return docs.withColumn("file", F.coalesce(F.nullif("file", F.lit("")), name))
+
+
 def _seg_id(entry: Column, pos: Column) -> Column:
     # An id of 0 is indistinguishable from a missing one and takes the position.
     return F.coalesce(F.nullif(entry.try_cast("bigint"), F.lit(0)), pos.cast("bigint"))
 
 
 def read_asr(
-    spark: SparkSession, path: str, dialect: str = "native", multiline: bool = False
+    spark: SparkSession, path: str, dialect: str = "native", multiline: bool = False, episode_from: str = "stem"
 ) -> tuple[DataFrame, DataFrame]:
     """(segments, words) of ASR documents; blank words dropped, id falls back to the position.
 
     ``eval`` documents use the keys w/p, and a missing p counts as 1.
     """
     if dialect == "eval":
-        docs = _json(spark, path, ASR_EVAL, multiline)
+        docs = _named(_json(spark, path, ASR_EVAL, multiline), episode_from)
         segs = docs.select(F.col("file").alias("episode_id"), F.posexplode("segments").alias("pos", "s"))
         seg_id, conf = F.col("pos").cast("bigint"), F.lit(None).cast("double")
         word, prob = (lambda w: w["w"]), (lambda w: _prob(w["p"], 1.0))
     else:
-        docs = _json(spark, path, ASR, multiline)
+        docs = _named(_json(spark, path, ASR, multiline), episode_from)
         segs = docs.select(F.col("file").alias("episode_id"), F.posexplode("segments").alias("pos", "s"))
         seg_id, conf = _seg_id(F.col("s.id"), F.col("pos")), _prob(F.col("s.confidence"), 0.0)
         word, prob = (lambda w: w["word"]), (lambda w: _prob(w["probability"], 0.0))
@@ -88,9 +97,9 @@ def read_asr(
     return segments, words
 
 
-def read_diarization(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def read_diarization(spark: SparkSession, path: str, multiline: bool = False, episode_from: str = "stem") -> DataFrame:
     """Turns; a missing speaker becomes ``cluster_<position>``."""
-    docs = _json(spark, path, DIARIZATION, multiline)
+    docs = _named(_json(spark, path, DIARIZATION, multiline), episode_from)
     rows = docs.select(F.col("file").alias("episode_id"), F.posexplode("segments").alias("pos", "s"))
     return rows.select(
         "episode_id", _seg_id(F.col("s.id"), F.col("pos")).alias("turn_id"),
@@ -111,9 +120,9 @@ def read_rttm(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_aligned(spark: SparkSession, path: str) -> DataFrame:
+def read_aligned(spark: SparkSession, path: str, episode_from: str = "stem") -> DataFrame:
     """Aligned segments, one JSON object per line; blank lines are skipped."""
-    rows = _json(spark, path, ALIGNED, False).filter(F.coalesce("start", "end", "speaker", "text").isNotNull())
+    rows = _named(_json(spark, path, ALIGNED, False), episode_from).filter(F.coalesce("start", "end", "speaker", "text").isNotNull())
     word = lambda w: F.struct(
         w["word"].alias("word"), _ms(w["start"]).alias("start_ms"), _ms(w["end"]).alias("end_ms"),
         w["speaker"].alias("speaker"),
@@ -124,9 +133,9 @@ def read_aligned(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_transcript(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def read_transcript(spark: SparkSession, path: str, multiline: bool = False, episode_from: str = "stem") -> DataFrame:
     """Transcript segments with metadata; a word's speaker falls back to its segment's."""
-    docs = _json(spark, path, TRANSCRIPT, multiline)
+    docs = _named(_json(spark, path, TRANSCRIPT, multiline), episode_from)
     rows = docs.select(F.col("file").alias("episode_id"), F.posexplode("segments").alias("pos", "s"))
     word = lambda w: F.struct(
         F.trim(w["word"]).alias("word"), _ms(w["start"]).alias("start_ms"), _ms(w["end"]).alias("end_ms"),
@@ -173,9 +182,12 @@ def read_runtime_log(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_review_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of both manifest layouts: declared clusters first, legacy snippets appended."""
-    return parse_review_manifest(spark.read.text(path))
+def read_review_manifest(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Entries of both manifest layouts: declared clusters first, legacy snippets appended.
+
+    One document per line, or with ``whole_files`` one (possibly indented) document per file.
+    """
+    return parse_review_manifest(spark.read.option("wholetext", whole_files).text(path))
 
 
 def parse_review_manifest(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,11 @@
 """Streaming operators.  Each takes streaming DataFrames and returns one; sinks are separate.
 
-Running totals keep one state row per group key.  Joins, sessions and
-deduplication carry watermarks, so their state is bounded by the allowed lateness.
+Running totals keep one state row per group key.  Windows, joins, sessions and deduplication carry
+watermarks and run in append mode, so their state is bounded by the allowed lateness.
+
+Event time is the wall clock of a recording's start (column ``clock``) plus the offset in the recording.
+Media time alone would be one clock for all recordings, and the watermark of the first would
+cut off the beginning of every later one.
 """
 
 from __future__ import annotations
@@ -9,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import UNKNOWN
+
 
 def stream_cost(events: DataFrame) -> DataFrame:
     """Running cost per provider and model (``update`` or ``complete`` mode)."""
@@ -30,50 +36,59 @@ def stream_runtime(log: DataFrame, window: str | None = None, lateness: str = "1
     )
 
 
-def stream_new_files(spark: SparkSession, path: str, schema, fmt: str = "parquet") -> DataFrame:
-    """Rows of files not seen before; the sink's checkpoint remembers the files done."""
-    return spark.readStream.schema(schema).format(fmt).load(path)
+def stream_new_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
+    """Rows of files not seen before, oldest first; the sink's checkpoint remembers the files done."""
+    reader = spark.readStream.schema(schema).format(fmt)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.load(path)
 
 
-def event_time(ms: Column) -> Column:
-    return F.timestamp_millis(ms)
+def event_time(ms: Column, clock: str = "started_at") -> Column:
+    return F.timestamp_micros(F.unix_micros(F.col(clock).cast("timestamp")) + ms * 1000)
 
 
-def stream_align(words: DataFrame, turns: DataFrame, lateness: str = "10 minutes", longest_turn: str = "1 hour") -> DataFrame:
-    """Words joined to the turns holding their midpoint, as both arrive.
+def stream_align(
+    words: DataFrame, turns: DataFrame, lateness: str = "10 minutes", longest_turn: str = "1 hour", clock: str = "started_at"
+) -> DataFrame:
+    """Words joined to the turns holding their midpoint, as both arrive; append mode.
 
-    Turn state is dropped ``longest_turn`` after its start; overlapping turns give
-    several rows per word, which :func:`first_owner` reduces.
+    A word whose turns never come leaves with nulls once the watermark has passed it.  That includes words
+    later than ``longest_turn`` after their turn's start, so nothing is lost without a trace.  Overlapping
+    turns give several rows per word; :func:`first_owner` reduces them and names the rest ``Unknown``.
     """
-    w = words.withColumn("w_ts", event_time(F.col("start_ms"))).withWatermark("w_ts", lateness)
+    w = words.withColumn("w_ts", event_time(F.col("start_ms"), clock)).withWatermark("w_ts", lateness)
     t = turns.select(
         F.col("episode_id").alias("t_episode"), "turn_id", "speaker",
         F.col("start_ms").alias("t_start"), F.col("end_ms").alias("t_end"),
-        event_time(F.col("start_ms")).alias("t_ts"),
+        event_time(F.col("start_ms"), clock).alias("t_ts"),
     ).withWatermark("t_ts", lateness)
-    mid2 = F.col("start_ms") + F.col("end_ms")
+    mid2 = F.col("start_ms") + F.greatest(F.col("end_ms"), F.col("start_ms"))
     cond = (
         (F.col("episode_id") == F.col("t_episode"))
         & (F.col("t_start") * 2 <= mid2) & (mid2 < F.col("t_end") * 2)
         & (F.col("w_ts") >= F.col("t_ts") - F.expr(f"INTERVAL {longest_turn}"))
         & (F.col("w_ts") <= F.col("t_ts") + F.expr(f"INTERVAL {longest_turn}"))
     )
-    return w.join(t, cond).drop("t_episode", "w_ts", "t_ts")
+    return w.join(t, cond, "left_outer").drop("t_episode", "w_ts", "t_ts")
 
 
 def first_owner(joined: DataFrame) -> DataFrame:
     """Batch reduction of streamed pairs to the smallest (start, end) turn per word."""
+    owned = F.when(F.col("turn_id").isNotNull(), F.struct("t_start", "t_end", "turn_id"))
     return joined.groupBy("episode_id", "seg_id", "word_idx").agg(
-        F.min_by("speaker", F.struct("t_start", "t_end", "turn_id")).alias("speaker")
+        F.coalesce(F.min_by("speaker", owned), F.lit(UNKNOWN)).alias("speaker")
     )
 
 
-def stream_mask_sessions(masks: DataFrame, gap_ms: int = 120, min_ms: int = 80, lateness: str = "10 minutes") -> DataFrame:
-    """Live merging of masks: sessions whose gap counts from the end of each event."""
+def stream_mask_sessions(
+    masks: DataFrame, gap_ms: int = 120, min_ms: int = 80, lateness: str = "10 minutes", clock: str = "started_at"
+) -> DataFrame:
+    """Live merging of masks, in append mode: sessions whose gap counts from the end of each event."""
     # Sessions that touch are merged, while a gap of exactly ``gap_ms`` must separate.
     reach = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0)) + gap_ms - 1
     gap = F.concat(reach.cast("string"), F.lit(" milliseconds"))
-    stamped = masks.withColumn("ts", event_time(F.col("start_ms"))).withWatermark("ts", lateness)
+    stamped = masks.withColumn("ts", event_time(F.col("start_ms"), clock)).withWatermark("ts", lateness)
     merged = stamped.groupBy("episode_id", "type", F.session_window("ts", gap)).agg(
         F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count(F.lit(1)).alias("members"),
     )
@@ -108,6 +123,8 @@ def run_to_snapshot(stream: DataFrame, out: str, checkpoint: str, mode: str = "c
 
 
 def latest_snapshot(spark: SparkSession, out: str) -> DataFrame:
-    snaps = spark.read.parquet(out)
-    newest = snaps.agg(F.max("epoch").alias("epoch"))
-    return snaps.join(newest, "epoch", "left_semi").drop("epoch")
+    """The newest snapshot; older ones are listed, not read."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    names = [f.getPath().getName() for f in root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)]
+    newest = max(int(n.partition("=")[2]) for n in names if n.startswith("epoch="))
+    return spark.read.parquet(f"{out}/epoch={newest}")
