@@ -187,7 +187,7 @@ def read_review_manifest(spark: SparkSession, path: str, whole_files: bool = Fal
 
     One document per line, or with ``whole_files`` one (possibly indented) document per file.
     """
-    return parse_review_manifest(spark.read.option("wholetext", whole_files).text(path))
+    return parse_review_manifest(spark.read.text(path, wholetext=whole_files))
 
 
 def parse_review_manifest(docs: DataFrame) -> DataFrame:
