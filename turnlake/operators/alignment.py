@@ -264,22 +264,3 @@ def split_masks(masks: DataFrame, turns: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("speaker"),
     )
     return covered.unionByName(holes)
-
-
-def point_in_turn_unbucketed(words: DataFrame, turns: DataFrame) -> DataFrame:
-    """Plain equi + range join with a ranked pick: the check for the bucketed forms."""
-    t = turns.select(
-        F.col("episode_id").alias("k"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"),
-        F.col("turn_id").alias("t"), F.col("speaker").alias("who"),
-    )
-    mid2 = F.col("start_ms") + F.col("end_ms")
-    joined = words.join(
-        t, (F.col("episode_id") == F.col("k")) & (F.col("s") * 2 <= mid2) & (mid2 < F.col("e") * 2), "left"
-    )
-    who = F.min_by("who", F.when(F.col("s").isNotNull(), F.struct("s", "e", "t")))
-    return joined.groupBy(*words.columns).agg(F.coalesce(who, F.lit(UNKNOWN)).alias("speaker"))
-
-
-def shares(col: Column, over: Column) -> Column:
-    """Ratio rounded to six digits, null on an empty base."""
-    return F.round(F.when(over > 0, col / over), 6)

@@ -170,26 +170,20 @@ def read_review_manifest(t):
     return got.select("episode_id", "cluster", "entry_id", "start_ms", "end_ms", "layout")
 
 
-@query("episode_catalog", "A11")
+@query("episode_catalog", "A11", """WITH e AS (SELECT DISTINCT episode_id FROM seg),
+  m AS (SELECT 'show'||(episode_id%5) AS show_slug, 'S01E'||(episode_id%60) AS code, episode_id::VARCHAR AS dir FROM e),
+  n AS (SELECT *, show_slug||' · '||code AS l, row_number() OVER (PARTITION BY show_slug, code ORDER BY show_slug, dir) AS k FROM m)
+  SELECT show_slug, code AS episode_id, dir, CASE WHEN k=1 THEN l ELSE l||' ('||dir||')' END AS label FROM n""", "seg")
 def episode_catalog(t):
-    """Metadata files in folders per show and episode, one per user; read back by glob."""
+    """One metadata file per episode in a folder per show and episode, read by the operator itself."""
     path = scratch_path(t.spark, "shows")
-    docs = t.run.select(
-        F.concat(F.lit("show"), (F.col("episode_id") % 5).cast("string")).alias("show"), F.lit("x").alias("pad"),
-        F.col("episode_id").alias("dir"),
-        F.to_json(F.struct(
-            F.when(F.col("episode_id") % 4 != 0, F.concat(F.lit("show"), (F.col("episode_id") % 5).cast("string"))).alias("show_slug"),
-            F.concat(F.lit("S01E"), (F.col("episode_id") % 60).cast("string")).alias("episode_id"))).alias("value"),
-    )
-    docs.drop("pad").repartition("dir").write.partitionBy("show", "dir").text(path)
-    meta = (
-        t.spark.read.schema(R.METADATA).json(f"{path}/*/*/*.txt").withColumn("path", F.input_file_name())
-    )
-    parts = F.split("path", "/")
-    return R.label_catalog(meta.select(
-        F.coalesce("show_slug", F.regexp_replace(F.element_at(parts, -3), "^show=", "")).alias("show_slug"), "episode_id",
-        F.regexp_replace(F.element_at(parts, -2), "^dir=", "").alias("dir"), F.regexp_replace("path", "part-.*", "").alias("path"),
-    )).select("show_slug", "episode_id", "dir", "label", "sort_key")
+    show = F.concat(F.lit("show"), (F.col("episode_id") % 5).cast("string"))
+    t.seg.select("episode_id").distinct().select(
+        show.alias("show"), F.col("episode_id").cast("string").alias("dir"),
+        F.to_json(F.struct(F.when(F.col("episode_id") % 4 != 0, show).alias("show_slug"),
+                           F.concat(F.lit("S01E"), (F.col("episode_id") % 60).cast("string")).alias("episode_id"))).alias("value"),
+    ).repartition("dir").write.partitionBy("show", "dir").text(path)
+    return R.episode_catalog(t.spark, path, "*/*/*.txt", show_at=-3).select("show_slug", "episode_id", "dir", "label")
 
 
 @query("merge_catalogs", "H4", """WITH e AS (SELECT 'show'||(p_partkey%5) AS show_slug, 'E'||(p_partkey%40) AS episode_id, p_partkey::VARCHAR AS dir, CASE WHEN p_partkey%2=0 THEN 0 ELSE 1 END AS root FROM part),

@@ -218,18 +218,24 @@ def parse_review_manifest(docs: DataFrame) -> DataFrame:
     )
 
 
-def episode_catalog(spark: SparkSession, root: str) -> DataFrame:
-    """Labels ``slug · id`` of <root>/<show>/episodes/<dir>/metadata.json files."""
+def episode_catalog(
+    spark: SparkSession, root: str, pattern: str = "*/episodes/*/metadata.json", show_at: int = -4
+) -> DataFrame:
+    """Labels ``slug · id`` of the metadata files below ``root``, by default <show>/episodes/<dir>/metadata.json.
+
+    ``show_at`` is the place of the show's folder in the path, from its end; ``name=`` before a folder's value
+    (partitioned tables) is left out.  A missing slug or id takes the folder's name.
+    """
     docs = (
-        spark.read.schema(METADATA).option("multiLine", True).json(f"{root}/*/episodes/*/metadata.json")
-        .withColumn("path", F.input_file_name())
+        spark.read.schema(METADATA).option("multiLine", True).json(f"{root}/{pattern}")
+        .withColumn("path", F.col("_metadata.file_path"))
     )
-    parts = F.split("path", "/")
+    folder = lambda at: F.regexp_replace(F.url_decode(F.element_at(F.split("path", "/"), at)), "^[a-z_]+=", "")
     return label_catalog(
         docs.select(
-            F.coalesce(F.nullif("show_slug", F.lit("")), F.element_at(parts, -4)).alias("show_slug"),
-            F.coalesce(F.nullif("episode_id", F.lit("")), F.element_at(parts, -2)).alias("episode_id"),
-            F.element_at(parts, -2).alias("dir"), F.col("path").alias("path"),
+            F.coalesce(F.nullif("show_slug", F.lit("")), folder(show_at)).alias("show_slug"),
+            F.coalesce(F.nullif("episode_id", F.lit("")), folder(-2)).alias("episode_id"),
+            folder(-2).alias("dir"), F.col("path").alias("path"),
         )
     )
 
