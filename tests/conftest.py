@@ -9,13 +9,15 @@ sys.path.insert(0, os.path.join(ROOT, "tests"))
 
 
 @pytest.fixture(scope="session")
-def spark():
-    from turnlake.session import build_session
+def spark(tmp_path_factory):
+    from turnlake.session import build_session, drop_scratch
 
     s = build_session(
         "tests", "local[8]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
         spark__driver__memory="4g", spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    drop_scratch(s)
     s.stop()

@@ -315,7 +315,8 @@ def test_edit_counts_small_and_tiled(spark):
     pairs = [(i, text(), text()) for i in range(150)]
     df = spark.createDataFrame(pairs, "k int, ref_ws array<string>, hyp_ws array<string>")
     whole = {r.k: r for r in S.edit_counts(df, ["k"]).collect()}
-    tiled = {r.k: r for r in S.edit_counts(df, ["k"], tile=4).collect()}
+    cut = lambda c: df.select("k", F.inline(F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(c) - 1, F.lit(0)) / 4).cast("int")), lambda b: F.struct(b.alias("b"), F.transform(F.slice(c, b * 4 + 1, 4), lambda w: F.xxhash64(w)).alias("toks")))))
+    tiled = {r.k: r for r in S.edit_counts_blocks(cut("ref_ws"), cut("hyp_ws"), ["k"], tile=4).collect()}
     assert len(whole) == len(tiled) == len(pairs)
     for k, ref, hyp in pairs:
         want = _best_counts(ref, hyp)

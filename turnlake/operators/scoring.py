@@ -62,31 +62,83 @@ def _dp_row(cost, dels, ref_tok, hyp, left_cost, left_dels, ramp):
     return row, path
 
 
-def _edit_batch(refs: list[np.ndarray], hyps: list[np.ndarray]) -> np.ndarray:
-    """(cost, deletions) of whole pairs, padded to a common width."""
-    p = len(refs)
-    m = np.array([len(r) for r in refs])
-    n = np.array([len(h) for h in hyps])
-    ids: dict[int, int] = {}
-    code = lambda xs: [ids.setdefault(x, len(ids)) for x in xs]
-    ref = np.full((p, max(1, m.max())), -1, dtype=np.int32)
-    hyp = np.full((p, max(1, n.max())), -2, dtype=np.int32)
-    for k in range(p):
-        ref[k, : m[k]] = code(refs[k])
-        hyp[k, : n[k]] = code(hyps[k])
-    cost = np.tile(np.arange(hyp.shape[1] + 1, dtype=np.int32), (p, 1))
+_FAR = 1 << 29
+
+
+def _in_band(ref: np.ndarray, hyp: np.ndarray, m: np.ndarray, n: np.ndarray, half: int) -> np.ndarray:
+    """(cost, deletions) of padded pairs, looking only at cells with |j - i| <= half.
+
+    Costs up to ``half`` are exact, and so is the choice of path: every cell of a best path, and every cell
+    it may be chosen from, lies inside the band.
+    """
+    p, rows = ref.shape
+    width = 2 * half + 1
+    ramp = np.arange(width, dtype=np.int32)
+    # Column o of row i is cell j = i + o - half; the hypothesis is padded so that every row is one slice.
+    text = np.full((p, half + max(rows, hyp.shape[1]) + width + 1), -3, dtype=np.int32)
+    text[:, half : half + hyp.shape[1]] = hyp
+    cost = np.tile(np.where(ramp >= half, ramp - half, _FAR).astype(np.int32), (p, 1))
     dels = np.zeros_like(cost)
     out = np.zeros((p, 2), dtype=np.int64)
-    rows = np.arange(p)
-    ramp = np.arange(hyp.shape[1] + 1, dtype=np.int32)
-    for i in range(m.max() + 1):
-        done = m == i
-        if done.any():
-            out[done, 0] = cost[rows[done], n[done]]
-            out[done, 1] = dels[rows[done], n[done]]
-        if i < m.max():
-            edge = np.full(p, i + 1, dtype=np.int32)
-            cost, dels = _dp_row(cost, dels, ref[:, i], hyp, edge, edge, ramp)
+    each = np.arange(p)
+    shifted = (np.arange(p, dtype=np.int64) * width)[:, None]
+    for i in range(rows + 1):
+        done = np.flatnonzero(m == i)
+        if len(done):
+            at = n[done] - i + half
+            out[done, 0], out[done, 1] = cost[each[done], at], dels[each[done], at]
+        if i == rows:
+            break
+        up, up_dels = np.full_like(cost, _FAR), np.zeros_like(dels)
+        up[:, :-1], up_dels[:, :-1] = cost[:, 1:], dels[:, 1:]
+        same = text[:, i : i + width] == ref[:, i, None]
+        own = np.minimum(cost, up) + 1
+        np.copyto(own, cost, where=same)
+        edge = half - i - 1  # the column of j = 0, which has deletions only
+        if edge >= 0:
+            own[:, :edge] = _FAR
+            own[:, edge] = i + 1
+        own -= ramp
+        np.minimum.accumulate(own, axis=1, out=own)
+        own += ramp
+        by_diag = (own - cost == 1) | same
+        inserted = (own - up != 1) & ~by_diag
+        path = np.where(by_diag, dels, up_dels + 1)
+        if edge >= 0:
+            inserted[:, : edge + 1] = False
+            path[:, edge] = i + 1
+        inserted[:, 0] = False
+        if inserted.any():
+            # An insertion carries the value of the nearest cell to its left that is none.
+            source = np.maximum.accumulate(np.where(inserted, 0, ramp), axis=1)
+            path = path.reshape(-1).take(source + shifted)
+        cost, dels = own, path
+    return out
+
+
+def _edit_batch(refs: list[np.ndarray], hyps: list[np.ndarray]) -> np.ndarray:
+    """(cost, deletions) of whole pairs: bands are doubled until they hold the distance.
+
+    The work is words times errors, not words times words, and memory is one row of the band.
+    """
+    m, n = np.array([len(r) for r in refs]), np.array([len(h) for h in hyps])
+    flat = np.concatenate([*refs, *hyps]) if m.sum() + n.sum() else np.zeros(0, np.int64)
+    codes = np.unique(flat, return_inverse=True)[1].astype(np.int32)
+    cuts = np.cumsum(np.concatenate((m, n)))[:-1]
+    parts = np.split(codes, cuts)
+    ref, hyp = np.full((len(m), max(1, m.max())), -1, np.int32), np.full((len(n), max(1, n.max())), -2, np.int32)
+    for k in range(len(m)):
+        ref[k, : m[k]], hyp[k, : n[k]] = parts[k], parts[len(m) + k]
+    out = np.zeros((len(m), 2), dtype=np.int64)
+    half = np.maximum(16, np.abs(m - n) + 8)
+    todo = np.arange(len(m))
+    while len(todo):
+        wide_enough = int(half[todo].max())
+        rows, columns = max(1, int(m[todo].max())), max(1, int(n[todo].max()))
+        found = _in_band(ref[todo, :rows], hyp[todo, :columns], m[todo], n[todo], wide_enough)
+        out[todo] = found
+        todo = todo[(found[:, 0] > wide_enough) & (np.maximum(m, n)[todo] > wide_enough)]
+        half[todo] = np.minimum(2 * wide_enough, np.maximum(m, n)[todo])
     return out
 
 
@@ -96,6 +148,8 @@ _EDIT = T.StructType([T.StructField("cost", T.LongType()), T.StructField("dels",
 @F.pandas_udf(_EDIT)
 def _edit_udf(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     out = np.zeros((len(ref), 2), dtype=np.int64)
+    if not len(ref):
+        return pd.DataFrame({"cost": out[:, 0], "dels": out[:, 1]})
     size = np.array([max(len(a), len(b)) for a, b in zip(ref, hyp)])
     order = np.argsort(size, kind="stable")
     at = 0
@@ -123,31 +177,17 @@ def _tokens(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def edit_counts(pairs: DataFrame, keys: Sequence[str], tile: int = TILE) -> DataFrame:
-    """S, I, D, N per pair of word arrays (``ref_ws``, ``hyp_ws``).
+def edit_counts(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """S, I, D, N per pair of word arrays (``ref_ws``, ``hyp_ws``), of any length, in Arrow batches.
 
-    Pairs of up to ``tile`` words are scored where they are, in Arrow batches.
-    Longer ones are cut into blocks and scored by :func:`edit_counts_blocks`, so
-    no task holds more than one tile of any matrix.
+    Texts that are too long for one row come in blocks, see :func:`edit_counts_blocks`.
     """
     sized = pairs.select(
         *keys, F.size("ref_ws").alias("__m"), F.size("hyp_ws").alias("__n"),
         _tokens(F.col("ref_ws")).alias("__r"), _tokens(F.col("hyp_ws")).alias("__h"),
     )
-    short = (F.col("__m") <= tile) & (F.col("__n") <= tile)
-    near = wide(sized.filter(short), *keys).withColumn("__e", _edit_udf("__r", "__h"))
-    out = near.select(*keys, *_counts(F.col("__e.cost"), F.col("__e.dels"), F.col("__m"), F.col("__n")))
-    if pairs.filter(F.greatest(F.size("ref_ws"), F.size("hyp_ws")) > tile).isEmpty():
-        return out
-    far = sized.filter(~short)
-    cut = lambda col, n: F.transform(
-        F.sequence(F.lit(0), F.floor(F.greatest(F.col(n) - 1, F.lit(0)) / tile).cast("int")),
-        lambda b: F.struct(b.alias("b"), F.slice(col, b * tile + 1, tile).alias("toks")),
-    )
-    blocks = lambda col, n: far.select(*keys, F.inline(cut(col, n)))
-    return out.unionByName(
-        edit_counts_blocks(blocks("__r", "__m"), blocks("__h", "__n"), keys, tile)
-    )
+    near = wide(sized, *keys).withColumn("__e", _edit_udf("__r", "__h"))
+    return near.select(*keys, *_counts(F.col("__e.cost"), F.col("__e.dels"), F.col("__m"), F.col("__n")))
 
 
 def edit_counts_blocks(
