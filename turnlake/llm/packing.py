@@ -17,8 +17,8 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,17 +39,18 @@ UNIT, SMALL = 8, 64
 GAP = 0.001
 FULL = 0.985
 SALTS = 64
-CACHED_WORDS, CACHED_CHARS = 200_000, 32
+CACHED_PIECES, CACHED_CHARS = 250_000, 32
 
 _TOKENIZERS: dict[str, "_Words"] = {}
 
 
 class _Words(dict):
-    """Blank-separated chunk -> its ids as little-endian unsigned 32-bit bytes; of bounded size.
+    """Piece of text -> its ids as little-endian unsigned 32-bit bytes; of bounded size.
 
-    A chunk's ids do not depend on its neighbours, because the vocabulary's splitting drops white space.
-    Letters followed by marks, the usual case, split there and ignore case, so that fewer pieces are encoded.
-    When it is full, the entries become the older half, which is asked before encoding anew.
+    The vocabulary lower-cases a text, drops white space and splits the rest into pieces that are encoded one by
+    one, so ids of pieces can be kept.  Texts of ASCII and Latin-1 letters are split here in the same way; the
+    chunks between blanks of all other texts are encoded as they are.  When the table is full, it becomes the
+    older half, which is asked before encoding anew.
     """
 
     def __init__(self, path: str):
@@ -63,67 +64,55 @@ class _Words(dict):
         # Lower-case letters need no normalising or splitting.
         plain |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {
             "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
-        self.letters_model = Tokenizer.from_str(json.dumps(plain))
-        self.letters: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
-        self.older: tuple[dict, dict] = ({}, {})
-
-    def encode(self, chunk: str) -> bytes:
-        return _packed(self.model.encode(chunk, add_special_tokens=False).ids) if chunk else b""
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.older[0].get(chunk)
-        if ids is None:
-            ids = self.encode(chunk)
-        if len(chunk) <= CACHED_CHARS:
-            self[chunk] = ids
+        self.letters = Tokenizer.from_str(json.dumps(plain))
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        """Pieces too long to keep, and chunks of texts that are not split here."""
+        ids = _packed(self.model.encode(piece, add_special_tokens=False).ids) if piece else b""
+        if len(piece) <= CACHED_CHARS:
+            self[piece] = ids
         return ids
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; all new chunks are encoded in one call."""
-        chunks = [t.split(" ") for t in texts]
-        if len(self) > CACHED_WORDS or len(self.letters) > CACHED_WORDS or len(self.marks) > CACHED_WORDS:
-            self.older = dict(self), self.letters
+        """Ids of each text; all new pieces are encoded in one call."""
+        if len(self) > CACHED_PIECES:
+            self.older = dict(self)
             self.clear()
-            self.letters, self.marks = {}, {"": b""}
-        new = set().union(*chunks)
+        split = [_pieces(t.lower()) if _plain(t) else _chunks(t) for t in texts]
+        new = set().union(*split)
         new.difference_update(self)
-        known, known_letters, letters_of = self.older[0].get, self.older[1].get, self.letters
-        split, missing = [], set()
-        for chunk in new:
-            if len(chunk) > CACHED_CHARS:
-                continue
-            found = _SIMPLE(chunk)
-            if not found:
-                ids = known(chunk)
-                self[chunk] = self.encode(chunk) if ids is None else ids
-                continue
-            letters, mark = found.groups()
-            letters = letters.lower()
-            split.append((chunk, letters, mark))
-            if letters not in letters_of:
-                ids = known_letters(letters)
-                if ids is None:
-                    missing.add(letters)
-                else:
-                    letters_of[letters] = ids
-            if mark not in self.marks:
-                self.marks[mark] = self.encode(mark)
-        wanted = list(missing)
-        for letters, found in zip(wanted, self.letters_model.encode_batch_fast(wanted, add_special_tokens=False)):
-            letters_of[letters] = _packed(found.ids)
-        for chunk, letters, mark in split:
-            self[chunk] = letters_of[letters] + self.marks[mark] if mark else letters_of[letters]
+        known, letters = self.older.get, []
+        for piece in new:
+            ids = known(piece)
+            if ids is not None:
+                self[piece] = ids
+            elif _lower_letters(piece) and len(piece) <= CACHED_CHARS:
+                letters.append(piece)
+        for piece, found in zip(letters, self.letters.encode_batch_fast(letters, add_special_tokens=False)):
+            self[piece] = _packed(found.ids)
         one = self.__getitem__
-        return [b"".join(map(one, c)) for c in chunks]
+        return [b"".join(map(one, pieces)) for pieces in split]
 
 
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return array("I", ids).tobytes()
+
+
+# The vocabulary's splitting pattern, for texts of ASCII and Latin-1 letters.
+_LATIN = "a-z\u00df-\u00f6\u00f8-\u00ff"
+_pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\\s0-9{_LATIN}]+").findall
+_lower_letters = re.compile(f"[{_LATIN}]+").fullmatch
+_other = re.compile("[^\t-\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]").search
+
+
+def _plain(text: str) -> bool:
+    """Only characters that the pattern above splits alike, and none of the vocabulary's special tokens."""
+    return "<|" not in text and _other(text) is None
 
 
-#: Letters of ASCII and Latin-1, then ASCII marks but for the apostrophe (which the vocabulary splits its own way).
-_SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)\Z").match
+def _chunks(text: str) -> list[str]:
+    return text.replace("\n", " ").split(" ")
 
 
 def words_of(path: str) -> _Words:
@@ -142,8 +131,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(tokenizer)
         for whole in batches:
-            for part in tx.slices(whole):
-                texts = [(t or "").replace("\n", " ") for t in part.column("text").to_pylist()]
+            for part in tx.slices(whole, limit=2 * tx.SLICE_BYTES):
+                texts = [t or "" for t in part.column("text").to_pylist()]
                 coded = words.ids(texts)
                 row, start, size, crc, total, ids = [], [], [], [], [], []
                 for k, body in enumerate(coded):
