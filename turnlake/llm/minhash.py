@@ -8,8 +8,8 @@ sets need one or two rounds instead of one hash per coordinate and element.
 Documents with equal sets form a class first.  Classes that agree in all coordinates of a band share a bucket.
 Each bucket first compares its members with one centre only, and verified links are contracted to components.
 Members outside the centre's component then meet one more member of each of their buckets, drawn anew per bucket,
-which connects nearly all that belong to a group.  The few still outside are compared with all of the bucket's members
-of other components.  So every pair that shares a bucket is either verified or already connected, while a large
+which connects nearly all that belong to a group.  Those still outside are compared with all of the bucket's members
+of other components, behind a longer sketch (``FINE`` bits), computed only for documents that share a bucket.  So every pair that shares a bucket is either verified or already connected, while a large
 group of near copies costs a few comparisons per member.  A sketch of one bit per coordinate discards far pairs inside the join; what is
 left is decided on the full sets.
 
@@ -34,6 +34,7 @@ from .components import labels
 
 BAND_ROWS, BANDS = 6, 40
 COORDINATES = BAND_ROWS * BANDS
+FINE = 3072
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -74,6 +75,12 @@ def _sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarr
     return np.concatenate(parts) if parts else found, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
 
 
+def _one_bit(coords: np.ndarray) -> np.ndarray:
+    """One bit per coordinate, in longs."""
+    bits = np.packbits((tx.mix(coords) & np.uint64(1)).astype(np.uint8), axis=1)
+    return np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.int64)
+
+
 def _identity(elements: np.ndarray) -> tuple[int, int]:
     digest = hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
@@ -97,8 +104,7 @@ def sketches(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: st
                 band = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(use), BANDS)).copy()
                 for k in range(BAND_ROWS):
                     band = tx.mix(band * np.uint64(31) + shape[:, :, k])
-                bits = np.packbits((tx.mix(coords) & np.uint64(1)).astype(np.uint8), axis=1)
-                bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.int64)
+                bits = _one_bit(coords)
                 ids = [(None, None)] * part.num_rows
                 for k in use:
                     ids[k] = _identity(elements[at[k] : at[k + 1]])
@@ -113,7 +119,7 @@ def sketches(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: st
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, shingle: int, text_col: str) -> DataFrame:
-    """(f, elements) of the wanted texts (h), one row per set."""
+    """(f, elements, fine sketch) of the wanted texts (h), one row per set."""
     text = F.col(text_col).cast("string")
     source = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).join(wanted, "h", "left_semi")
 
@@ -121,11 +127,16 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, shingle: int, text_col: str)
         for whole in batches:
             for part in tx.slices(whole):
                 elements, at = _sets(*tx.flat(part.column("text")), shingle)
+                at = np.concatenate((at[:1], at[1:][np.diff(at) > 0]))
                 ids = [_identity(elements[a:b])[0] for a, b in zip(at[:-1], at[1:])]
+                # A few hundred sets at a time: short texts are many, and a long sketch is 24 KB while it is filled.
+                parts = [_one_bit(sketch(elements[at[k] : at[min(k + 256, len(ids))]], at[k : k + 257] - at[k], FINE)) for k in range(0, len(ids), 256)]
+                bits = np.concatenate(parts) if parts else np.zeros((0, FINE // 64), np.int64)
+                fine = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * bits.shape[1], pa.int32()), pa.array(bits.ravel()))
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(elements.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["f", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists, fine], ["f", "elements", "fine"])
 
-    return source.select("text").mapInArrow(run, "f long, elements array<long>").dropDuplicates(["f"])
+    return source.select("text").mapInArrow(run, "f long, elements array<long>, fine array<long>").dropDuplicates(["f"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -148,11 +159,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
 
 
-def _far(a: str, b: str, percent: int) -> Column:
-    """True where two one-bit sketches differ more than sets of the threshold similarity do (six deviations)."""
+def _far(a: str, b: str, percent: int, size: int = COORDINATES) -> Column:
+    """True where two one-bit sketches differ more than sets of the threshold similarity do (five deviations)."""
     p = (1 - percent / 100) / 2
-    limit = int(np.ceil(COORDINATES * p + 6 * np.sqrt(COORDINATES * p * (1 - p))))
-    words = -(-COORDINATES // 64)
+    limit = int(np.ceil(size * p + 5 * np.sqrt(size * p * (1 - p))))
+    words = -(-size // 64)
     apart = sum((F.bit_count(F.element_at(a, k + 1).bitwiseXOR(F.element_at(b, k + 1))) for k in range(words)), F.lit(0))
     return apart > limit
 
@@ -213,12 +224,15 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     outside = placed(labels(links)).where("label <> main")
     links = links.unionByName(compare(outside.select("f", "bits", F.col("second").alias("other")), "second-links"))
 
-    members = settle(placed(labels(links)), "members")
-    stray = members.where("label <> main").select("key", F.col("f").alias("a"), F.col("bits").alias("abits"), F.col("label").alias("alabel"))
-    other = members.select("key", F.col("f").alias("b"), F.col("bits").alias("bbits"), F.col("label").alias("blabel"))
+    members = settle(placed(labels(links)).drop("bits", "second"), "members")
+    fine = sets.select("f", "fine")
+    stray = members.where("label <> main").join(fine, "f").select("key", F.col("f").alias("a"), F.col("fine").alias("afine"), F.col("label").alias("alabel"))
+    other = members.join(members.where("label <> main").select("key").distinct(), "key", "left_semi").join(fine, "f").select(
+        "key", F.col("f").alias("b"), F.col("fine").alias("bfine"), F.col("label").alias("blabel")
+    )
     rest = (
         stray.join(other, "key")
-        .where((F.col("alabel") != F.col("blabel")) & ~_far("abits", "bbits", percent))
+        .where((F.col("alabel") != F.col("blabel")) & ~_far("afine", "bfine", percent, FINE))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
     more = settle(_verify(rest, sets, percent), "last-links")
