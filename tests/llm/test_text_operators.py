@@ -142,6 +142,29 @@ def test_sketch_fills_and_estimates():
     assert abs((s[0] == s[1]).mean() - 0.8) < 0.1
 
 
+def test_long_sketch_keeps_filled_bins():
+    rng = np.random.default_rng(0)
+    for common, own in ((8, 1), (9, 1), (18, 2), (22, 2), (26, 3)):
+        drawn = rng.integers(0, 1 << 62, (40, common + 2 * own)).astype(np.uint64)
+        left, right = drawn[:, : common + own], np.concatenate((drawn[:, :common], drawn[:, common + own :]), axis=1)
+        n = common + own
+        s = minhash.sketch(np.concatenate((left, right)).ravel(), np.arange(81) * n, minhash.FINE)
+        bits = minhash._one_bit(s)
+        apart = np.unpackbits((bits[:40] ^ bits[40:]).view(np.uint8), axis=1).sum(axis=1)
+        assert (apart <= 391).all()  # the limit of _far at 80 percent
+        assert abs((s[:40] == s[40:]).mean() - common / (common + 2 * own)) < 0.03
+
+
+def test_hot_buckets_of_short_documents_match_brute_force(documents):
+    # Even documents link with one another (26 / 32), odd ones with their twin only (27 / 32; others 26 / 33 or less).
+    rows = []
+    for k in range(160):
+        core = [f"core{i}" for i in range(26)] + [f"twin{k // 2}"]
+        rows.append((k, " ".join(core + [f"own{k}-{i}" for i in range(2 + k % 2)])))
+    got = minhash.near_documents(documents(rows), shingle=1).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_near(rows, 1)
+
+
 def test_near_empty_table(documents):
     assert minhash.near_documents(documents([])).count() == 0
     assert minhash.drop_near(documents([])).count() == 0

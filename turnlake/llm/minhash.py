@@ -45,9 +45,11 @@ def sketch(elements: np.ndarray, at: np.ndarray, size: int = COORDINATES) -> np.
     flat = out.reshape(-1)
     owner = np.repeat(np.arange(n), np.diff(at))
     left = elements
+    # Leading bits that hold the number of every round.
+    top = max(10, (2 * size - 1).bit_length())
     for i in range(2 * size):
         z = tx.mix(left + np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF))
-        value = (np.uint64(i) << np.uint64(54)) | (tx.mix(z) >> np.uint64(10))
+        value = (np.uint64(i) << np.uint64(64 - top)) | (tx.mix(z) >> np.uint64(top))
         bins = (z >> np.uint64(32)).astype(np.int64) % size if i < size else np.full(len(left), i - size)
         # Values of later rounds are larger, so a filled bin stays as it is.
         np.minimum.at(flat, owner * size + bins, value)
