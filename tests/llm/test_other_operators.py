@@ -130,6 +130,30 @@ def test_reader_salvages_members():
     assert sum(int(h["bytes"]) for kind, _, h, _ in got if kind == "gap") == len(broken) + 4
 
 
+def salvaged(data):
+    got = list(warc.parse(data))
+    return [h["warc-record-id"][-2] for kind, _, h, _ in got if kind == "record"], [(at, int(h["bytes"])) for kind, at, h, _ in got if kind == "gap"]
+
+
+@pytest.mark.parametrize("byte", [0, 1, 2, 12])
+def test_reader_salvages_behind_a_damaged_first_member(byte):
+    members = [gzip.compress(record(k, b"text %d " % k * 50)) for k in range(3)]
+    first = members[0][:byte] + b"\xff" + members[0][byte + 1 :]
+    assert salvaged(first + members[1] + members[2]) == (["1", "2"], [(0, len(first))])
+
+
+def test_reader_salvages_both_formats_in_one_file():
+    plain = [record(k, b"text %d " % k * 50) for k in range(6)]
+    broken = gzip.compress(plain[0])[:-4]
+    bad = b"WARC/1.0" + plain[3][8:-3]
+    data = broken + plain[1] + gzip.compress(plain[2]) + bad + gzip.compress(plain[4]) + plain[5]
+    at = len(broken + plain[1] + gzip.compress(plain[2]))
+    assert salvaged(data) == (["1", "2", "4", "5"], [(0, len(broken)), (at, len(bad))])
+    # A whole member that holds no record, here in a damaged record's payload, does not divide the gap.
+    bad = record(0, b"x" * 9 + gzip.compress(b"no record"))[:-2]
+    assert salvaged(bad + plain[1]) == (["1"], [(0, len(bad))])
+
+
 def test_archive_round_trip(spark):
     long = "<p>é " * 60
     rows = [(1, "u", long), (2, "u\r\nx: y", long), (3, None, "WARC/1.1\r\n\r\n"), (4, "v", "WARC/1.1\r\n\r\n"), (5, "v", None), (None, "w", long),

@@ -6,8 +6,8 @@ with the smallest id keeps the payload; the others are revisits that name it.
 
 The reader takes whole archive files (their size is bounded by the writer's ``records_per_file``).  Plain
 and member-wise gzipped archives are read.  Where a record fails its checks (version line, headers, length,
-terminator, digest, gzip checksum), it searches for the next version line or valid member, goes on from there and
-reports the bytes between as a quarantined gap.
+terminator, digest, gzip checksum), it searches for the next version line or valid member, whichever is nearer and
+whatever the archive began with, goes on from there and reports the bytes between as a quarantined gap.
 
 Null payloads are empty; null ids are allowed (one is never the smallest among others); rows with equal id
 and payload are all responses; an empty table gives an empty archive.
@@ -16,6 +16,7 @@ and payload are all responses; an empty table gives an empty archive.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,6 +34,8 @@ END = "\r\n\r\n"
 VERSION = b"WARC/1.1\r\n"
 VERSIONS = (b"WARC/1.1\r\n", b"WARC/1.0\r\n")
 MEMBER = b"\x1f\x8b\x08"
+_STARTS = re.compile(b"|".join(re.escape(v) for v in (*VERSIONS, MEMBER)))
+STEP = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -87,11 +90,34 @@ def write(records: DataFrame, path: str, records_per_file: int = 8192) -> None:
 
 
 def parse(data: bytes) -> Iterator[tuple[str, int, dict[str, str], bytes]]:
-    """("record", offset, headers, block) and ("gap", offset, {"bytes": n}, b"") in file order."""
-    if data[:3] == MEMBER:
-        yield from _parse_members(data)
-    else:
-        yield from _parse_plain(data, 0)
+    """("record", offset, headers, block) and ("gap", offset, {"bytes": n}, b"") in file order.
+
+    Each place is tried as what it begins with, member or version line; after a failed check the nearer of the next
+    ones is tried, whatever the file began with.  A member without any record is part of a gap.
+    """
+    at, n, gap = 0, len(data), None
+    while at < n:
+        found, member = _record(data, at), None
+        if not found:
+            member = _member(data, at)
+        if found or (member and (not member[0] or any(kind == "record" for kind, *_ in _parse_plain(member[0], 0)))):
+            if gap is not None:
+                yield "gap", gap, {"bytes": str(at - gap)}, b""
+                gap = None
+            if found:
+                headers, block, to = found
+                yield "record", at, headers, block
+            else:
+                body, to = member
+                yield from ((kind, at, headers, block) for kind, _, headers, block in _parse_plain(body, 0))
+            at = to
+            continue
+        if gap is None:
+            gap = at
+        ahead = _STARTS.search(data, member[1] if member else at + 1)
+        at = ahead.start() if ahead else n
+    if gap is not None:
+        yield "gap", gap, {"bytes": str(n - gap)}, b""
 
 
 def _parse_plain(data: bytes, base: int) -> Iterator[tuple[str, int, dict[str, str], bytes]]:
@@ -141,28 +167,18 @@ def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
     return headers, block, end + 4
 
 
-def _parse_members(data: bytes) -> Iterator[tuple[str, int, dict[str, str], bytes]]:
-    at, n, gap = 0, len(data), None
-    while at < n:
-        inflate = zlib.decompressobj(31)
-        try:
-            body = inflate.decompress(data[at:] if at else data)
-            good = inflate.eof
-        except zlib.error:
-            good = False
-        if good:
-            if gap is not None:
-                yield "gap", gap, {"bytes": str(at - gap)}, b""
-                gap = None
-            yield from ((kind, at, headers, block) for kind, _, headers, block in _parse_plain(body, 0))
-            at = n - len(inflate.unused_data)
-            continue
-        if gap is None:
-            gap = at
-        ahead = data.find(MEMBER, at + 1)
-        at = ahead if ahead >= 0 else n
-    if gap is not None:
-        yield "gap", gap, {"bytes": str(n - gap)}, b""
+def _member(data: bytes, at: int) -> tuple[bytes, int] | None:
+    """Content and end of the gzip member at a place, or None where there is no whole and valid one."""
+    if not data.startswith(MEMBER, at):
+        return None
+    inflate, parts, view = zlib.decompressobj(31), [], memoryview(data)
+    try:
+        while at < len(data) and not inflate.eof:
+            parts.append(inflate.decompress(view[at : at + STEP]))
+            at = min(at + STEP, len(data))
+    except zlib.error:
+        return None
+    return (b"".join(parts), at - len(inflate.unused_data)) if inflate.eof else None
 
 
 _SCHEMA = (
