@@ -100,6 +100,18 @@ def test_page_cases(page, want):
     assert html.main_lines(page) == want
 
 
+LONG, SHORT = "A sentence of the text that goes on for quite a while, as prose does. " * 3, "Few words here."
+LINKS = "<div><ul>" + "".join(f"<li><a href='/{k}'>Go {k}</a></li>" for k in range(8)) + "</ul></div>"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"{LINKS}<article><p>{LONG}<p>{LONG}</article>{LINKS}<article><h2>Two</h2><p>{LONG}</article>", [LONG, LONG, "Two", LONG]),
+    (f"<article><p>{LONG}<p>{LONG}</article><article>{LINKS}</article>{LINKS}<div><h2>More</h2><div><p>{LONG}</div></div>", [LONG, LONG, "More", LONG]),
+])
+def test_all_content_regions_stay(page, want):
+    assert html.main_lines(page) == [w.strip() for w in want]
+
+
 def test_pages_frame(spark):
     df = spark.createDataFrame([(1, "u", None, "extra"), (None, None, "<p>x " * 30000, "e"), (1, "u", "<p>x", "e")], "page_id long, url string, html string, text string")
     got = sorted((str(r.page_id), len(r.text)) for r in html.extract(df).collect())

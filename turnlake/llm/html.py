@@ -1,10 +1,12 @@
 """Main text of web pages: parser events, text-to-tag ratio per block, Gaussian smoothing, clustering.
 
 Each page is read once as a stream of standard-library parser events.  Block-level tags cut it into lines;
-a line's ratio is its characters per tag.  The smoothed ratios are split by a threshold (two-means), lines
-above it are content, and the container that holds most content characters is the main region.  All its
-lines are kept in page order, except those inside boilerplate (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments).
+a line's ratio is its characters per tag, on a log scale.  The smoothed ratios are split by a threshold
+(two-means).
+A container with its own lines is a region, an article with all inside it one.  Every region whose mean smoothed
+ratio, weighted by characters, reaches the threshold is kept, and what directly encloses it (headings).  Lines are
+kept in page order, except those inside boilerplate (menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles, reader comments).
 
 Null or empty html, and pages without text, give an empty string.  Unclosed and stray tags are tolerated.
 Equal pages give equal texts; columns other than those named are not read.
@@ -180,35 +182,30 @@ def main_lines(html: str | None) -> list[str]:
     if not found:
         return []
     chars = np.array([len(t) for t, _, _ in found], float)
-    ratio = smooth(chars / np.array([max(1, n) for _, n, _ in found], float))
-    content = ratio >= two_means(ratio)
-    mass = np.zeros(len(page.parent))
-    np.add.at(mass, [c for _, _, c in found], chars * content)
-    total = np.zeros(len(page.parent))
-    for node in range(len(mass) - 1, -1, -1):  # children come after their parents
-        total[node] += mass[node]
-        if node:
-            total[page.parent[node]] += total[node]
-    best = _region(page, total)
-    inside = np.zeros(len(page.parent), bool)
-    inside[best] = True
-    for node in range(1, len(inside)):
-        inside[node] |= inside[page.parent[node]]
-    return [t for t, _, c in found if inside[c]]
-
-
-def _region(page: _Lines, total: np.ndarray) -> int:
-    """An outermost article with most content; else main; else the deepest container with most of it."""
-    for name in ("article", "main"):
-        nodes = [k for k, kind in enumerate(page.kind) if kind == name and total[k] > 0]
-        if nodes:
-            return max(nodes, key=lambda k: (total[k], -k))
-    node = 0
-    while True:
-        inner = [k for k in range(node + 1, len(total)) if page.parent[k] == node and total[k] >= 0.7 * total[0] and total[k] > 0]
-        if not inner:
-            return node
-        node = inner[0]
+    ratio = smooth(np.log1p(chars / np.array([max(1, n) for _, n, _ in found], float)))
+    owner, own = _regions(page), np.array([c for _, _, c in found])
+    region = owner[own]
+    mass, weight = np.zeros((2, len(owner)))
+    np.add.at(mass, region, chars)
+    np.add.at(weight, region, chars * ratio)
+    score = weight / np.maximum(mass, 1)
+    cut = min(two_means(ratio), score.max())
+    kept = (mass > 0) & (score >= cut - 1e-9)
+    for node in range(len(kept) - 1, 0, -1):  # children come after their parents
+        kept[owner[page.parent[node]]] |= kept[owner[node]]
+    return [t for (t, _, _), r in zip(found, region) if kept[r]]
+
+
+def _regions(page: _Lines) -> np.ndarray:
+    """The region of each container: its outermost article, else itself; a table cell of one line is part of what is around it."""
+    lines = np.bincount([c for _, _, c in page.found], minlength=len(page.parent))
+    inner = np.bincount(page.parent[1:], minlength=len(page.parent))
+    owner = np.arange(len(page.parent))
+    for node in range(1, len(owner)):
+        above = owner[page.parent[node]]
+        if page.kind[above] == "article" or page.kind[node] == "td" and lines[node] < 2 and not inner[node]:
+            owner[node] = above
+    return owner
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
