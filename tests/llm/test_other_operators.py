@@ -105,8 +105,13 @@ LINKS = "<div><ul>" + "".join(f"<li><a href='/{k}'>Go {k}</a></li>" for k in ran
 
 
 @pytest.mark.parametrize("page, want", [
+    (f"<body>{LINKS}<section><p>{LONG}<p>{LONG}<p>{LONG}</section><section><p>{LONG}</section>", [LONG] * 4),
+    (f"<section><p>{LONG}</section>{LINKS}<section>{f'<p>{SHORT}</p>' * 40}</section>", [LONG] + [SHORT] * 40),
+    (f"<section><p>{LONG}<p>{LONG}</section><section><ul>{f'<li>{SHORT}' * 9}</ul></section>", [LONG] * 2 + [SHORT] * 9),
     (f"{LINKS}<article><p>{LONG}<p>{LONG}</article>{LINKS}<article><h2>Two</h2><p>{LONG}</article>", [LONG, LONG, "Two", LONG]),
     (f"<article><p>{LONG}<p>{LONG}</article><article>{LINKS}</article>{LINKS}<div><h2>More</h2><div><p>{LONG}</div></div>", [LONG, LONG, "More", LONG]),
+    (f"<div><p>{LONG}<table><tr><td>a<td>1<tr><td>b<td>2</table></div>{LINKS}", [LONG, "a", "1", "b", "2"]),
+    (f"<table><tr><td>{LINKS}<td><p>{LONG}<p>{LONG}</table>", [LONG, LONG]),
 ])
 def test_all_content_regions_stay(page, want):
     assert html.main_lines(page) == [w.strip() for w in want]

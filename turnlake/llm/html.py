@@ -2,7 +2,7 @@
 
 Each page is read once as a stream of standard-library parser events.  Block-level tags cut it into lines;
 a line's ratio is its characters per tag, on a log scale.  The smoothed ratios are split by a threshold
-(two-means).
+(two-means, at most ``PROSE`` characters per tag, so that short paragraphs beside long ones are no boilerplate).
 A container with its own lines is a region, an article with all inside it one.  Every region whose mean smoothed
 ratio, weighted by characters, reaches the threshold is kept, and what directly encloses it (headings).  Lines are
 kept in page order, except those inside boilerplate (menus, headers, footers, sidebars, notices, adverts, forms,
@@ -35,6 +35,8 @@ BLOCKS = frozenset(
     "address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr "
     "html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Characters per tag that are never below the threshold; lists of links have fewer.
+PROSE = 5
 CONTAINERS = frozenset("article main section div body td html".split())
 ENDS_PARAGRAPH = BLOCKS - {"html", "body"}
 # Words in class and id attributes, and ARIA roles, that mark boilerplate.
@@ -189,7 +191,7 @@ def main_lines(html: str | None) -> list[str]:
     np.add.at(mass, region, chars)
     np.add.at(weight, region, chars * ratio)
     score = weight / np.maximum(mass, 1)
-    cut = min(two_means(ratio), score.max())
+    cut = min(two_means(ratio), float(np.log1p(PROSE)), score.max())
     kept = (mass > 0) & (score >= cut - 1e-9)
     for node in range(len(kept) - 1, 0, -1):  # children come after their parents
         kept[owner[page.parent[node]]] |= kept[owner[node]]
