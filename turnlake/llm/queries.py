@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnlake.session import ship
 
-from . import classifier, html, lines, minhash, mixing, packing, rules, suffixes, vectors, warc
+from . import bpe, classifier, html, lines, minhash, mixing, packing, rules, suffixes, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -180,3 +180,16 @@ def _rules(docs: DataFrame, _: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & F.col("kept")).alias("kept"), "quality",
     )
+
+
+@_query("op13_bpe_round_trip", "documents")
+def _bpe(docs: DataFrame, _: str) -> DataFrame:
+    import public_tokenizers
+
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    both = bpe.decode(bpe.encode(docs, tokenizer, keep=("doc_id",)), tokenizer)
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
