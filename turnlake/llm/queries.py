@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnlake.session import ship
 
-from . import bpe, classifier, html, lines, minhash, mixing, packing, rules, suffixes, vectors, warc
+from . import bpe, classifier, html, lines, merkle, minhash, mixing, packing, rules, suffixes, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -193,3 +193,55 @@ def _bpe(docs: DataFrame, _: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+_MERKLE_SQL = """
+WITH RECURSIVE
+d AS MATERIALIZED (
+  SELECT *, row_number() OVER () AS rid, coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))),
+      4294967295::BIGINT) % 7 = 0, false) AS bad,
+    {doc_id} || {source} || {lang} AS head, {text} AS body FROM documents),
+l AS MATERIALIZED (SELECT rid, doc_id, lang, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g,
+    sha256(head || {n_chars} || body) AS leaf, CASE WHEN bad THEN sha256(head || {n_more} || body) ELSE sha256(head || {n_chars} || body) END AS claimed FROM d),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM l),
+t(g, lvl, idx, n, h) AS (
+  SELECT g, 0, idx, n, leaf FROM p
+  UNION ALL SELECT g, lvl + 1, idx // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM t WHERE n > 1 GROUP BY g, lvl, idx // 2),
+s AS MATERIALIZED (SELECT g, h AS subroot FROM t WHERE n = 1),
+u(lvl, idx, n, h) AS (
+  SELECT 0, g, count(*) OVER (), subroot FROM s
+  UNION ALL SELECT lvl + 1, idx // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM u WHERE n > 1 GROUP BY lvl, idx // 2),
+w AS (SELECT rid, t.lvl, t.h FROM (SELECT rid, g, idx, unnest(range(0, 40)) AS lvl FROM p) q JOIN t ON t.g = q.g AND t.lvl = q.lvl AND t.idx = xor(q.idx >> q.lvl, 1)
+  UNION ALL SELECT rid, 100 + u.lvl, u.h FROM (SELECT rid, g, unnest(range(0, 40)) AS lvl FROM p) q JOIN u ON u.lvl = q.lvl AND u.idx = xor(q.g >> q.lvl, 1)),
+o AS (SELECT rid, string_agg(h, '' ORDER BY lvl) AS proof FROM w GROUP BY rid),
+f(rid, g, lvl, idx, n, cur) AS (
+  SELECT rid, g, 0, idx, n, claimed FROM p
+  UNION ALL SELECT rid, f.g, f.lvl + 1, f.idx // 2, (f.n + 1) // 2,
+    sha256(CASE WHEN f.idx % 2 = 0 THEN f.cur || coalesce(t.h, '') ELSE t.h || f.cur END)
+  FROM f LEFT JOIN t ON t.g = f.g AND t.lvl = f.lvl AND t.idx = xor(f.idx, 1) WHERE f.n > 1),
+k(rid, lvl, idx, n, cur) AS (
+  SELECT rid, 0, g, (SELECT count(*) FROM s), cur FROM f WHERE n = 1
+  UNION ALL SELECT rid, k.lvl + 1, k.idx // 2, (k.n + 1) // 2, sha256(CASE WHEN k.idx % 2 = 0 THEN k.cur || coalesce(u.h, '') ELSE u.h || k.cur END)
+  FROM k LEFT JOIN u ON u.lvl = k.lvl AND u.idx = xor(k.idx, 1) WHERE k.n > 1)
+SELECT p.doc_id, p.leaf, s.subroot, r.h AS root, sha256(coalesce(o.proof, '')) AS proof_sha256, k.cur AS folded_root, k.cur = r.h AS verified
+FROM p JOIN s ON s.g = p.g JOIN u r ON r.n = 1 JOIN k ON k.rid = p.rid AND k.n = 1 LEFT JOIN o ON o.rid = p.rid
+""".format(
+    **{c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END" for c in ("doc_id", "source", "lang", "text")},
+    n_chars="CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR END",
+    n_more="CASE WHEN n_chars IS NULL THEN '-' ELSE strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1)::VARCHAR END",
+)
+
+
+@_query("op11_merkle_manifest", "documents", _MERKLE_SQL)
+def _merkle(docs: DataFrame, _: str) -> DataFrame:
+    fields = lambda n_chars: merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    own, tampered = fields(F.col("n_chars")), F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    leaves = docs.select(
+        "doc_id", "lang", own.alias("leaf"), F.when(tampered, fields(F.col("n_chars") + 1)).alias("tampered")
+    ).withColumn("claimed", F.coalesce("tampered", "leaf")).drop("tampered")
+    return merkle.verify(merkle.manifest(leaves), "claimed").select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.lower(F.hex("proof")).cast("binary"), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
