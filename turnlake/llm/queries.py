@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnlake.session import ship
 
-from . import bpe, classifier, html, lines, merkle, minhash, mixing, packing, rules, suffixes, vectors, warc
+from . import bpe, classifier, html, lines, merkle, minhash, mixing, packing, rules, suffixes, trie, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -245,3 +245,31 @@ def _merkle(docs: DataFrame, _: str) -> DataFrame:
         "doc_id", "leaf", "subroot", "root", F.sha2(F.lower(F.hex("proof")).cast("binary"), 256).alias("proof_sha256"), "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+_TRIE_SQL = """
+WITH o AS MATERIALIZED (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, count(*) AS size, xor(list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(range(1, len(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i, 1))::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))),
+      4294967295::BIGINT) % 9 AS h FROM o GROUP BY c),
+q AS MATERIALIZED (SELECT k.*, least(k.h, coalesce(b.size, 0)) AS head FROM k LEFT JOIN k b ON b.c = k.c - k.c % 5),
+s AS MATERIALIZED (
+  SELECT q.c, coalesce(list({'r': x.r, 't': x.t} ORDER BY x.p) FILTER (x.p IS NOT NULL), []) AS s FROM q LEFT JOIN (
+    SELECT q.c, o.pos AS p, o.r, o.t FROM q JOIN o ON o.c = q.c - q.c % 5 WHERE o.pos < q.h
+    UNION ALL SELECT q.c, q.head + o.pos - q.h, o.r, o.t FROM q JOIN o ON o.c = q.c WHERE o.pos >= q.h) x ON x.c = q.c GROUP BY q.c),
+m AS (SELECT c, d, s[1:d] AS key, d = len(s) AS ends FROM s, unnest(range(0, len(s) + 1)) AS u(d)),
+n AS MATERIALIZED (SELECT d, key, min(c) AS conv_id, count(*) AS n, CASE WHEN d = 0 THEN 0 ELSE strlen(key[d].t) END AS bytes,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY d, key),
+e AS MATERIALIZED (SELECT n.*, p.conv_id AS parent, (SELECT count(*) FROM n x WHERE x.d = n.d + 1 AND x.key[1:n.d] = n.key) AS kids
+    FROM n LEFT JOIN n p ON p.d = n.d - 1 AND p.key = n.key[1:n.d - 1]),
+a AS (SELECT u.d, key[1:u.d] AS key, sum((n - 1) * bytes) AS saved, count(*) FILTER (kids = 0) AS leaves FROM e, unnest(range(0, e.d + 1)) AS u(d) GROUP BY 1, 2)
+SELECT e.conv_id, e.d::BIGINT AS depth, parent AS parent_conv_id, n::BIGINT AS n_convs, kids::BIGINT AS n_children, leaves::BIGINT AS n_leaves,
+  saved::BIGINT AS saved_tokens, ends_sha256 FROM e JOIN a ON a.d = e.d AND a.key = e.key
+"""
+
+
+@_query("op12_prefix_trie", "conversations", _TRIE_SQL)
+def _trie(conversations: DataFrame, _: str) -> DataFrame:
+    return trie.prefix_trie(*trie.rebuilt(trie.turns(conversations)))
