@@ -14,11 +14,7 @@ An empty table gives an empty result.  Columns other than id and text are not re
 
 from __future__ import annotations
 
-import json
-import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +26,7 @@ from pyspark.sql import functions as F
 from turnlake.session import settle
 
 from . import text as tx
+from .bpe import vocabulary
 from .store import BROADCAST_ROWS
 
 LENGTH = 2048
@@ -39,118 +36,31 @@ UNIT, SMALL = 8, 64
 GAP = 0.001
 FULL = 0.985
 SALTS = 64
-CACHED_PIECES, CACHED_CHARS = 250_000, 32
-
-_TOKENIZERS: dict[str, "_Words"] = {}
-
-
-class _Words(dict):
-    """Piece of text -> its ids as little-endian unsigned 32-bit bytes; of bounded size.
-
-    The vocabulary lower-cases a text, drops white space and splits the rest into pieces that are encoded one by
-    one, so ids of pieces can be kept.  Texts of ASCII and Latin-1 letters are split here in the same way; the
-    chunks between blanks of all other texts are encoded as they are.  When the table is full, it becomes the
-    older half, which is asked before encoding anew.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.model = Tokenizer.from_file(path)
-        with open(path) as f:
-            plain = json.load(f)
-        # Lower-case letters need no normalising or splitting.
-        plain |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {
-            "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
-        self.letters = Tokenizer.from_str(json.dumps(plain))
-        self.older: dict[str, bytes] = {}
-
-    def __missing__(self, piece: str) -> bytes:
-        """Pieces too long to keep, and chunks of texts that are not split here."""
-        ids = _packed(self.model.encode(piece, add_special_tokens=False).ids) if piece else b""
-        if len(piece) <= CACHED_CHARS:
-            self[piece] = ids
-        return ids
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; all new pieces are encoded in one call."""
-        if len(self) > CACHED_PIECES:
-            self.older = dict(self)
-            self.clear()
-        split = [_pieces(t.lower()) if _plain(t) else _chunks(t) for t in texts]
-        new = set().union(*split)
-        new.difference_update(self)
-        known, letters = self.older.get, []
-        for piece in new:
-            ids = known(piece)
-            if ids is not None:
-                self[piece] = ids
-            elif _lower_letters(piece) and len(piece) <= CACHED_CHARS:
-                letters.append(piece)
-        for piece, found in zip(letters, self.letters.encode_batch_fast(letters, add_special_tokens=False)):
-            self[piece] = _packed(found.ids)
-        one = self.__getitem__
-        return [b"".join(map(one, pieces)) for pieces in split]
-
-
-def _packed(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes()
-
-
-# The vocabulary's splitting pattern, for texts of ASCII and Latin-1 letters.
-_LATIN = "a-z\u00df-\u00f6\u00f8-\u00ff"
-_pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\\s0-9{_LATIN}]+").findall
-_lower_letters = re.compile(f"[{_LATIN}]+").fullmatch
-_other = re.compile("[^\t-\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]").search
-
-
-def _plain(text: str) -> bool:
-    """Only characters that the pattern above splits alike, and none of the vocabulary's special tokens."""
-    return "<|" not in text and _other(text) is None
-
-
-def _chunks(text: str) -> list[str]:
-    return text.replace("\n", " ").split(" ")
-
-
-def words_of(path: str) -> _Words:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = _Words(path)
-    return _TOKENIZERS[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Pieces of each document: id, start, length, ids, their checksum, and the document's number of ids."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    end = np.array([END_ID], "<u4").tobytes()
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(tokenizer)
+        words = vocabulary(tokenizer)
         for whole in batches:
-            for part in tx.slices(whole, limit=2 * tx.SLICE_BYTES):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                coded = words.ids(texts)
-                row, start, size, crc, total, ids = [], [], [], [], [], []
-                for k, body in enumerate(coded):
-                    body += end
-                    n = len(body) // 4
-                    for at in range(0, n, length):
-                        piece = body[4 * at : 4 * (at + length)]
-                        row.append(k)
-                        start.append(at)
-                        size.append(len(piece) // 4)
-                        crc.append(zlib.crc32(piece))
-                        total.append(n)
-                        ids.append(piece)
-                flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
-                where = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
+            for part in tx.slices(whole):
+                flat, at = words.encode([t or "" for t in part.column("text").to_pylist()])
+                flat = np.insert(flat, at[1:], END_ID).astype("<i4", copy=False)
+                at = at + np.arange(len(at))
+                total = np.diff(at)
+                cuts = -(-total // length)
+                row = np.repeat(np.arange(len(total)), cuts)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * length
+                where = np.append(at[:-1][row] + start, at[-1])
+                raw = memoryview(flat).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(where[:-1].tolist(), where[1:].tolist())]
+                ids = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(size, pa.int64()),
-                     pa.array(crc, pa.int64()), pa.array(total, pa.int64()), pa.ListArray.from_arrays(where, flat)], names)
+                    [part.column("id").take(pa.array(row)), pa.array(start), pa.array(np.diff(where)), pa.array(crc, pa.int64()), pa.array(total[row]), ids], names)
 
     return source.mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>")
 
