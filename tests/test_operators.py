@@ -12,6 +12,7 @@ from turnlake.functions import text as X
 from turnlake.operators import alignment as A
 from turnlake.operators import bank as B
 from turnlake.operators import masks as M
+from turnlake.operators import name_index
 from turnlake.operators import names as N
 from turnlake.operators import ops_log as O
 from turnlake.operators import scoring as S
@@ -213,8 +214,7 @@ def test_ratio_equals_brute_force_over_blocks(spark, monkeypatch):
     rnd = random.Random(2)
     word = lambda: "".join(rnd.choice("abcd") for _ in range(rnd.randrange(3, 9)))
     cands, asked = list({word() for _ in range(40)}), list({word() for _ in range(50)})
-    monkeypatch.setattr(N, "BLOCK_ROWS", 7)
-    monkeypatch.setattr(N, "NAME_GROUP", 11)
+    monkeypatch.setattr(name_index, "BLOCK", 7)
     c = spark.createDataFrame([(w, w.upper(), i) for i, w in enumerate(cands)], "norm string, canonical string, ord bigint")
     for method in ("ratio", "levenshtein"):
         got = {r.norm: r for r in N.fuzzy_name(spark.createDataFrame([(w,) for w in asked], "norm string"), c, 0.6, method).collect()}

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.blocks import GROUP_ROWS, all_blocks, blocks_needed, hashed_block, wide
+from ..functions.blocks import GROUP_ROWS
 from ..functions.intervals import floor_div
 from ..functions.ordered import prefix_scan, top_n
-from ..functions.text import blank_to_null, let, norm_key
+from ..functions.text import blank_to_null, exact_round, let, ms_fixed3, norm_key
+from ..session import settle
+from ..sources.bank_store import BankStore
 from .alignment import best_overlap
+from .vector_index import Index
 
-BANK_BLOCK = 4096
-SIM_DIGITS = 12
+BANK_BLOCK = 512
 
 
 def clamp_thresholds(high: float, medium: float, low: float) -> tuple[float, float, float]:
@@ -36,25 +40,23 @@ def read_bank(bank: DataFrame, dim: int) -> DataFrame:
     return bank.filter(F.size("vec") == dim).withColumn("name_key", F.lower("display_name"))
 
 
-def valid_clusters(turns: DataFrame, min_segments: int = 3, min_ms: int = 1000) -> DataFrame:
+def valid_clusters(turns: DataFrame, min_segments: int = 3, min_ms: int = 1000, by: Sequence[str] = ()) -> DataFrame:
     dur = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0))
     return (
-        turns.groupBy("episode_id", F.col("speaker").alias("cluster_id"))
+        turns.groupBy(*by, "episode_id", F.col("speaker").alias("cluster_id"))
         .agg(F.count(F.lit(1)).alias("segments"), F.sum(dur).alias("dur_ms"))
         .filter((F.col("segments") >= min_segments) & (F.col("dur_ms") >= min_ms))
     )
 
 
 def pool_vectors(vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean vector per key.  Sums combine map-side per (key, dimension)."""
-    per_dim = (
-        vectors.select(*keys, F.posexplode("vec").alias("pos", "x"))
-        .groupBy(*keys, "pos")
-        .agg(F.avg(F.col("x").cast("double")).alias("x"))
-    )
-    return per_dim.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("vec")
-    )
+    """Mean vector per key, combined map-side: one vector per key and task is shuffled.
+
+    The vectors of a key have one length; null vectors, and those with a null element, are left out.
+    """
+    whole = vectors.where(F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull()))
+    mean = Summarizer.mean(array_to_vector(F.col("vec").cast("array<double>")))
+    return whole.groupBy(*keys).agg(vector_to_array(mean).alias("vec"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -66,77 +68,37 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
-def _unit(rows: pd.Series) -> np.ndarray:
-    m = np.asarray(rows.tolist(), dtype=np.float64)
-    length = np.sqrt(np.einsum("ij,ij->i", m, m))
-    length[length == 0] = np.inf  # a zero vector scores 0 everywhere
-    return m / length[:, None]
-
-
-def _match_cell(key, asked: pd.DataFrame, bank: pd.DataFrame) -> pd.DataFrame:
-    if asked.empty or bank.empty:
-        return pd.DataFrame({"qid": [], "sim": [], "emb_id": []})
-    # Rounded so that the winner does not hang on summation order.
-    bank = bank.sort_values(["name_key", "created", "emb_id"], ascending=[True, False, True])
-    sims = np.round(_unit(asked["vec"]) @ _unit(bank["vec"]).T, SIM_DIGITS)
-    at = sims.argmax(axis=1)
-    return pd.DataFrame(
-        {
-            "qid": asked["qid"].to_numpy(),
-            "sim": sims[np.arange(len(at)), at],
-            "emb_id": bank["emb_id"].to_numpy()[at],
-        }
-    )
-
-
 def match_bank(
     queries: DataFrame,
     bank: DataFrame,
     high: float = 0.85,
     medium: float = 0.75,
     low: float = 0.6,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Best stored vector per query by cosine over the whole bank (max pooling per speaker).
 
-    ``queries`` are (qid, vec), unique qid; ``bank`` is (emb_id, speaker_id,
-    display_name, vec, created).  Ties go to the first in (name, newest) order.
-    Below ``low`` the query stays unmatched; its best similarity is kept.
-
-    Query groups and bank blocks are of bounded size, each cell is one matrix
-    product in a task and returns one row per query.
+    ``queries`` are (by.., qid, vec), unique qid; ``bank`` is (by.., emb_id, speaker_id,
+    display_name, vec, created), unique emb_id.  Ties go to the first in (name, newest)
+    order.  Below ``low`` the query stays unmatched; its best similarity is kept.  ``by``
+    columns scope the bank, by show for instance; a query without any vector in its
+    scope has no row.
     """
-    stored = bank.withColumn("name_key", F.lower("display_name"))
-    groups = blocks_needed(queries, GROUP_ROWS)
-    blocks = blocks_needed(bank, BANK_BLOCK)
-    asked = all_blocks(
-        hashed_block(queries.select(F.col("qid").cast("string").alias("qid"), "vec"), ["qid"], groups, "grp"),
-        blocks, "block",
-    )
-    cells = all_blocks(
-        hashed_block(stored.select("emb_id", "name_key", "created", "vec"), ["emb_id"], blocks, "block"),
-        groups, "grp",
-    )
-    best = (
-        wide(asked, "grp", "block").groupBy("grp", "block")
-        .cogroup(wide(cells, "grp", "block").groupBy("grp", "block"))
-        .applyInPandas(_match_cell, "qid string, sim double, emb_id bigint")
-    )
-    info = stored.select("emb_id", "speaker_id", "display_name", "name_key", "created")
-    order = F.struct(
-        (-F.col("sim")).alias("s"), "name_key", (-F.col("created")).alias("c"), F.col("emb_id").alias("e")
-    )
-    top = best.join(info, "emb_id").groupBy("qid").agg(
-        F.min_by(F.struct("sim", "speaker_id", "display_name", "emb_id"), order).alias("m")
-    )
-    level = confidence_level(F.col("m.sim"), high, medium, low)
-    return top.select(
-        "qid",
-        F.col("m.sim").alias("sim"),
-        level.alias("level"),
-        F.when(level.isNotNull(), F.col("m.speaker_id")).alias("speaker_id"),
-        F.when(level.isNotNull(), F.col("m.display_name")).alias("display_name"),
-        F.when(level.isNotNull(), F.col("m.emb_id")).alias("emb_id"),
-    )
+    return match_bank_report(queries, bank, high, medium, low, by)[0]
+
+
+def match_bank_report(
+    queries: DataFrame, bank: DataFrame, high: float = 0.85, medium: float = 0.75, low: float = 0.6, by: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """``match_bank`` and one row (opened, possible): how many cells of the bank the queries opened, and all they have."""
+    order = F.struct(F.lower("display_name").alias("name_key"), (-F.col("created")).alias("newest"), F.col("emb_id").alias("id"))
+    index = Index(bank.select(*by, "emb_id", "vec", order.alias("rank")), BANK_BLOCK, by)
+    best, report = index.search(queries.select(*by, "qid", "vec"), GROUP_ROWS)
+    info = bank.select("emb_id", "speaker_id", "display_name")
+    level = confidence_level(F.col("sim"), high, medium, low)
+    named = lambda c: F.when(level.isNotNull(), F.col(c)).alias(c)
+    out = best.join(info, "emb_id").select("qid", "sim", level.alias("level"), named("speaker_id"), named("display_name"), named("emb_id"))
+    return out, report
 
 
 def retain_newest(bank: DataFrame, n: int = 20) -> DataFrame:
@@ -196,34 +158,103 @@ def identify(
     medium: float = 0.75,
     low: float = 0.6,
     auto_register: bool = False,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Assignments of the valid clusters of a batch against one snapshot of the bank.
+    """Assignments of the valid clusters of a batch against one snapshot of the bank, with review ``notes``.
 
-    Matching a snapshot makes the result independent of cluster order.
+    Matching a snapshot makes the result independent of cluster order.  ``by`` columns of
+    turns and bank scope the matching.  A cluster without a usable vector is neither
+    matched nor registered.
     """
-    clusters = valid_clusters(turns, min_segments, min_ms)
+    return identify_vectors(turns, vectors, bank, min_segments, min_ms, high, medium, low, auto_register, by).drop("vec")
+
+
+# The notes of an assignment.
+NO_AUDIO = "No usable audio for cluster."
+NO_MATCH = "No speaker met the minimum similarity threshold; manual labeling required."
+
+
+def _fixed3(x: Column) -> Column:
+    """Three decimals of a similarity."""
+    thousandths = F.round(F.abs(exact_round(x, 3)) * 1000).cast("bigint")
+    return F.concat(F.when(x < 0, "-").otherwise(""), ms_fixed3(thousandths))
+
+
+def identify_vectors(
+    turns: DataFrame, vectors: DataFrame, bank: DataFrame, min_segments: int = 3, min_ms: int = 1000, high: float = 0.85,
+    medium: float = 0.75, low: float = 0.6, auto_register: bool = False, by: Sequence[str] = (), ids_are_keys: bool = False,
+) -> DataFrame:
+    """``identify`` with the pooled vector of each cluster (``vec``).
+
+    A speaker's key is the bank's ``speaker_id`` where ``ids_are_keys``, else it follows from the display name.
+    """
+    clusters = valid_clusters(turns, min_segments, min_ms, by)
     kept = vectors.join(clusters.select("episode_id", "cluster_id"), ["episode_id", "cluster_id"], "left_semi")
-    pooled = pool_vectors(kept, ["episode_id", "cluster_id"])
     qid = F.concat_ws("\u001f", F.col("episode_id").cast("string"), "cluster_id")
-    got = match_bank(pooled.select(qid.alias("qid"), "vec"), bank, high, medium, low)
-    out = clusters.withColumn("qid", qid).join(got, "qid", "left")
-    key = norm_key(F.col("display_name"))
-    name = F.col("display_name")
-    if auto_register:
-        new = F.col("speaker_id").isNull()
-        key = F.when(
-            new, F.lower(F.concat_ws("_", F.lit("auto"), F.col("episode_id").cast("string"), "cluster_id"))
-        ).otherwise(key)
-        name = F.when(new, F.concat(F.lit("Unknown Speaker "), F.col("cluster_id"))).otherwise(name)
+    pooled = settle(pool_vectors(kept, ["episode_id", "cluster_id"]).withColumn("qid", qid), "bank-pooled")
+    asked = pooled
+    if by:
+        asked = pooled.join(clusters.select("episode_id", "cluster_id", *by), ["episode_id", "cluster_id"])
+    got = match_bank(asked.select(*by, "qid", "vec"), bank, high, medium, low, by)
+    out = clusters.withColumn("qid", qid).join(pooled.select("qid", "vec"), "qid", "left").join(got, "qid", "left")
+    matched = F.col("speaker_id").isNotNull()
+    known_key = F.col("speaker_id").cast("string") if ids_are_keys else norm_key(F.col("display_name"))
+    new = F.lit(auto_register) & ~matched & F.col("vec").isNotNull()
+    auto_key = F.lower(F.concat_ws("_", F.lit("auto"), F.col("episode_id").cast("string"), "cluster_id"))
+    note = (
+        F.when(F.col("vec").isNull(), F.lit(NO_AUDIO))
+        .when(~matched & ~new, F.lit(NO_MATCH))
+        .when(matched & F.col("level").isin("medium", "low"),
+              F.concat(F.lit("Similarity "), _fixed3(F.col("sim")), F.lit(" classified as "), "level", F.lit("; review recommended.")))
+    )
     return out.select(
-        "episode_id", "cluster_id", "segments", "dur_ms",
-        F.when(F.col("speaker_id").isNotNull(), F.col("sim")).alias("similarity"),
+        *by, "episode_id", "cluster_id", "segments", "dur_ms",
+        F.when(matched, F.col("sim")).alias("similarity"),
         F.col("level").alias("confidence_level"),
-        key.alias("speaker_key"), name.alias("display_name"),
-        (F.lit(auto_register) & F.col("speaker_id").isNull()).alias("auto_registered"),
+        F.when(new, auto_key).otherwise(known_key).alias("speaker_key"),
+        F.when(new, F.concat(F.lit("Unknown Speaker "), F.col("cluster_id"))).otherwise(F.col("display_name")).alias("display_name"),
+        new.alias("auto_registered"),
+        F.array_compact(F.array(note)).alias("notes"),
+        "vec",
     )
 
 
+def learn(store: BankStore, batch: str, turns: DataFrame, vectors: DataFrame, keep: int = 20, auto_register: bool = True, **options) -> DataFrame:
+    """Identify a batch against the newest bank and keep what it teaches; returns the assignments.
+
+    Every matched or newly registered cluster stores its vector (an episode heard again replaces its own), of which the
+    ``keep`` newest stay per speaker; matched speakers' segment counters grow, new speakers get a profile.  Only the
+    buckets of these speakers are written.  A batch id that is known changes nothing and is identified against the
+    version before it, so a replay gives the same assignments.
+    """
+    known = store.log().where(F.col("batch") == batch).agg(F.max("version")).first()[0]
+    before = store.version() if known is None else known - 1
+    found = settle(identify_vectors(turns, vectors, store.bank(before), auto_register=auto_register, ids_are_keys=True, **options), "bank-found")
+    if known is not None:
+        return found.drop("vec")
+    named = found.where("speaker_key is not null")
+    touched = F.broadcast(named.select(store.bucket("speaker_key").alias("in_bucket")).distinct())  # at most ``buckets`` rows
+    own = lambda df: df.join(touched, store.bucket() == F.col("in_bucket"), "left_semi")
+    seen = F.col("episode_id").cast("string")
+    new_vectors = named.select(
+        F.col("speaker_key").alias("key"), seen.alias("source_episode"), "cluster_id", "vec", F.lit(None).cast("double").alias("quality"),
+        F.lit(before + 1).cast("long").alias("created"),
+    )
+    old = own(store.vectors(before)).join(new_vectors.select("key", "source_episode", "cluster_id"), ["key", "source_episode", "cluster_id"], "left_anti")
+    order = [F.desc("created"), F.desc("source_episode"), F.desc("cluster_id")]
+    stored = top_n(old.unionByName(new_vectors), ["key"], order, keep).drop("rn")
+    counted = segment_counter(named.where("not auto_registered"))
+    grown = own(store.profiles(before)).join(counted, F.col("key") == F.col("speaker_key"), "left").withColumn(
+        "total_segments", F.coalesce("total_segments", F.lit(0)) + F.coalesce("added", F.lit(0))
+    ).drop("speaker_key", "added")
+    # A key that is registered again (an episode heard twice) stays as it is.
+    fresh = named.where("auto_registered").groupBy(F.col("speaker_key").alias("key")).agg(
+        F.min("display_name").alias("display_name"), F.array(F.min("cluster_id")).alias("aliases"), F.min(seen).alias("first_episode"),
+    ).withColumns({"total_segments": F.lit(0).cast("long"), "auto_registered": F.lit(True)}).join(grown.select("key"), "key", "left_anti")
+    store.commit(batch, grown.unionByName(fresh), stored)
+    return found.drop("vec")
+
+
 # --- labels onto transcripts -------------------------------------------------
 
 

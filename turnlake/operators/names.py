@@ -2,26 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from difflib import SequenceMatcher
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.blocks import BLOCK_ROWS, all_blocks, blocks_needed, hashed_block, wide
 from ..functions.ordered import top_n
 from ..functions.text import LABEL_LINE, match_case, norm_name
-
-NAME_GROUP = 64  # one name against a block of candidates is milliseconds of work
+from ..session import settle
+from .name_index import close_matches, closest
 
 # Confidence and rank of each lookup kind.
 KIND_CONF = {"canonical": 1.0, "alias": 0.95, "misspelling": 0.9}
 KIND_RANK = {"canonical": 0, "alias": 1, "misspelling": 2}
 
 
-def cast_names(cast: DataFrame) -> DataFrame:
-    """(ord, canonical, role, aliases[], misspellings[]) -> one row per registered name and kind."""
+def _match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``left`` with the matching row of ``right`` (unique keys; null is a key like any other) as a struct ``best``."""
+    rest = [c for c in right.columns if c not in keys]
+    side = right.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.struct(*rest).alias("best"))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
+    return left.join(side, same, "left").drop(*(f"__k{i}" for i in range(len(keys))))
+
+
+def cast_names(cast: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by.., ord, canonical, role, aliases[], misspellings[]) -> one row per registered name and kind."""
     names = F.concat(
         F.array(F.struct(F.lit("canonical").alias("kind"), F.lit(0).alias("pos"), F.col("canonical").alias("name"))),
         F.transform(F.coalesce("aliases", F.array().cast("array<string>")),
@@ -30,35 +37,35 @@ def cast_names(cast: DataFrame) -> DataFrame:
                     lambda a, i: F.struct(F.lit("misspelling").alias("kind"), i.alias("pos"), a.alias("name"))),
     )
     valid = cast.filter(norm_name(F.col("canonical")) != "")
-    keep = [c for c in ("src", "ord", "canonical", "role") if c in cast.columns]
+    keep = [*by, *(c for c in ("src", "ord", "canonical", "role") if c in cast.columns)]
     return valid.select(*keep, F.inline(names)).filter(norm_name(F.col("name")) != "")
 
 
-def name_lookup(cast: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+def name_lookup(cast: DataFrame, profiles: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Config names, then bank profiles; the first registration of a normalised form wins.
 
-    Result: (kind, norm, canonical, conf), unique per (kind, norm).  ``role`` and
-    ``speaker_key`` of a canonical name merge, the later source winning.
+    Result: (by.., kind, norm, canonical, conf), unique per (by.., kind, norm).  ``by`` scopes names, by show for
+    instance: a name of one show says nothing about another, and both tables carry the columns.
     """
     both = cast.withColumn("src", F.lit(0))
     if profiles is not None:
         both = both.unionByName(profiles.withColumn("src", F.lit(1)), allowMissingColumns=True)
-    names = cast_names(both).withColumn("norm", norm_name(F.col("name")))
-    firsts = names.groupBy("kind", "norm").agg(
+    names = cast_names(both, by).withColumn("norm", norm_name(F.col("name")))
+    firsts = names.groupBy(*by, "kind", "norm").agg(
         F.min_by("canonical", F.struct("src", "ord", "pos")).alias("canonical")
     )
     conf = F.element_at(F.create_map(*[F.lit(x) for kv in KIND_CONF.items() for x in kv]), F.col("kind"))
     return firsts.withColumn("conf", conf)
 
 
-def canonical_metadata(cast: DataFrame, profiles: DataFrame) -> DataFrame:
+def canonical_metadata(cast: DataFrame, profiles: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Merged metadata per canonical name; values of the later source win, gaps are kept."""
     both = cast.withColumn("src", F.lit(0)).unionByName(
         profiles.withColumn("src", F.lit(1)), allowMissingColumns=True
     )
     when = F.struct("src", "ord")
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), when)).alias(c)
-    return both.groupBy("canonical").agg(
+    return both.groupBy(*by, "canonical").agg(
         last("role"), last("speaker_key"),
         F.when(F.max("src") == 1, F.lit("bank")).otherwise(F.lit("config")).alias("source"),
     )
@@ -71,104 +78,32 @@ def canonical_names(lookup: DataFrame) -> DataFrame:
     )
 
 
-def lookup_name(names: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Exact lookup of distinct (name, norm): canonical, then alias, then misspelling."""
+def lookup_name(names: DataFrame, lookup: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Exact lookup of distinct (by.., name, norm): canonical, then alias, then misspelling."""
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in KIND_RANK.items() for x in kv]), F.col("kind"))
-    best = lookup.groupBy("norm").agg(
+    best = lookup.groupBy(*by, "norm").agg(
         F.min_by(F.struct("canonical", F.col("kind").alias("method"), "conf"), rank).alias("m")
-    )
-    return names.join(best, "norm", "left").select(*names.columns, "m.canonical", "m.method", "m.conf")
-
-
-def _block_lists(candidates: DataFrame, n: int) -> DataFrame:
-    """One row per block: its candidates as an array (about BLOCK_ROWS entries)."""
-    return (
-        hashed_block(candidates, ["norm"], n, "block")
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("norm", "canonical", "ord")).alias("cands"))
-    )
+    ).select(*by, "norm", "m.*")
+    return _match(names, best, [*by, "norm"]).select(*names.columns, "best.canonical", "best.method", "best.conf")
 
 
 def fuzzy_name(
-    names: DataFrame, candidates: DataFrame, cutoff: float = 0.8, method: str = "ratio"
+    names: DataFrame, candidates: DataFrame, cutoff: float = 0.8, method: str = "ratio", by: Sequence[str] = ()
 ) -> DataFrame:
     """Best candidate per distinct name; ties go to the first registered.
 
-    ``names`` hold unique ``norm`` values, ``candidates`` are (norm, canonical, ord).
+    ``names`` hold unique (by.., norm), ``candidates`` are (by.., norm, canonical, ord).
     ``ratio`` is the matching-blocks ratio 2M/T; ``levenshtein`` is
     1 - distance/longest and stays in the JVM.  Below ``cutoff`` the canonical is
     null, the method ``no_match``, and the best score is kept.
     """
-    n = blocks_needed(candidates, BLOCK_ROWS)
-    if method == "levenshtein":
-        best = _fuzzy_native(names, candidates, n)
-    else:
-        best = _fuzzy_ratio(names, candidates, n)
-    scored = best.groupBy("norm").agg(
-        F.max(F.struct("score", (-F.col("ord")).alias("no"), "canonical")).alias("b")
-    )
-    hit = F.col("score") >= F.lit(cutoff)
-    return names.join(scored, "norm", "left").select(
+    best = closest(names, candidates, cutoff, method, by)
+    hit = F.col("best.score") >= F.lit(cutoff)
+    return _match(names, best, [*by, "norm"]).select(
         *names.columns,
-        F.coalesce(F.col("b.score"), F.lit(0.0)).alias("score"),
-        F.col("b.canonical").alias("best"),
-    ).select(
-        *names.columns,
-        F.when(hit, F.col("best")).alias("canonical"),
+        F.when(hit, F.col("best.canonical")).alias("canonical"),
         F.when(hit, F.lit("fuzzy")).otherwise("no_match").alias("method"),
-        F.col("score").alias("conf"),
-    )
-
-
-def _fuzzy_native(names: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
-    salts = 16
-    blocks = _block_lists(candidates, n).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    asked = all_blocks(names.select("norm"), n, "block").withColumn(
-        "salt", F.pmod(F.xxhash64("norm"), F.lit(salts)).cast("int")
-    )
-    score = lambda c: 1.0 - F.levenshtein(F.col("norm"), c["norm"]) / F.greatest(
-        F.length("norm"), F.length(c["norm"])
-    )
-    ranked = F.array_max(
-        F.transform("cands", lambda c: F.struct(score(c).alias("score"), (-c["ord"]).alias("no"), c["canonical"].alias("canonical")))
-    )
-    return (
-        asked.join(blocks, ["block", "salt"])
-        .withColumn("r", ranked)
-        .select("norm", "r.score", (-F.col("r.no")).alias("ord"), "r.canonical")
-    )
-
-
-def _ratio_cell(key, asked: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
-    cands = cands.sort_values("ord", kind="stable")
-    rows = []
-    for norm in asked["norm"]:
-        best, at = 0.0, None
-        for entry in zip(cands["norm"], cands["canonical"], cands["ord"]):
-            matcher = SequenceMatcher(None, norm, entry[0])
-            # Upper bounds first: most candidates cannot beat the best so far.
-            if matcher.real_quick_ratio() <= best or matcher.quick_ratio() <= best:
-                continue
-            value = matcher.ratio()
-            if value > best:
-                best, at = value, entry
-        if at is not None:
-            rows.append((norm, best, int(at[2]), at[1]))
-    return pd.DataFrame(rows, columns=["norm", "score", "ord", "canonical"])
-
-
-def _fuzzy_ratio(names: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
-    groups = blocks_needed(names, NAME_GROUP)
-    asked = all_blocks(hashed_block(names.select("norm"), ["norm"], groups, "grp"), n, "block")
-    cands = all_blocks(
-        hashed_block(candidates.select("norm", "canonical", "ord"), ["norm"], n, "block"), groups, "grp"
-    )
-    return (
-        wide(asked, "grp", "block").groupBy("grp", "block")
-        .cogroup(wide(cands, "grp", "block").groupBy("grp", "block"))
-        .applyInPandas(_ratio_cell, "norm string, score double, ord bigint, canonical string")
+        F.coalesce("best.score", F.lit(0.0)).alias("conf"),
     )
 
 
@@ -179,45 +114,48 @@ def correct_names(
     cutoff: float = 0.8,
     method: str = "ratio",
     preserve_format: bool = False,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Full correction of a (name) table: (name, cleaned, corrected, canonical, method, conf).
+    """Full correction of a (by.., name) table: (by.., name, cleaned, corrected, canonical, method, conf).
 
     Work runs on distinct normalised names: exact lookup first, fuzzy for the rest.
     """
-    lookup = name_lookup(cast, profiles)
-    heard = names.select("name").distinct().withColumn("cleaned", F.trim(F.coalesce("name", F.lit(""))))
+    lookup = name_lookup(cast, profiles, by)
+    heard = names.select(*by, "name").distinct().withColumn("cleaned", F.trim(F.coalesce("name", F.lit(""))))
     heard = heard.withColumn("norm", norm_name(F.col("cleaned")))
-    distinct = heard.filter(F.col("norm") != "").select("norm").distinct()
-    exact = lookup_name(distinct, lookup)
+    distinct = heard.filter(F.col("norm") != "").select(*by, "norm").distinct()
+    exact = settle(lookup_name(distinct, lookup, by), "names-exact")
     found = exact.filter(F.col("canonical").isNotNull())
-    candidates = cast_candidates(cast, profiles)
-    rest = exact.filter(F.col("canonical").isNull()).select("norm")
-    resolved = found.unionByName(fuzzy_name(rest, candidates, cutoff, method))
-    out = heard.join(resolved, "norm", "left")
-    target = match_case(F.col("cleaned"), F.col("canonical")) if preserve_format else F.col("canonical")
+    candidates = cast_candidates(cast, profiles, by)
+    rest = exact.filter(F.col("canonical").isNull()).select(*by, "norm")
+    resolved = found.unionByName(fuzzy_name(rest, candidates, cutoff, method, by))
+    out = _match(heard, resolved, [*by, "norm"])
+    canonical = F.col("best.canonical")
+    target = match_case(F.col("cleaned"), canonical) if preserve_format else canonical
     return out.select(
+        *by,
         "name",
         "cleaned",
         F.coalesce(target, F.col("cleaned")).alias("corrected"),
-        "canonical",
+        canonical.alias("canonical"),
         F.when(F.col("cleaned") == "", F.lit("empty"))
         .when(F.col("norm") == "", F.lit("invalid"))
-        .otherwise(F.col("method")).alias("method"),
-        F.coalesce("conf", F.lit(0.0)).alias("conf"),
+        .otherwise(F.col("best.method")).alias("method"),
+        F.coalesce("best.conf", F.lit(0.0)).alias("conf"),
     )
 
 
-def cast_candidates(cast: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+def cast_candidates(cast: DataFrame, profiles: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Distinct canonical names in registration order, the candidates of a fuzzy search."""
-    both = cast.select("canonical", F.struct(F.lit(0).alias("src"), F.col("ord").alias("o")).alias("at"))
+    both = cast.select(*by, "canonical", F.struct(F.lit(0).alias("src"), F.col("ord").alias("o")).alias("at"))
     if profiles is not None:
         both = both.unionByName(
-            profiles.select("canonical", F.struct(F.lit(1).alias("src"), F.col("ord").alias("o")).alias("at"))
+            profiles.select(*by, "canonical", F.struct(F.lit(1).alias("src"), F.col("ord").alias("o")).alias("at"))
         )
     return (
-        both.groupBy("canonical").agg(F.min("at").alias("at"))
+        both.groupBy(*by, "canonical").agg(F.min("at").alias("at"))
         .select(
-            norm_name(F.col("canonical")).alias("norm"), "canonical",
+            *by, norm_name(F.col("canonical")).alias("norm"), "canonical",
             (F.col("at.src") * (1 << 40) + F.col("at.o")).cast("bigint").alias("ord"),
         )
         .filter(F.col("norm") != "")
@@ -226,24 +164,23 @@ def cast_candidates(cast: DataFrame, profiles: DataFrame | None = None) -> DataF
 
 def correct_speakers(
     segments: DataFrame, cast: DataFrame, profiles: DataFrame | None = None,
-    auto_threshold: float = 0.9, cutoff: float = 0.8, method: str = "ratio",
+    auto_threshold: float = 0.9, cutoff: float = 0.8, method: str = "ratio", by: Sequence[str] = (),
 ) -> DataFrame:
     """Segments with corrected speakers; applied rows keep ``original_speaker``."""
-    names = segments.select(F.col("speaker").alias("name"))
-    fixes = correct_names(names, cast, profiles, cutoff, method)
+    names = segments.select(*by, F.col("speaker").alias("name"))
+    fixes = correct_names(names, cast, profiles, cutoff, method, by=by)
     # Distinct names on the right: the fact side is joined, not grouped.
-    joined = segments.join(fixes, segments["speaker"].eqNullSafe(fixes["name"]), "left")
-    apply = (
-        F.col("canonical").isNotNull() & (F.col("corrected") != F.col("cleaned")) & (F.col("conf") >= auto_threshold)
-    )
+    joined = _match(segments.withColumn("__name", F.col("speaker")), fixes.withColumnRenamed("name", "__name"), [*by, "__name"])
+    best = lambda c: F.col(f"best.{c}")
+    apply = best("canonical").isNotNull() & (best("corrected") != best("cleaned")) & (best("conf") >= auto_threshold)
     keep = [c for c in segments.columns if c not in ("speaker", "original_speaker")]
     before = F.col("original_speaker") if "original_speaker" in segments.columns else F.lit(None)
     return joined.select(
         *keep,
-        F.when(apply, F.col("corrected")).otherwise(F.col("speaker")).alias("speaker"),
+        F.when(apply, best("corrected")).otherwise(F.col("speaker")).alias("speaker"),
         F.coalesce(before, F.when(apply, F.col("speaker"))).alias("original_speaker"),
-        F.when(apply, F.col("method")).alias("method"),
-        F.when(apply, F.col("conf")).alias("correction_conf"),
+        F.when(apply, best("method")).alias("method"),
+        F.when(apply, best("conf")).alias("correction_conf"),
     )
 
 
@@ -258,20 +195,20 @@ def correction_log(corrected: DataFrame) -> DataFrame:
 def correct_text_labels(
     lines: DataFrame, cast: DataFrame, profiles: DataFrame | None = None,
     auto_threshold: float = 0.9, cutoff: float = 0.8, method: str = "ratio", key: Sequence[str] = ("doc_id", "line_no"),
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Correct ``[prefix] name: `` labels of a (key.., line) table, one row per line."""
+    """Correct ``[prefix] name: `` labels of a (by.., key.., line) table, one row per line."""
     part = lambda i: F.regexp_extract("line", LABEL_LINE, i)
     split = lines.withColumn("__n", part(2)).withColumn("__p", part(1)).withColumn("__s", part(3))
-    fixes = correct_names(split.filter(F.col("__n") != "").select(F.col("__n").alias("name")), cast, profiles, cutoff, method)
-    joined = split.join(fixes, F.col("__n") == F.col("name"), "left")
-    apply = (
-        F.col("canonical").isNotNull() & (F.col("corrected") != F.col("cleaned")) & (F.col("conf") >= auto_threshold)
-    )
+    fixes = correct_names(split.filter(F.col("__n") != "").select(*by, F.col("__n").alias("name")), cast, profiles, cutoff, method, by=by)
+    joined = _match(split, fixes.withColumnRenamed("name", "__n"), [*by, "__n"])
+    best = lambda c: F.col(f"best.{c}")
+    apply = best("canonical").isNotNull() & (best("corrected") != best("cleaned")) & (best("conf") >= auto_threshold)
     head = F.length("__p") + F.length("__n") + F.length("__s")
     rest = F.substring(F.col("line"), head + 1, F.length("line"))
-    fixed = F.concat("__p", "corrected", "__s", rest)
+    fixed = F.concat("__p", best("corrected"), "__s", rest)
     return joined.select(
-        *key, F.when(apply, fixed).otherwise(F.col("line")).alias("line"),
+        *by, *(k for k in key if k not in by), F.when(apply, fixed).otherwise(F.col("line")).alias("line"),
         F.coalesce(apply, F.lit(False)).alias("changed"),
     )
 
@@ -288,26 +225,15 @@ def name_search(names: DataFrame, query: str | None) -> DataFrame:
 
 
 def suggest(
-    names: DataFrame, candidates: DataFrame, k: int = 3, cutoff: float = 0.65
+    names: DataFrame, candidates: DataFrame, k: int = 3, cutoff: float = 0.65, method: str = "ratio", by: Sequence[str] = ()
 ) -> DataFrame:
-    """Top-k close candidates per distinct name by the native score, rank 1 best.
+    """Top-k close candidates per distinct (by.., norm), rank 1 best.
 
-    Each block yields its k best; the final cut is over k rows per block.
+    ``ratio`` ranks as close matches are ranked: by the matching-blocks ratio of candidate and name, the larger
+    candidate first among equals.  ``levenshtein`` puts the smaller one first.
     """
-    n = blocks_needed(candidates, BLOCK_ROWS)
-    salts = 16
-    blocks = _block_lists(candidates, n).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    asked = all_blocks(names.select("norm").distinct(), n, "block").withColumn(
-        "salt", F.pmod(F.xxhash64("norm"), F.lit(salts)).cast("int")
-    )
-    score = lambda c: 1.0 - F.levenshtein(F.col("norm"), c["norm"]) / F.greatest(F.length("norm"), F.length(c["norm"]))
-    ranked = F.array_sort(
-        F.filter(
-            F.transform("cands", lambda c: F.struct((-score(c)).alias("neg"), c["canonical"].alias("canonical"))),
-            lambda s: s["neg"] <= -cutoff,
-        )
-    )
-    kept = asked.join(blocks, ["block", "salt"]).select("norm", F.inline(F.slice(ranked, 1, k)))
-    return top_n(kept, ["norm"], [F.col("neg"), F.col("canonical")], k).select(
-        "norm", "canonical", (-F.col("neg")).alias("score"), F.col("rn").cast("bigint").alias("rank")
+    met = close_matches(names.select(*by, "norm"), candidates, k, cutoff, method, by)
+    tie = F.desc("canonical") if method == "ratio" else F.col("canonical")
+    return top_n(met, [*by, "norm"], [F.desc("score"), tie], k).select(
+        *by, "norm", "canonical", "score", F.col("rn").cast("bigint").alias("rank")
     )

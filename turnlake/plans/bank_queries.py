@@ -75,7 +75,7 @@ _IDENT = f"""clusters AS (SELECT episode_id, speaker AS cluster_id, count(*) AS
 
 def _identified(t, auto=True):
     got = B.identify(t.cluster_turn, t.query, t.bank, high=HIGH, medium=MEDIUM, low=LOW, auto_register=auto)
-    return got.withColumn("similarity", F.round("similarity", 6))
+    return got.drop("notes").withColumn("similarity", F.round("similarity", 6))
 
 
 @query("identify", "J4 M10", "SELECT * FROM ident", "cluster_turn query bank", _IDENT)
@@ -83,6 +83,27 @@ def identify(t):
     return _identified(t)
 
 
+@query("assignment_notes", "J4 M10", """SELECT episode_id, cluster_id, CASE WHEN auto_registered THEN 'No speaker met the minimum similarity threshold; manual labeling required.'
+  WHEN confidence_level IN ('medium','low') THEN 'Similarity '||printf('%.3f', similarity)||' classified as '||confidence_level||'; review recommended.' ELSE '' END AS notes FROM ident""", "cluster_turn query bank", _IDENT)
+def assignment_notes(t):
+    """What a reviewer reads; nobody is registered here."""
+    got = B.identify(t.cluster_turn, t.query, t.bank, high=HIGH, medium=MEDIUM, low=LOW)
+    return got.select("episode_id", "cluster_id", F.array_join("notes", "\n").alias("notes"))
+
+
+_SHOWS = """SELECT q.qid, b.emb_id, round(list_cosine_similarity(q.vec,b.vec),12) AS sim FROM query q JOIN bank b ON b.emb_id%3=q.vec_id%3
+  QUALIFY row_number() OVER (PARTITION BY q.qid ORDER BY sim DESC, lower(b.display_name), b.created DESC)=1"""
+
+
+@query("match_bank_by_show", "D9", f"SELECT qid, round(sim,6) AS sim, CASE WHEN sim>=0 THEN emb_id END AS emb_id FROM ({_SHOWS})", "query bank")
+def match_bank_by_show(t):
+    """Vectors of three shows: a query meets its own show's vectors only."""
+    asked = t.query.withColumn("show", F.col("vec_id") % 3)
+    stored = t.bank.withColumn("show", F.col("emb_id") % 3)
+    got = B.match_bank(asked.select("show", "qid", "vec"), stored, -1.0, -1.0, -1.0, by=("show",))
+    return got.select("qid", F.round("sim", 6).alias("sim"), "emb_id")
+
+
 @query("register_unmatched", "J3", "SELECT episode_id, cluster_id, speaker_key AS key, display_name, cluster_id AS aliases, true AS auto_registered FROM ident WHERE auto_registered", "cluster_turn query bank", _IDENT)
 def register_unmatched(t):
     rows = _identified(t, auto=False).withColumn("speaker_id", F.col("speaker_key"))

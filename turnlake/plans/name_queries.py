@@ -100,7 +100,7 @@ def name_search(t):
    SELECT c.canonical, 1-levenshtein(n.norm,c.norm)::DOUBLE/greatest(length(n.norm),length(c.norm)) AS score FROM cands c) WHERE score>=0.65 ORDER BY score DESC, canonical LIMIT 3) c""", "heard cands")
 def suggest(t):
     names = t.heard.select(norm_name(F.col("heard")).alias("norm"))
-    got = M.suggest(names, M.cast_candidates(t.cast, t.bank_names))
+    got = M.suggest(names, M.cast_candidates(t.cast, t.bank_names), method="levenshtein")
     return got.withColumn("score", F.round("score", 6))
 
 
