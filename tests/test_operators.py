@@ -309,18 +309,19 @@ def _best_counts(ref, hyp):
     return path.count("1"), path.count("3"), path.count("2")
 
 
-def test_edit_counts_small_and_tiled(spark):
+def test_edit_counts_small_and_tiled(spark, monkeypatch):
     rnd = random.Random(9)
     text = lambda: [rnd.choice("abcde") for _ in range(rnd.randrange(0, 14))]
     pairs = [(i, text(), text()) for i in range(150)]
     df = spark.createDataFrame(pairs, "k int, ref_ws array<string>, hyp_ws array<string>")
     whole = {r.k: r for r in S.edit_counts(df, ["k"]).collect()}
     cut = lambda c: df.select("k", F.inline(F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(c) - 1, F.lit(0)) / 4).cast("int")), lambda b: F.struct(b.alias("b"), F.transform(F.slice(c, b * 4 + 1, 4), lambda w: F.xxhash64(w)).alias("toks")))))
-    tiled = {r.k: r for r in S.edit_counts_blocks(cut("ref_ws"), cut("hyp_ws"), ["k"], tile=4).collect()}
-    assert len(whole) == len(tiled) == len(pairs)
+    monkeypatch.setattr(S, "FIRST_BAND", 1)  # bands that have to grow
+    ways = [{r.k: r for r in S.edit_counts_blocks(cut("ref_ws"), cut("hyp_ws"), ["k"], 4, *limits).collect()} for limits in ((100, 100), (6, 100), (0, 100), (0, 2), (0, 0))]
+    assert all(len(w) == len(pairs) for w in (whole, *ways))
     for k, ref, hyp in pairs:
         want = _best_counts(ref, hyp)
-        for got in (whole[k], tiled[k]):
+        for got in (whole[k], *(w[k] for w in ways)):
             assert (got.substitutions, got.insertions, got.deletions) == want
             assert got.num_words == len(ref) and got.num_errors == sum(want)
 

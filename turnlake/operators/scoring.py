@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,8 @@ FRAME_MS = 10
 TICK_MS = 100
 FRAME_BUCKET = 1500
 TILE = 4096
+#: Tokens of a text that is one row; cells beside the diagonal at first, and at most.
+WHOLE, FIRST_BAND, WIDEST = 4 * TILE, 64, 1 << 16
 
 # --- word edit distance ---------------------------------------------------------
 # Each cell of the alignment matrix carries its cost and the deletions on its path.
@@ -191,14 +194,14 @@ def edit_counts(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def edit_counts_blocks(
-    ref: DataFrame, hyp: DataFrame, keys: Sequence[str], tile: int = TILE
+    ref: DataFrame, hyp: DataFrame, keys: Sequence[str], tile: int = TILE, whole: int = WHOLE, widest: int = WIDEST
 ) -> DataFrame:
     """S, I, D, N from token blocks (keys.., b, toks) of ``tile`` tokens, the last one shorter.
 
-    Tiles of one anti-diagonal are independent: they run as one Spark stage over
-    all pairs, and only their edges (written to the shared folder) feed the next.
-    The loop count is the longest diagonal, a single number; a side without any
-    block is an empty text.
+    Pairs of at most ``whole`` tokens a side are aligned in batches.  The blocks of longer ones stream through a task
+    in text order, which keeps one row of a band around the diagonal; a band that the distance leaves is widened, so the
+    number of jobs grows with the logarithm of the errors and not with the length.  Pairs that would need a
+    band of more than ``widest`` cells to a side run as waves of tiles.  A side without any block is an empty text.
     """
     r = settle(ref.select(*keys, F.col("b").alias("bi"), F.col("toks").alias("rt")), "edit-ref")
     h = settle(hyp.select(*keys, F.col("b").alias("bj"), F.col("toks").alias("ht")), "edit-hyp")
@@ -206,18 +209,137 @@ def edit_counts_blocks(
         F.sum(F.size(col)).alias(f"__len_{name}"), F.count(F.lit(1)).alias(f"__nb_{name}")
     )
     size = lens(r, "rt", "r").join(lens(h, "ht", "h"), list(keys), "full_outer").na.fill(0)
+    size = settle(size.withColumn("__longer", F.greatest("__len_r", "__len_h")), "edit-size")
     one = size.filter((F.col("__len_r") == 0) | (F.col("__len_h") == 0))
-    trivial = one.select(
+    out = one.select(
         *keys, F.lit(0).cast("bigint").alias("substitutions"),
         F.col("__len_h").alias("insertions"), F.col("__len_r").alias("deletions"),
-        F.col("__len_r").alias("num_words"), (F.col("__len_h") + F.col("__len_r")).alias("num_errors"),
+        F.col("__len_r").alias("num_words"), F.col("__longer").alias("num_errors"),
     )
     both = size.filter((F.col("__len_r") > 0) & (F.col("__len_h") > 0))
+    longest = both.agg(F.max("__longer")).first()[0]
+    if longest is None:
+        return out
+    text = lambda df, at, toks: df.groupBy(*keys).agg(  # noqa: E731  at most ``whole`` tokens a row
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(at, toks))), lambda s: s[toks])).alias(toks)
+    )
+    small = both.filter(F.col("__longer") <= whole)
+    short = small.select(*keys)
+    pairs = text(r.join(short, list(keys), "left_semi"), "bi", "rt").join(text(h.join(short, list(keys), "left_semi"), "bj", "ht"), list(keys))
+    near = wide(pairs, *keys).withColumn("__e", _edit_udf("rt", "ht")).withColumns({"__m": F.size("rt"), "__n": F.size("ht")})
+    out = out.unionByName(near.select(*keys, *_counts(F.col("__e.cost"), F.col("__e.dels"), F.col("__m"), F.col("__n"))))
+    if longest <= whole:
+        return out
+    left = both.filter(F.col("__longer") > whole).withColumn("__half", F.abs(F.col("__len_r") - F.col("__len_h")) + FIRST_BAND)
+    while True:
+        found = settle(_banded(r, h, left.filter(F.col("__half") <= widest), list(keys), tile), "edit-band")
+        known = (F.col("cost") <= F.col("__half")) | (F.col("__half") >= F.col("__longer"))
+        out = out.unionByName(found.filter(known).select(*keys, *_counts(F.col("cost"), F.col("dels"), F.col("__len_r"), F.col("__len_h"))))
+        beyond = left.filter(F.col("__half") > widest)
+        left = found.filter(~known).drop("cost", "dels").withColumn("__half", F.least(F.col("__half") * 4, F.col("__longer")))
+        left = settle(left.unionByName(beyond), "edit-left")
+        counts = left.agg(F.count(F.lit(1)), F.count_if(F.col("__half") <= widest)).first()
+        if not counts[0]:
+            return out
+        if not counts[1]:
+            return out.unionByName(_tile_waves(r, h, left, keys, tile))
+
+
+class _Band:
+    """One row of the matrix of a pair, around the diagonal; tokens come in blocks."""
+
+    def __init__(self, half: int):
+        self.half, self.width, self.row = half, 2 * half + 1, 0
+        self.ramp = np.arange(self.width, dtype=np.int64)
+        self.cost = np.where(self.ramp >= half, self.ramp - half, _FAR)
+        self.dels = np.zeros_like(self.cost)
+        self.text, self.start = np.zeros(half, np.int64), 0  # hypothesis around the row; cells beyond it are never used
+
+    def read(self, tokens: np.ndarray) -> None:
+        self.text = np.concatenate((self.text[self.row - self.start :], tokens))
+        self.start = self.row
+
+    def advance(self, tokens: np.ndarray) -> None:
+        missing = self.row + len(tokens) + self.width - self.start - len(self.text)
+        text = np.concatenate((self.text, np.zeros(max(0, missing), np.int64)))
+        half, ramp = self.half, self.ramp
+        up, up_dels = np.full_like(self.cost, _FAR), np.zeros_like(self.cost)
+        for token in tokens:
+            cost, dels, i = self.cost, self.dels, self.row
+            up[:-1], up_dels[:-1] = cost[1:], dels[1:]
+            same = text[i - self.start : i - self.start + self.width] == token
+            own = np.minimum(cost, up) + 1
+            np.copyto(own, cost, where=same)
+            edge = half - i - 1  # the cell of an empty hypothesis, which has deletions only
+            if edge >= 0:
+                own[:edge] = _FAR
+                own[edge] = i + 1
+            own -= ramp
+            np.minimum.accumulate(own, out=own)
+            own += ramp
+            by_diag = (own - cost == 1) | same
+            inserted = (own - up != 1) & ~by_diag
+            path = np.where(by_diag, dels, up_dels + 1)
+            if edge >= 0:
+                inserted[: edge + 1] = False
+                path[edge] = i + 1
+            inserted[0] = False
+            # An insertion carries the value of the nearest cell to its left that is none.
+            path = path[np.maximum.accumulate(np.where(inserted, 0, ramp))]
+            self.cost, self.dels, self.row = own, path, i + 1
+
+    def result(self, n: int) -> tuple[int, int]:
+        at = n - self.row + self.half
+        return int(self.cost[at]), int(self.dels[at])
+
+
+def _banded(r: DataFrame, h: DataFrame, pairs: DataFrame, keys: list[str], tile: int) -> DataFrame:
+    """``pairs`` (keys.., lengths, __half) with cost and deletions inside their bands; blocks stream in text order."""
+    shift = F.ceil(F.col("__half") / tile) + 1
+    rows = r.join(pairs, keys).select(*pairs.columns, F.col("bi").cast("long").alias("__at"), F.lit(1).alias("__side"), F.col("bi").alias("__b"), F.col("rt").alias("__toks"))
+    # A block of the hypothesis comes before the first row that can see it.
+    hyps = h.join(pairs, keys).select(*pairs.columns, (F.col("bj") - shift).cast("long").alias("__at"), F.lit(0).alias("__side"), F.col("bj").alias("__b"), F.col("ht").alias("__toks"))
+    laid = wide(rows.unionByName(hyps), *keys).sortWithinPartitions(*keys, "__at", "__side", "__b")
+    fields = [laid.schema[c] for c in pairs.columns]
+    names, width = pairs.columns, len(keys)
+    n_at, half_at = pairs.columns.index("__len_h"), pairs.columns.index("__half")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, band = None, None
+
+        def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+            cost, dels = band.result(at[n_at])
+            kinds = [batch.schema.field(n).type for n in names]
+            return pa.RecordBatch.from_arrays(
+                [*(pa.array([v], k) for v, k in zip(at, kinds)), pa.array([cost], pa.int64()), pa.array([dels], pa.int64())], [*names, "cost", "dels"])
+
+        last = None
+        for b in batches:
+            heads = list(zip(*(b.column(n).to_pylist() for n in names)))
+            toks = b.column("__toks")
+            for k, side in enumerate(b.column("__side").to_pylist()):
+                if at is None or heads[k][:width] != at[:width]:
+                    if band is not None:
+                        yield finish(b)
+                    at, band = heads[k], _Band(heads[k][half_at])
+                tokens = toks[k].values.to_numpy(zero_copy_only=False)
+                band.advance(tokens) if side else band.read(tokens)
+            last = b
+        if band is not None:
+            yield finish(last)
+
+    return laid.select(*names, "__side", "__toks").mapInArrow(run, T.StructType([*fields, T.StructField("cost", T.LongType()), T.StructField("dels", T.LongType())]))
+
+
+def _tile_waves(r: DataFrame, h: DataFrame, both: DataFrame, keys: Sequence[str], tile: int) -> DataFrame:
+    """Counts of pairs that differ nearly everywhere.
+
+    Tiles of one anti-diagonal are independent: they run as one Spark stage over all pairs, and only their edges
+    (written to the shared folder) feed the next.
+    """
     waves = both.agg(F.max(F.col("__nb_r") + F.col("__nb_h") - 1)).first()[0]
-    if waves is None:
-        return trivial
     edges = None
-    base = scratch_path(ref.sparkSession, "edit-wave")
+    base = scratch_path(both.sparkSession, "edit-wave")
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields if f.name in keys)
     schema = (
         f"{key_schema}, bi int, bj int, bottom_c array<int>, bottom_d array<int>, right_c array<int>, right_d array<int>"
@@ -264,11 +386,8 @@ def edit_counts_blocks(
     last = tiles.join(full, list(keys)).filter(
         (F.col("bi") == F.col("__nb_r") - 1) & (F.col("bj") == F.col("__nb_h") - 1)
     )
-    return trivial.unionByName(
-        last.select(
-            *keys,
-            *_counts(F.element_at("right_c", -1), F.element_at("right_d", -1), F.col("__len_r"), F.col("__len_h")),
-        )
+    return last.select(
+        *keys, *_counts(F.element_at("right_c", -1), F.element_at("right_d", -1), F.col("__len_r"), F.col("__len_h"))
     )
 
 
