@@ -22,29 +22,30 @@ START = "2024-01-01 00:00:00"
 
 
 def _landings(t, df, label, clock="started_at"):
-    """A derived table as a stream of one file per batch: recordings land one after the other.
+    """A derived table as a stream of one landing per batch: recordings land one after the other.
 
-    The closing batch holds one row of no recording, a year later, so that the watermark passes all others.
+    A landing is as many files as the session has shuffle partitions.  The closing batch holds one row of no
+    recording, a year later, so that the watermark passes all others.
     """
-    path = scratch_path(t.spark, label)
+    path, files = scratch_path(t.spark, label), int(t.spark.conf.get("spark.sql.shuffle.partitions"))
     turn = F.pmod(F.col("episode_id"), F.lit(LANDINGS))
     stamped = df.withColumn(clock, F.to_timestamp(F.lit(START)) + F.make_dt_interval(turn.cast("int")))
     for k in range(LANDINGS):
-        stamped.filter(turn == k).coalesce(1).write.mode("append").parquet(path)
+        stamped.filter(turn == k).repartition(files).write.mode("append").parquet(path)
     closing = stamped.limit(1).withColumn("episode_id", F.lit(-1).cast(df.schema["episode_id"].dataType)).withColumn(
         clock, F.to_timestamp(F.lit(START)) + F.make_dt_interval(F.lit(366))
     )
-    closing.coalesce(1).write.mode("append").parquet(path)
-    return K.stream_new_files(t.spark, path, stamped.schema, files_per_batch=1)
+    closing.write.mode("append").parquet(path)
+    return K.stream_new_files(t.spark, path, stamped.schema, files_per_batch=files)
 
 
 def _closed(t, df, label, ts):
-    """A log as a stream in two batches: all rows, then one row a year later that closes the windows."""
-    path = scratch_path(t.spark, label)
-    df.coalesce(1).write.parquet(path)
-    last = df.agg(F.max(ts)).first()[0]
-    df.limit(1).withColumn(ts, F.lit(last).cast("timestamp") + F.make_dt_interval(F.lit(366))).withColumn("tool", F.lit(None).cast("string")).coalesce(1).write.mode("append").parquet(path)
-    return K.stream_new_files(t.spark, path, df.schema, files_per_batch=1)
+    """A log as a stream: all rows, then one row a year after a date that no row reaches, which closes the windows."""
+    path, files = scratch_path(t.spark, label), int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(files).write.parquet(path)
+    closing = df.limit(1).withColumn(ts, F.to_timestamp(F.lit("2100-01-01")).cast(df.schema[ts].dataType)).withColumn("tool", F.lit(None).cast("string"))
+    closing.write.mode("append").parquet(path)
+    return K.stream_new_files(t.spark, path, df.schema, files_per_batch=files)
 
 
 def _files(t, stream, label):
@@ -99,10 +100,11 @@ def stream_new_episodes(t):
 
 @query("stream_align", "K4", "SELECT episode_id, seg_id, word_idx, speaker FROM aligned", "aligned")
 def stream_align(t):
-    """Words and turns as two streams, recordings one after the other, with the default lateness."""
+    """Words and turns as two streams, recordings one after the other, with the default lateness; no batch step."""
     words = _landings(t, t.plain_word.select("episode_id", "seg_id", "word_idx", "start_ms", "end_ms"), "words")
     turns = _landings(t, t.turn.select("episode_id", "turn_id", "speaker", "start_ms", "end_ms"), "turns")
-    return K.first_owner(_files(t, K.stream_align(words, turns), "aligned").filter("episode_id >= 0"))
+    got = _files(t, K.stream_align(words, turns), "aligned").filter("episode_id >= 0")
+    return got.select("episode_id", "seg_id", "word_idx", "speaker")
 
 
 @query("stream_mask_sessions", "K5", """SELECT episode_id, type, start_ms, end_ms, members FROM (

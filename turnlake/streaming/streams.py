@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import UNKNOWN
+from .live_align import stream_align  # noqa: F401
 
 
 def stream_cost(events: DataFrame) -> DataFrame:
@@ -48,39 +48,6 @@ def event_time(ms: Column, clock: str = "started_at") -> Column:
     return F.timestamp_micros(F.unix_micros(F.col(clock).cast("timestamp")) + ms * 1000)
 
 
-def stream_align(
-    words: DataFrame, turns: DataFrame, lateness: str = "10 minutes", longest_turn: str = "1 hour", clock: str = "started_at"
-) -> DataFrame:
-    """Words joined to the turns holding their midpoint, as both arrive; append mode.
-
-    A word whose turns never come leaves with nulls once the watermark has passed it.  That includes words
-    later than ``longest_turn`` after their turn's start, so nothing is lost without a trace.  Overlapping
-    turns give several rows per word; :func:`first_owner` reduces them and names the rest ``Unknown``.
-    """
-    w = words.withColumn("w_ts", event_time(F.col("start_ms"), clock)).withWatermark("w_ts", lateness)
-    t = turns.select(
-        F.col("episode_id").alias("t_episode"), "turn_id", "speaker",
-        F.col("start_ms").alias("t_start"), F.col("end_ms").alias("t_end"),
-        event_time(F.col("start_ms"), clock).alias("t_ts"),
-    ).withWatermark("t_ts", lateness)
-    mid2 = F.col("start_ms") + F.greatest(F.col("end_ms"), F.col("start_ms"))
-    cond = (
-        (F.col("episode_id") == F.col("t_episode"))
-        & (F.col("t_start") * 2 <= mid2) & (mid2 < F.col("t_end") * 2)
-        & (F.col("w_ts") >= F.col("t_ts") - F.expr(f"INTERVAL {longest_turn}"))
-        & (F.col("w_ts") <= F.col("t_ts") + F.expr(f"INTERVAL {longest_turn}"))
-    )
-    return w.join(t, cond, "left_outer").drop("t_episode", "w_ts", "t_ts")
-
-
-def first_owner(joined: DataFrame) -> DataFrame:
-    """Batch reduction of streamed pairs to the smallest (start, end) turn per word."""
-    owned = F.when(F.col("turn_id").isNotNull(), F.struct("t_start", "t_end", "turn_id"))
-    return joined.groupBy("episode_id", "seg_id", "word_idx").agg(
-        F.coalesce(F.min_by("speaker", owned), F.lit(UNKNOWN)).alias("speaker")
-    )
-
-
 def stream_mask_sessions(
     masks: DataFrame, gap_ms: int = 120, min_ms: int = 80, lateness: str = "10 minutes", clock: str = "started_at"
 ) -> DataFrame:
