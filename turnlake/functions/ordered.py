@@ -9,7 +9,7 @@ carry is joined back.  Rows are shuffled once, exactly as with the plain window.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import and_
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_B = "__bucket"
+_B = BUCKET = "__bucket"
 
 
 def prefix_scan(
@@ -112,6 +112,31 @@ def islands(
     )
 
 
+def runs(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: str | Column, label: Column,
+    aggs: Mapping[str, tuple[Column, Callable[[str], Column]]], name: str = "island",
+) -> DataFrame:
+    """One row per maximal run of equal ``label``: keys.., ``name`` (from 0), ``label`` and the aggregates.
+
+    Two shuffles: rows by (key, bucket), where runs are numbered and aggregated on one sort, and the runs, far fewer, by
+    key, where those that a bucket border cuts are put together.  ``aggs`` are (aggregate of rows, aggregate of parts).
+    ``order`` must be total within a key and ``bucket`` non-decreasing along it; a name is an existing column.
+    """
+    src = df if isinstance(bucket, str) else df.withColumn(_B, bucket)
+    at = bucket if isinstance(bucket, str) else _B
+    inside = W.partitionBy(*keys, at).orderBy(*order)
+    marked = src.withColumn("__label", label)
+    before = F.lag(F.struct("__label")).over(inside)
+    flagged = marked.withColumn("__new", F.when(before.isNotNull() & before["__label"].eqNullSafe(F.col("__label")), 0).otherwise(1))
+    numbered = flagged.withColumn("__run", F.sum("__new").over(inside))
+    parts = numbered.groupBy(*keys, at, "__run").agg(F.first("__label").alias("__label"), *(a.alias(n) for n, (a, _) in aggs.items()))
+    whole = W.partitionBy(*keys).orderBy(at, "__run")
+    last = F.lag(F.struct("__label")).over(whole)
+    joined = parts.withColumn("__new", F.when(last.isNotNull() & last["__label"].eqNullSafe(F.col("__label")), 0).otherwise(1))
+    joined = joined.withColumn(name, (F.sum("__new").over(whole) - 1).cast("bigint"))
+    return joined.groupBy(*keys, name).agg(F.first("__label").alias("label"), *(both(n).alias(n) for n, (_, both) in aggs.items()))
+
+
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rn") -> DataFrame:
     """First ``n`` rows per key.  Spark prunes to n per key before the shuffle, so hot keys are cheap."""
     w = W.partitionBy(*keys).orderBy(*order)
@@ -126,9 +151,16 @@ def trailing(
     Rows near the end of a bucket are repeated as a halo in the next ones, so each
     (key, bucket) is complete on its own.
     """
+    return trailing_buckets(df, keys, t, span, bucket, aggs).drop(_B)
+
+
+def trailing_buckets(
+    df: DataFrame, keys: Sequence[str], t: str, span: int, bucket: int, aggs: Mapping[str, Column]
+) -> DataFrame:
+    """``trailing``, with the bucket that the rows are dealt by kept as column ``BUCKET``."""
     first = F.floor(F.col(t) / bucket).cast("bigint")
     last = F.floor((F.col(t) + span) / bucket).cast("bigint")
     haloed = df.withColumn(_B, F.explode(F.sequence(first, last)))
     w = W.partitionBy(*keys, _B).orderBy(t).rangeBetween(-span, -1)
     out = haloed.select("*", *[a.over(w).alias(name) for name, a in aggs.items()])
-    return out.filter(F.col(_B) == first).drop(_B)
+    return out.filter(F.col(_B) == first)

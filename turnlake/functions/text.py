@@ -84,12 +84,11 @@ def norm_name(col: Column, case_sensitive: bool = False) -> Column:
         # Sharp s is common; the other expansions are rare and tested for once.
         text = F.replace(text, F.lit("ß"), F.lit("ss"))
     rest = [(c, k) for c, k in longer if c != "ß"]
+    table = F.expr("map(" + ", ".join(f"'{c}', '{k}'" for c, k in rest) + ")")
 
     def expand(t: Column) -> Column:
-        spelled = t
-        for char, kept in rest:
-            spelled = F.replace(spelled, F.lit(char), F.lit(kept))
-        return F.when(t.rlike("[" + "".join(c for c, _ in rest) + "]"), spelled).otherwise(t)
+        chars = F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
+        return F.when(t.rlike("[" + "".join(c for c, _ in rest) + "]"), F.array_join(chars, "")).otherwise(t)
 
     return F.regexp_replace(let(text, expand), NOT_ALNUM, "")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ from ..functions.text import UNKNOWN
 TIE = "UNK"
 OUTSIDE = "UNKNOWN"
 ROW = "__row"
+#: Time that one sweep covers, and borders that it holds at once.
+SWEEP_MS, SWEEP_ROWS = 60_000, 4096
 
 
 def by_row(pairs: DataFrame, columns: list[str], *aggs: Column) -> DataFrame:
@@ -219,6 +223,54 @@ def overlapped_speech(turns: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame
     )
 
 
+def overlap_totals(turns: DataFrame, bucket_ms: int = SWEEP_MS) -> DataFrame:
+    """Overlapped speech per episode and pair of speakers (a < b): the overlaps of all their turns, summed.
+
+    No pairs of turns arise.  Turns are cut at bucket borders; in a bucket, a sweep over the turns' borders knows how many
+    turns of each speaker are open, and the time between two borders counts for every two speakers that are.  Work
+    grows with borders times speakers.
+    """
+    last = F.greatest(F.col("end_ms") - 1, F.col("start_ms"))
+    spoken = turns.where(F.col("speaker").isNotNull() & (F.col("end_ms") > F.col("start_ms")))
+    cut = spoken.select(
+        "episode_id", "speaker", "start_ms", "end_ms",
+        F.explode(F.sequence(floor_div(F.col("start_ms"), bucket_ms), floor_div(last, bucket_ms))).alias("bucket"),
+    )
+    low, high = F.col("bucket") * bucket_ms, (F.col("bucket") + 1) * bucket_ms
+    borders = F.inline(F.array(
+        F.struct(F.greatest("start_ms", low).cast("bigint").alias("t"), F.lit(1).cast("bigint").alias("change")),
+        F.struct(F.least("end_ms", high).cast("bigint").alias("t"), F.lit(-1).cast("bigint").alias("change")),
+    ))
+    # Turns that begin or end together are one border.
+    steps = cut.select("episode_id", "bucket", "speaker", borders).groupBy("episode_id", "bucket", "speaker", "t").agg(F.sum("change").alias("change"))
+    episode = turns.schema["episode_id"].dataType.simpleString()
+    found = steps.where("change <> 0").groupBy("episode_id", "bucket").applyInPandas(
+        _sweep, f"episode_id {episode}, a_speaker string, b_speaker string, overlap_ms bigint"
+    )
+    return found.groupBy("episode_id", "a_speaker", "b_speaker").agg(F.sum("overlap_ms").alias("overlap_ms"))
+
+
+def _sweep(key: tuple, steps: pd.DataFrame) -> pd.DataFrame:
+    names, who = np.unique(steps["speaker"].to_numpy(str), return_inverse=True)
+    t, at = np.unique(steps["t"].to_numpy(np.int64), return_inverse=True)
+    change = steps["change"].to_numpy(np.int64)
+    total = np.zeros((len(names), len(names)), np.int64)
+    open_turns = np.zeros(len(names), np.int64)
+    order = np.argsort(at, kind="stable")
+    span = np.append(np.diff(t), 0)
+    for a in range(0, len(t), SWEEP_ROWS):
+        b = min(a + SWEEP_ROWS, len(t))
+        part = order[np.searchsorted(at[order], a) : np.searchsorted(at[order], b)]
+        counts = np.zeros((b - a, len(names)), np.int64)
+        np.add.at(counts, (at[part] - a, who[part]), change[part])
+        counts[0] += open_turns
+        np.cumsum(counts, axis=0, out=counts)
+        open_turns = counts[-1].copy()
+        total += counts.T @ (counts * span[a:b, None])
+    first, second = np.nonzero(np.triu(total, 1))
+    return pd.DataFrame({"episode_id": key[0], "a_speaker": names[first], "b_speaker": names[second], "overlap_ms": total[first, second]})
+
+
 def attribute_masks(masks: DataFrame, turns: DataFrame) -> DataFrame:
     """Speaker with the largest overlapping turn; null where the mask is in silence."""
     hit = best_overlap(masks, turns, ["speaker"], "turn_id")

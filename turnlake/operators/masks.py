@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, WindowSpec
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.intervals import SCAN_MS, floor_div
-from ..functions.ordered import islands, prefix_scan, trailing
+from ..functions.ordered import BUCKET, runs, trailing_buckets
 from ..functions.text import fmt_timestamp
 from .alignment import ROW, by_row
 
@@ -17,21 +18,26 @@ def merge_masks(masks: DataFrame, gap_ms: int = 120, min_ms: int = 80) -> DataFr
     Results shorter than ``min_ms`` are dropped unless they were merged.
     """
     keys = ["episode_id", "type"]
-    order = ["start_ms", "end_ms", "mask_id"]
-    bucket = floor_div(F.col("start_ms"), SCAN_MS)
-    reach = prefix_scan(masks, keys, order, bucket, maxes={"__reach": F.col("end_ms")})
-    new = F.when(
-        F.col("__reach").isNull() | (F.col("start_ms") - F.col("__reach") >= gap_ms), 1
-    ).otherwise(0)
-    flagged = reach.withColumn("__new", new).drop("__reach")
-    chained = prefix_scan(flagged, keys, order, bucket, sums={"__before": F.col("__new")})
-    merged = chained.groupBy(*keys, (F.col("__before") + F.col("__new")).alias("chain")).agg(
+    # Chains inside buckets first; of their few rows those that reach over a border are put together.
+    inside = W.partitionBy(*keys, "__bucket").orderBy("start_ms", "end_ms", "mask_id")
+    whole = W.partitionBy(*keys).orderBy("__bucket", "chain")
+
+    def chained(rows: DataFrame, over: WindowSpec, name: str) -> DataFrame:
+        reach = F.max("end_ms").over(over.rowsBetween(W.unboundedPreceding, -1))
+        rows = rows.withColumn("__reach", reach)
+        new = F.when(F.col("__reach").isNull() | (F.col("start_ms") - F.col("__reach") >= gap_ms), 1).otherwise(0)
+        return rows.withColumn("__new", new).withColumn(name, F.sum("__new").over(over))
+
+    parts = chained(masks.withColumn("__bucket", floor_div(F.col("start_ms"), SCAN_MS)), inside, "chain").groupBy(*keys, "__bucket", "chain").agg(
+        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count(F.lit(1)).alias("members"), F.max("conf").alias("conf")
+    )
+    merged = chained(parts, whole, "whole").groupBy(*keys, "whole").agg(
         F.min("start_ms").alias("start_ms"),
         F.max("end_ms").alias("end_ms"),
-        F.count(F.lit(1)).alias("members"),
+        F.sum("members").alias("members"),
         F.max("conf").alias("conf"),
     )
-    return merged.filter((F.col("members") > 1) | (F.col("end_ms") - F.col("start_ms") >= min_ms)).drop("chain")
+    return merged.filter((F.col("members") > 1) | (F.col("end_ms") - F.col("start_ms") >= min_ms)).drop("whole")
 
 
 def detect_masks(
@@ -55,7 +61,7 @@ def detect_masks(
     at least ``drop_db`` below the trailing mean inside speech.  Bands and limits of
     the unspecified rules are parameters.
     """
-    level = trailing(
+    level = trailing_buckets(
         frames, ["episode_id"], "t_ms", trail_ms, SCAN_MS, {"trail_db": F.avg("rms_db")}
     )
     snr = F.col("rms_db") - floor_db
@@ -74,17 +80,15 @@ def detect_masks(
     )
     conf = F.when(kind == "mute", mute_conf).when(kind == "tone", tone_conf).otherwise(noise_conf)
     marked = level.withColumn("kind", kind).withColumn("conf", conf)
-    runs = islands(marked, ["episode_id"], ["t_ms"], floor_div(F.col("t_ms"), SCAN_MS), F.col("kind"))
     half = hop_ms // 2
-    events = (
-        runs.filter(F.col("kind") != "none")
-        .groupBy("episode_id", "island", F.col("kind").alias("type"))
-        .agg(
-            F.greatest(F.min("t_ms") - half, F.lit(0)).cast("bigint").alias("start_ms"),
-            (F.max("t_ms") + half).cast("bigint").alias("end_ms"),
-            F.avg("conf").alias("conf"),
-        )
-        .withColumn("mask_id", F.col("island"))
+    # The frames are dealt and sorted once, for the trailing level and the runs; runs and events follow by recording.
+    found = runs(
+        marked, ["episode_id"], ["t_ms"], BUCKET, F.col("kind"),
+        {"from_ms": (F.min("t_ms"), F.min), "to_ms": (F.max("t_ms"), F.max), "conf_sum": (F.sum("conf"), F.sum), "frames": (F.count("conf"), F.sum)},
+    )
+    events = found.filter(F.col("label") != "none").select(
+        "episode_id", F.col("label").alias("type"), F.greatest(F.col("from_ms") - half, F.lit(0)).cast("bigint").alias("start_ms"),
+        (F.col("to_ms") + half).cast("bigint").alias("end_ms"), (F.col("conf_sum") / F.col("frames")).alias("conf"), F.col("island").alias("mask_id"),
     )
     merged = merge_masks(events, gap_ms, min_ms)
     dur = F.col("end_ms") - F.col("start_ms")

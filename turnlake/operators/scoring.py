@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -489,11 +490,7 @@ def corpus_wer(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     return agg.withColumn("wer", F.when(F.col("num_words") > 0, F.col("num_errors") / F.col("num_words")))
 
 
-def speaker_tokens(words: DataFrame) -> DataFrame:
-    """Tokens of the speaker-grouped text: per speaker its label, then its words by time.
-
-    Input (episode_id, speaker, start_ms, seg_id, word_idx, word); output adds ``pos``.
-    """
+def _speaker_rows(words: DataFrame) -> DataFrame:
     # A word holds no inner space, so its scoring form is one replacement.
     tok = F.regexp_replace(F.lower("word"), r"[^\p{L}\p{N}_]", "")
     body = words.select("episode_id", "speaker", "start_ms", "seg_id", "word_idx", tok.alias("tok"))
@@ -502,37 +499,51 @@ def speaker_tokens(words: DataFrame) -> DataFrame:
         F.lit(-1).cast("bigint").alias("seg_id"), F.lit(-1).alias("word_idx"),
         F.explode(norm_words(F.concat(F.lit("["), F.col("speaker"), F.lit("]")))).alias("tok"),
     )
-    rows = body.filter(F.col("tok") != "").unionByName(label)
-    return prefix_scan(
-        rows, ["episode_id"], ["speaker", "start_ms", "seg_id", "word_idx"],
-        F.struct("speaker", floor_div(F.col("start_ms"), 600_000).alias("b")),
-        sums={"pos": F.lit(1).cast("bigint")},
-    )
+    return body.filter(F.col("tok") != "").unionByName(label)
 
 
-def text_tokens(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Tokens of the joined segment texts of each key, with their position ``pos``."""
-    rows = segments.select(*keys, "seg_id", F.posexplode(norm_words(F.col("text"))).alias("i", "tok"))
-    return prefix_scan(
-        rows, keys, ["seg_id", "i"], floor_div(F.col("seg_id"), 1024), sums={"pos": F.lit(1).cast("bigint")}
-    )
+_SPEAKER_ORDER = ("speaker", "start_ms", "seg_id", "word_idx")
 
 
-def token_blocks(tokens: DataFrame, keys: Sequence[str] = ("episode_id",)) -> DataFrame:
-    """Blocks of TILE tokens per key: the group size is the block size."""
-    return (
-        tokens.withColumn("b", floor_div(F.col("pos"), TILE).cast("int"))
-        .groupBy(*keys, "b")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", F.xxhash64("tok").alias("t")))).alias("s"))
-        .select(*keys, "b", F.col("s.t").alias("toks"))
+def _speaker_bucket() -> Column:
+    return F.struct("speaker", floor_div(F.col("start_ms"), 600_000).alias("b"))
+
+
+def speaker_tokens(words: DataFrame) -> DataFrame:
+    """Tokens of the speaker-grouped text: per speaker its label, then its words by time.
+
+    Input (episode_id, speaker, start_ms, seg_id, word_idx, word); output adds ``pos``.
+    """
+    return prefix_scan(_speaker_rows(words), ["episode_id"], _SPEAKER_ORDER, _speaker_bucket(), sums={"pos": F.lit(1).cast("bigint")})
+
+
+def token_blocks(tokens: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, tile: int = TILE) -> DataFrame:
+    """Blocks of ``tile`` tokens per key, in ``order``: (keys.., b, toks).
+
+    Tokens are gathered by (key, bucket), which bounds a row; buckets, far fewer, are counted up and cut at block borders.
+    ``bucket`` must be non-decreasing along ``order``.
+    """
+    entry = F.struct(*order, F.xxhash64("tok").alias("__t"))
+    parts = tokens.withColumn("__bucket", bucket).groupBy(*keys, "__bucket").agg(
+        F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["__t"]).alias("toks")
     )
+    before = F.coalesce(F.sum(F.size("toks")).over(W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = parts.withColumn("__at", before).withColumn("b", F.explode(F.sequence(floor_div(F.col("__at"), tile), floor_div(F.col("__at") + F.size("toks") - 1, tile))))
+    first = F.greatest(F.col("b") * tile - F.col("__at"), F.lit(0))
+    piece = F.slice("toks", (first + 1).cast("int"), (F.least((F.col("b") + 1) * tile - F.col("__at"), F.size("toks").cast("bigint")) - first).cast("int"))
+    cut = placed.select(*keys, F.col("b").cast("int").alias("b"), F.struct(F.col("__at"), piece.alias("toks")).alias("piece"))
+    return cut.groupBy(*keys, "b").agg(F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda s: s["toks"])).alias("toks"))
+
+
+def text_blocks(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Blocks of the joined segment texts of each key."""
+    rows = segments.select(*keys, "seg_id", F.posexplode(norm_words(F.col("text"))).alias("i", "tok"))
+    return token_blocks(rows, keys, ["seg_id", "i"], floor_div(F.col("seg_id"), 64))
 
 
 def document_wer(ref: DataFrame, hyp: DataFrame, keys: Sequence[str]) -> DataFrame:
     """WER of whole documents given as (keys.., seg_id, text) rows, aligned end to end."""
-    counts = edit_counts_blocks(
-        token_blocks(text_tokens(ref, keys), keys), token_blocks(text_tokens(hyp, keys), keys), keys
-    )
+    counts = edit_counts_blocks(text_blocks(ref, keys), text_blocks(hyp, keys), keys)
     return with_rates(counts)
 
 
@@ -541,9 +552,8 @@ def cpwer(hyp_words: DataFrame, ref_words: DataFrame) -> DataFrame:
 
     Lines follow speaker order; speakers are not permuted.
     """
-    counts = edit_counts_blocks(
-        token_blocks(speaker_tokens(ref_words)), token_blocks(speaker_tokens(hyp_words)), ["episode_id"]
-    )
+    blocks = lambda words: token_blocks(_speaker_rows(words), ["episode_id"], _SPEAKER_ORDER, _speaker_bucket())
+    counts = edit_counts_blocks(blocks(ref_words), blocks(hyp_words), ["episode_id"])
     return with_rates(counts)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.intervals import SCAN_MS, floor_div
-from ..functions.ordered import islands, prefix_scan, top_n
+from ..functions.ordered import islands, prefix_scan, runs, top_n
 from ..functions.text import (
     UNKNOWN,
     blank_to_null,
@@ -272,12 +272,11 @@ def speaker_counts(segments: DataFrame) -> DataFrame:
 
 def merge_turns(words: DataFrame) -> DataFrame:
     """Consecutive same-speaker words (by start) -> one turn with its span and word count."""
-    runs = _word_runs(words)
-    return runs.groupBy("episode_id", F.col("island").alias("turn_id"), "speaker").agg(
-        F.min("start_ms").alias("start_ms"),
-        F.max("end_ms").alias("end_ms"),
-        F.count(F.lit(1)).alias("n_words"),
+    found = runs(
+        words, ["episode_id"], ["start_ms", "seg_id", "word_idx"], floor_div(F.col("start_ms"), SCAN_MS), F.col("speaker"),
+        {"start_ms": (F.min("start_ms"), F.min), "end_ms": (F.max("end_ms"), F.max), "n_words": (F.count(F.lit(1)), F.sum)},
     )
+    return found.select("episode_id", F.col("island").alias("turn_id"), F.col("label").alias("speaker"), "start_ms", "end_ms", "n_words")
 
 
 def turn_text(words: DataFrame, part_ms: int = SCAN_MS) -> DataFrame:
@@ -286,10 +285,10 @@ def turn_text(words: DataFrame, part_ms: int = SCAN_MS) -> DataFrame:
     A monologue may be as long as its recording, so its text comes in parts of at
     most ``part_ms``; joined in ``part`` order they are the whole turn.
     """
-    runs = _word_runs(words).withColumn("part", floor_div(F.col("start_ms"), part_ms))
+    numbered = _word_runs(words).withColumn("part", floor_div(F.col("start_ms"), part_ms))
     entry = F.struct("start_ms", "seg_id", "word_idx", "word")
     return (
-        runs.groupBy("episode_id", F.col("island").alias("turn_id"), "speaker", "part")
+        numbered.groupBy("episode_id", F.col("island").alias("turn_id"), "speaker", "part")
         .agg(F.array_sort(F.collect_list(entry)).alias("ws"))
         .select("episode_id", "turn_id", "speaker", "part", F.array_join(F.col("ws.word"), " ").alias("text"))
     )
@@ -304,13 +303,16 @@ def _word_runs(words: DataFrame) -> DataFrame:
 
 def labels_to_turns(frames: DataFrame, hop_ms: int) -> DataFrame:
     """Runs of equal frame labels -> [t - hop/2, t_last + hop/2], first start >= 0."""
-    runs = islands(frames, ["episode_id"], ["t_ms"], floor_div(F.col("t_ms"), SCAN_MS), F.col("label"))
     half = hop_ms // 2
-    return runs.groupBy("episode_id", F.col("island").alias("turn_id"), F.col("label").alias("speaker")).agg(
-        F.when(F.min("island") == 0, F.greatest(F.min("t_ms") - half, F.lit(0)))
-        .otherwise(F.min("t_ms") - half).cast("bigint").alias("start_ms"),
-        (F.max("t_ms") + half).alias("end_ms"),
-        F.count(F.lit(1)).alias("n_frames"),
+    found = runs(
+        frames, ["episode_id"], ["t_ms"], floor_div(F.col("t_ms"), SCAN_MS), F.col("label"),
+        {"from_ms": (F.min("t_ms"), F.min), "to_ms": (F.max("t_ms"), F.max), "n_frames": (F.count(F.lit(1)), F.sum)},
+    )
+    start = F.col("from_ms") - half
+    return found.select(
+        "episode_id", F.col("island").alias("turn_id"), F.col("label").alias("speaker"),
+        F.when(F.col("island") == 0, F.greatest(start, F.lit(0))).otherwise(start).cast("bigint").alias("start_ms"),
+        (F.col("to_ms") + half).alias("end_ms"), "n_frames",
     )
 
 

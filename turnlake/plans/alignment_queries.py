@@ -82,6 +82,13 @@ def overlapped_speech(t):
     return A.overlapped_speech(t.turn_ovl)
 
 
+@query("overlap_totals", "D20", """SELECT episode_id, least(x, y) AS a_speaker, greatest(x, y) AS b_speaker, sum(o)::BIGINT AS overlap_ms FROM (
+  SELECT a.episode_id, a.speaker AS x, b.speaker AS y, least(a.end_ms,b.end_ms)-greatest(a.start_ms,b.start_ms) AS o FROM turn_ovl a JOIN turn_ovl b ON a.episode_id=b.episode_id
+  AND a.turn_id<b.turn_id AND a.speaker<>b.speaker AND least(a.end_ms,b.end_ms)>greatest(a.start_ms,b.start_ms)) GROUP BY ALL""", "turn_ovl")
+def overlap_totals(t):
+    return A.overlap_totals(t.turn_ovl)
+
+
 @query("speaker_mix", "E1", "SELECT * FROM mix", "mix")
 def speaker_mix(t):
     return T.speaker_mix(t.aligned)
