@@ -37,3 +37,13 @@ def wide(df: DataFrame, *keys: str) -> DataFrame:
     """
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
     return df.repartition(n, *keys)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``wide`` for rows that need not lie by key.
+
+    A repartitioning by the key itself would be dropped where a join below has it already, and the join's few
+    small partitions would do all the work.
+    """
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n, F.xxhash64(*keys))

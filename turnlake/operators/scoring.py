@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.blocks import wide
+from ..functions.blocks import spread, wide
 from ..functions.intervals import floor_div, last_writer_cells, union_lengths
 from ..functions.ordered import prefix_scan
 from ..functions.text import exact_round, norm_words, words_of
@@ -190,7 +190,7 @@ def edit_counts(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
         *keys, F.size("ref_ws").alias("__m"), F.size("hyp_ws").alias("__n"),
         _tokens(F.col("ref_ws")).alias("__r"), _tokens(F.col("hyp_ws")).alias("__h"),
     )
-    near = wide(sized, *keys).withColumn("__e", _edit_udf("__r", "__h"))
+    near = spread(sized, *keys).withColumn("__e", _edit_udf("__r", "__h"))
     return near.select(*keys, *_counts(F.col("__e.cost"), F.col("__e.dels"), F.col("__m"), F.col("__n")))
 
 
@@ -227,7 +227,7 @@ def edit_counts_blocks(
     small = both.filter(F.col("__longer") <= whole)
     short = small.select(*keys)
     pairs = text(r.join(short, list(keys), "left_semi"), "bi", "rt").join(text(h.join(short, list(keys), "left_semi"), "bj", "ht"), list(keys))
-    near = wide(pairs, *keys).withColumn("__e", _edit_udf("rt", "ht")).withColumns({"__m": F.size("rt"), "__n": F.size("ht")})
+    near = spread(pairs, *keys).withColumn("__e", _edit_udf("rt", "ht")).withColumns({"__m": F.size("rt"), "__n": F.size("ht")})
     out = out.unionByName(near.select(*keys, *_counts(F.col("__e.cost"), F.col("__e.dels"), F.col("__m"), F.col("__n"))))
     if longest <= whole:
         return out
