@@ -6,12 +6,12 @@ bin is filled, and from round COORDINATES on, bin i - COORDINATES takes all elem
 sets need one or two rounds instead of one hash per coordinate and element.
 
 Documents with equal sets form a class first.  Classes that agree in all coordinates of a band share a bucket.
-Each bucket first compares its members with one centre only, and verified links are contracted to components.
-Members outside the centre's component then meet one more member of each of their buckets, drawn anew per bucket,
-which connects nearly all that belong to a group.  Those still outside are compared with all of the bucket's members
-of other components, behind a longer sketch (``FINE`` bits), computed only for documents that share a bucket.  So every pair that shares a bucket is either verified or already connected, while a large
-group of near copies costs a few comparisons per member.  A sketch of one bit per coordinate discards far pairs inside the join; what is
-left is decided on the full sets.
+Each bucket first compares its members with one centre only, and verified links are contracted to components.  Members
+outside a drawn member's component then meet that one, links are contracted, and others are drawn per bucket, until
+that links hardly any; a large group of near copies costs a few comparisons per member.  Those still apart
+are compared with all of the bucket's members of other components, behind a longer sketch (``FINE`` bits) drawn for
+them alone, so every pair that shares a bucket is either verified or already connected.  Sketches of one bit per
+coordinate discard far pairs inside the joins; what is left is decided on the full sets.
 
 Null and empty texts, and texts without words, have no set and link with nothing.  Null ids are allowed (a
 component's id is its smallest non-null id); equal rows are in one class.  Columns other than id and text are not read.
@@ -35,6 +35,8 @@ from .components import labels
 BAND_ROWS, BANDS = 6, 40
 COORDINATES = BAND_ROWS * BANDS
 FINE = 3072
+#: Members drawn per bucket at once; drawing ends when it links fewer than one in FEW of those outside.
+DRAWS, FEW = 2, 200
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -121,7 +123,7 @@ def sketches(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: st
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, shingle: int, text_col: str) -> DataFrame:
-    """(f, elements, fine sketch) of the wanted texts (h), one row per set."""
+    """(f, elements) of the wanted texts (h), one row per set."""
     text = F.col(text_col).cast("string")
     source = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).join(wanted, "h", "left_semi")
 
@@ -131,14 +133,28 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, shingle: int, text_col: str)
                 elements, at = _sets(*tx.flat(part.column("text")), shingle)
                 at = np.concatenate((at[:1], at[1:][np.diff(at) > 0]))
                 ids = [_identity(elements[a:b])[0] for a, b in zip(at[:-1], at[1:])]
-                # A few hundred sets at a time: short texts are many, and a long sketch is 24 KB while it is filled.
-                parts = [_one_bit(sketch(elements[at[k] : at[min(k + 256, len(ids))]], at[k : k + 257] - at[k], FINE)) for k in range(0, len(ids), 256)]
-                bits = np.concatenate(parts) if parts else np.zeros((0, FINE // 64), np.int64)
-                fine = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * bits.shape[1], pa.int32()), pa.array(bits.ravel()))
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(elements.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists, fine], ["f", "elements", "fine"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["f", "elements"])
 
-    return source.select("text").mapInArrow(run, "f long, elements array<long>, fine array<long>").dropDuplicates(["f"])
+    return source.select("text").mapInArrow(run, "f long, elements array<long>").dropDuplicates(["f"])
+
+
+def _fine(sets: DataFrame) -> DataFrame:
+    """(f, fine): the longer one-bit sketch of sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            # Some sets at a time: short ones are many, and a long sketch is 24 KB while it is filled.
+            for k in range(0, whole.num_rows, 256):
+                part = whole.slice(k, 256)
+                lists = pa.concat_arrays([part.column("elements")])
+                at = lists.offsets.to_numpy().astype(np.int64)
+                bits = _one_bit(sketch(lists.values.to_numpy(zero_copy_only=False).view(np.uint64), at, FINE))
+                fine = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1) * bits.shape[1], pa.int32()), pa.array(bits.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("f"), fine], ["f", "fine"])
+
+    spread = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sets.repartition(spread, F.xxhash64("f")).mapInArrow(run, "f long, fine array<long>")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -203,8 +219,8 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     )
     member = classes.select("f", "h", "bits", F.explode("bands").alias("key"))
     bucket = classes.select("f", F.explode("bands").alias("key")).groupBy("key").agg(
-        F.min("f").alias("centre"), F.min(F.struct(F.xxhash64("f", "key").alias("drawn"), "f")).alias("other"), F.count(F.lit(1)).alias("size")
-    ).where("size > 1").select("key", "centre", F.col("other.f").alias("second"))
+        F.min("f").alias("centre"), F.count(F.lit(1)).alias("size")
+    ).where("size > 1").select("key", "centre")
     shared = settle(member.join(bucket, "key"), "buckets")
     sets = settle(_full_sets(docs, shared.select("h").distinct(), shingle, text_col), "sets")
     bits = shared.select("f", "bits").dropDuplicates(["f"])
@@ -219,23 +235,34 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
         """Bucket members with their component's label and that of the bucket's centre."""
         main = named.select(F.col("node").alias("centre"), F.col("label").alias("main"))
         return shared.join(named.withColumnRenamed("node", "f"), "f", "left").join(main, "centre", "left").select(
-            "key", "f", "bits", "second", F.coalesce("label", F.xxhash64("f")).alias("label"), F.coalesce("main", F.xxhash64("centre")).alias("main")
+            "key", "f", "bits", F.coalesce("label", F.xxhash64("f")).alias("label"), F.coalesce("main", F.xxhash64("centre")).alias("main")
         )
 
     links = compare(shared.select("f", "bits", F.col("centre").alias("other")), "links")
-    outside = placed(labels(links)).where("label <> main")
-    links = links.unionByName(compare(outside.select("f", "bits", F.col("second").alias("other")), "second-links"))
-
-    members = settle(placed(labels(links)).drop("bits", "second"), "members")
-    fine = sets.select("f", "fine")
-    stray = members.where("label <> main").join(fine, "f").select("key", F.col("f").alias("a"), F.col("fine").alias("afine"), F.col("label").alias("alabel"))
-    other = members.join(members.where("label <> main").select("key").distinct(), "key", "left_semi").join(fine, "f").select(
-        "key", F.col("f").alias("b"), F.col("fine").alias("bfine"), F.col("label").alias("blabel")
-    )
-    rest = (
-        stray.join(other, "key")
-        .where((F.col("alabel") != F.col("blabel")) & ~_far("afine", "bfine", percent, FINE))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Members outside the centre's component meet drawn members of each of their buckets; what that links is contracted and
+    # others are drawn, as long as it links a fair share.  What it misses is found below.
+    draw = 0
+    while True:
+        members = settle(placed(labels(links)), "members")
+        outside = members.where("label <> main")
+        mixed = members.join(outside.select("key").distinct(), "key", "left_semi")
+        order = [F.min(F.struct(F.xxhash64("f", "key", F.lit(draw + k)).alias("d"), "f", "label")).alias(f"p{k}") for k in range(DRAWS)]
+        partners = mixed.groupBy("key").agg(*order).withColumn("p", F.explode(F.array(*(f"p{k}" for k in range(DRAWS)))))
+        asked = mixed.join(partners.select("key", "p"), "key").where(F.col("label") != F.col("p.label")).select("f", "bits", F.col("p.f").alias("other"))
+        found = compare(asked, "drawn-links")
+        links = links.unionByName(found)
+        draw += DRAWS
+        if found.count() * FEW <= outside.count():
+            break
+
+    # What is left is compared in full, behind a longer sketch; a pair in several buckets is one pair, of the first one.
+    buckets = mixed.groupBy("f").agg(F.collect_set("key").alias("keys"))
+    side = mixed.join(buckets, "f").join(_fine(sets.join(buckets.select("f"), "f", "left_semi")), "f")
+    stray = side.where("label <> main").select("key", *(F.col(c).alias(f"a{c}") for c in ("f", "fine", "label", "keys")))
+    other = side.select("key", *(F.col(c).alias(f"b{c}") for c in ("f", "fine", "label", "keys")), (F.col("label") != F.col("main")).alias("bstray"))
+    once = (F.col("alabel") != F.col("blabel")) & (~F.col("bstray") | (F.col("af") < F.col("bf"))) & ~_far("afine", "bfine", percent, FINE)
+    rest = stray.join(other, "key").where(once & (F.array_min(F.array_intersect("akeys", "bkeys")) == F.col("key"))).select(
+        F.col("af").alias("a"), F.col("bf").alias("b")
     )
     more = settle(_verify(rest, sets, percent), "last-links")
     named = labels(links.unionByName(more))
