@@ -93,20 +93,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         held.join(common.select(F.col("key").alias("k"), "last"), F.col("key") == F.col("k"))
         .where(~F.col("id").eqNullSafe(F.col("last")))
         # Equal rows name the same places; they are merged, not repeated.
-        .groupBy(F.col("id").alias("_id"), F.col("own").alias("_own")).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("_places"))
-    )
-    joined = docs.withColumn("_key", text_key(text_col)).join(
-        drops, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_own")), "left"
-    ).drop("_id", "_own", "_key")
-    fields = [f for f in docs.schema.fields]
-    schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    carried = [f.name for f in fields]
+        .groupBy("id", "own").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    ).select(F.col("id").alias("of"), F.col("own").alias("of_text"), "places")
+    # Other columns travel as one, whatever their names.
+    others = [c for c in docs.columns if c != text_col]
+    packed = docs.select(F.struct(*others).alias("rest"), F.col(text_col).alias("text"), F.col(id_col).alias("id"), text_key(text_col).alias("own"))
+    joined = packed.join(drops, F.col("id").eqNullSafe(F.col("of")) & (F.col("own") == F.col("of_text")), "left").select("rest", "text", "places")
+    counts = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
+    schema = T.StructType([joined.schema["rest"], joined.schema["text"], *counts])
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in tx.slices(whole, text_col):
+            for part in tx.slices(whole):
                 texts, n_lines, n_dropped = [], [], []
-                for text, places in zip(part.column(text_col).to_pylist(), part.column("_places").to_pylist()):
+                for text, places in zip(part.column("text").to_pylist(), part.column("places").to_pylist()):
                     text = text or ""
                     n = text.count("\n") + 1
                     if places:
@@ -115,7 +115,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     texts.append(text)
                     n_lines.append(n)
                     n_dropped.append(len(places) if places else 0)
-                columns = [pa.array(texts, part.schema.field(text_col).type) if c == text_col else part.column(c) for c in carried]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*carried, "n_lines", "n_dropped"])
+                columns = [part.column("rest"), pa.array(texts, part.schema.field("text").type), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["rest", "text", "n_lines", "n_dropped"])
 
-    return joined.mapInArrow(drop, schema)
+    carried = [F.col("text").alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in docs.columns]
+    return joined.mapInArrow(drop, schema).select(*carried, "n_lines", "n_dropped")

@@ -198,17 +198,17 @@ def drop_near(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     """``docs`` with one document of each group (the one with the smallest id), and all those without words."""
     rows = settle(_grouped(docs, shingle, percent, id_col, text_col).select("id", "h", "label"), "grouped")
     best = rows.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "h")).alias("best"))
-    alone = rows.where("label is null").groupBy("id", "h").agg(F.lit(1).alias("_rows"))
+    alone = rows.where("label is null").groupBy("id", "h").agg(F.lit(1).cast("long").alias("n_rows"))
     # Rows equal in id and text cannot be told apart: where a winner has such twins, they are merged below.
     winners = best.select("best.id", "best.h").join(
-        rows.where("label is not null").groupBy(F.col("id").alias("i"), F.col("h").alias("j")).agg(F.count(F.lit(1)).alias("_rows")),
+        rows.where("label is not null").groupBy(F.col("id").alias("i"), F.col("h").alias("j")).agg(F.count(F.lit(1)).alias("n_rows")),
         F.col("id").eqNullSafe(F.col("i")) & F.col("h").eqNullSafe(F.col("j")),
-    ).select("id", "h", "_rows")
-    chosen = winners.unionByName(alone).select(F.col("id").alias("_id"), F.col("h").alias("_h"), "_rows")
-    own = docs.withColumn("_own", F.xxhash64(F.col(text_col).cast("string")))
-    kept = own.join(chosen, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_h")))
-    merged = kept.where("_rows > 1").dropDuplicates(["_id", "_h"])
-    return kept.where("_rows = 1").unionByName(merged).select(*docs.columns)
+    ).select("id", "h", "n_rows")
+    chosen = winners.unionByName(alone)
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("of"), F.xxhash64(F.col(text_col).cast("string")).alias("of_text"))
+    kept = own.join(chosen, F.col("of").eqNullSafe(F.col("id")) & (F.col("of_text") == F.col("h")))
+    merged = kept.where("n_rows > 1").dropDuplicates(["of", "of_text"])
+    return kept.where("n_rows = 1").unionByName(merged).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def _grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:

@@ -145,19 +145,20 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each repeated as often as the sample takes it."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    taken = sample(docs, **options).groupBy(F.col(id_col).alias("_id"), F.col("key").alias("_key"), F.col("source").alias("_source")).agg(
-        F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")
-    ).where(F.col("_copies") > 0)
     source_col = options.get("source_col", "source")
-    named = docs.withColumn("_own", text_key(text_col))
+    taken = sample(docs, **options).groupBy(F.col(id_col).alias("id"), "key", "source").agg(
+        F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n_rows")
+    ).where(F.col("copies") > 0)
+    # The rows' own columns travel as one, whatever their names.
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("of"), text_key(text_col).alias("of_text"), F.col(source_col).alias("of_source"))
     joined = named.join(
-        taken,
-        F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")) & F.col(source_col).eqNullSafe(F.col("_source")),
+        taken, F.col("of").eqNullSafe(F.col("id")) & (F.col("of_text") == F.col("key")) & F.col("of_source").eqNullSafe(F.col("source"))
     )
     # Rows equal in id, source and text share their copies; they are numbered only where there are several.
-    nth = F.row_number().over(W.partitionBy("_id", "_key", "_source").orderBy(F.lit(0)))
-    several = joined.where(F.col("_rows") > 1).withColumn("_nth", nth)
-    single = joined.where(F.col("_rows") == 1).withColumn("_nth", F.lit(1))
-    each = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_nth") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    out = single.unionByName(several).withColumn("_times", each.cast("int")).where(F.col("_times") > 0)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    nth = F.row_number().over(W.partitionBy("id", "key", "source").orderBy(F.lit(0)))
+    several = joined.where(F.col("n_rows") > 1).withColumn("nth", nth)
+    single = joined.where(F.col("n_rows") == 1).withColumn("nth", F.lit(1))
+    each = F.floor(F.col("copies") / F.col("n_rows")) + F.when(F.col("nth") <= F.col("copies") % F.col("n_rows"), 1).otherwise(0)
+    out = single.unionByName(several).withColumn("times", each.cast("int")).where(F.col("times") > 0)
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
