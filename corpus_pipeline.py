@@ -22,7 +22,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     weights = classifier.fit(docs, labels, usable=~held_out)
-    return classifier.score(docs, weights, score_col="_quality").where(F.col("_quality") >= KEEP_SCORE).select(*docs.columns)
+    # Other columns travel as one, whatever their names.
+    others = F.struct(*(c for c in docs.columns if c != "text")).alias("rest")
+    rows = classifier.score(docs.select(others, "text"), weights).where(F.col("score") >= KEEP_SCORE)
+    return rows.select(*(F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
