@@ -117,6 +117,26 @@ def test_all_content_regions_stay(page, want):
     assert html.main_lines(page) == [w.strip() for w in want]
 
 
+@pytest.mark.parametrize("page", [
+    "<article class='post category-social tag-related'>{}</article>", "<div class='ad-free-content'>{}</div>", "<article id=share-price-crash>{}</article>",
+    "<div class='has-sidebar'><article>{}</article><div class=sidebar><p>Other texts you may like, so they say, all of them long.</div></div>",
+    "<div id='page-with-banner'>{}</div>", "<form action=/><article>{}</article><input></form>",
+    "<div class='has-sidebar'><article>{}</article><ol class=comment-list><article class=comment-body><p>I too think that this is so, and more.</article></ol></div>",
+    "<article class=post>{}</article><div id=comments>" + f"<p>{LONG}" * 9 + "</div>",
+    "<article><header>{}</header></article><form><p>Your name and mail, please, and some words to us.</form>",
+])
+@pytest.mark.parametrize("around", ["{}", f"<body>{LINKS}{{}}{LINKS}", f"<nav><p>{LONG}</nav>{{}}<div class='cookie-banner'><p>{SHORT}</div>"])
+def test_names_do_not_lose_articles(page, around):
+    text = f"<h1>Title of it</h1><p>{LONG}<p>{SHORT}<p>{LONG}"
+    assert html.main_lines(around.format(page.format(text))) == ["Title of it", LONG.strip(), SHORT, LONG.strip()]
+
+
+def test_blocks_of_spaces_and_long_pages(spark):
+    assert html.main_lines(f"<article><p>&nbsp;<p>{LONG}<p>&nbsp;&#8195;</article>") == [LONG.strip()]
+    page = "<article>" + f"<p>{LONG}" * 8000 + "</article>" + "<div class=ad>" * 3000
+    assert len(html.main_lines(page)) == 8000
+
+
 def test_pages_frame(spark):
     df = spark.createDataFrame([(1, "u", None, "extra"), (None, None, "<p>x " * 30000, "e"), (1, "u", "<p>x", "e")], "page_id long, url string, html string, text string")
     got = sorted((str(r.page_id), len(r.text)) for r in html.extract(df).collect())

@@ -6,7 +6,9 @@ a line's ratio is its characters per tag, on a log scale.  The smoothed ratios a
 A container with its own lines is a region, an article with all inside it one.  Every region whose mean smoothed
 ratio, weighted by characters, reaches the threshold is kept, and what directly encloses it (headings).  Lines are
 kept in page order, except those inside boilerplate (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments).
+scripts, styles, reader comments): elements whose tag or role says so, and elements that a class or id speaks against and
+the clustered text does not speak for (``_unsuspected``).  An article's own header is part of it.  White space is
+[\x20\x09-\x0d]; a block of nothing but other space, such as no-break spaces, is none.
 
 Null or empty html, and pages without text, give an empty string.  Unclosed and stray tags are tolerated.
 Equal pages give equal texts; columns other than those named are not read.
@@ -53,32 +55,42 @@ _WORD = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"[\x20\x09-\x0d]+")
 
 
-def _boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+KEPT, WEAK, STRONG, GONE = range(4)
+
+
+def _standing(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> int:
+    """What an element's tag and attributes say: gone for certain, or suspected by a name (a whole one or a part of one)."""
     if tag in SKIPPED:
-        return True
+        return KEPT if tag == "header" and in_article else WEAK if tag == "form" else GONE
+    out = KEPT
     for name, value in attrs:
         value = (value or "").lower()
-        if name in ("class", "id"):
+        if name in ("class", "id") and tag not in ("html", "body", "main"):
             for token in value.split():
-                if token in HEADERS or not MARKS.isdisjoint(_WORD.split(token)):
-                    return tag not in ("html", "body", "main")
+                if token in HEADERS or token in MARKS:
+                    out = STRONG
+                elif not MARKS.isdisjoint(_WORD.split(token)):
+                    out = max(out, WEAK)
         elif name == "role" and value in ROLES or name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return GONE
         elif name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            return GONE
+    return out
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, container) per block outside boilerplate."""
+    """Collects (text, tags, container, suspect, article) per block; suspects are elements that names speak against."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, int, int]] = []
+        self.found: list[tuple[str, int, int, int, int]] = []
         self.parent = [0]
         self.kind = ["page"]
-        self.stack: list[tuple[str, int, bool]] = []  # tag, container before it, starts boilerplate
-        self.container, self.skipping = 0, 0
+        # tag, container, suspect and article before it, tags so far where it is a suspect, is gone
+        self.stack: list[tuple[str, int, int, int, int | None, bool]] = []
+        self.container, self.skipping, self.suspect, self.article = 0, 0, -1, -1
+        self.suspects: list[tuple[int, bool]] = []  # suspect around it, strongly suspected
+        self.articles: list[int] = []  # innermost suspect that holds it or is it
         self.text: list[str] = []
         self.tags = 0
 
@@ -88,15 +100,17 @@ class _Lines(HTMLParser):
     def cut(self) -> None:
         if self.text:
             line = _SPACE.sub(" ", "".join(self.text)).strip(" ")
-            if line:
-                self.found.append((line, self.tags, self.container))
+            if line and not line.isspace():
+                self.found.append((line, self.tags, self.container, self.suspect, self.article))
                 self.tags = 0
             self.text = []
 
     def pop_to(self, depth: int) -> None:
         while len(self.stack) > depth:
-            _, self.container, skipped = self.stack.pop()
-            self.skipping -= skipped
+            _, self.container, self.suspect, self.article, tags, gone = self.stack.pop()
+            self.skipping -= gone
+            if tags is not None:
+                self.tags = tags
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS or tag in SKIPPED:
@@ -111,9 +125,16 @@ class _Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        skipped = _boilerplate(tag, attrs)
-        self.stack.append((tag, self.container, skipped))
-        self.skipping += skipped
+        standing = _standing(tag, attrs, self.article >= 0)
+        suspected = standing in (WEAK, STRONG) and not self.skipping
+        self.stack.append((tag, self.container, self.suspect, self.article, self.tags if suspected else None, standing == GONE))
+        self.skipping += standing == GONE
+        if suspected:
+            self.suspects.append((self.suspect, standing == STRONG))
+            self.suspect = len(self.suspects) - 1
+        if tag in ("article", "main") and not self.skipping:
+            self.articles.append(self.suspect)
+            self.article = len(self.articles) - 1
         if tag in CONTAINERS:
             self.parent.append(self.container)
             self.kind.append(tag)
@@ -172,6 +193,45 @@ def two_means(values: np.ndarray, rounds: int = 50) -> float:
     return (low + high) / 2
 
 
+def _ratios(found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters and smoothed ratio of each line."""
+    chars = np.array([len(line[0]) for line in found], float)
+    return chars, smooth(np.log1p(chars / np.array([max(1, line[1]) for line in found], float)))
+
+
+def _unsuspected(page: _Lines) -> list[tuple]:
+    """The lines outside those suspects that the clustered text does not speak for.
+
+    A suspect stays if it holds at least half of the page's text above the threshold, unless an article or main element with such
+    text lies outside all that is suspected or gone.  Text inside an article counts four times, text under a strong suspicion a quarter.
+    """
+    if not page.suspects:
+        return page.found
+    chars, ratio = _ratios(page.found)
+    prose = chars * (ratio >= min(two_means(ratio), float(np.log1p(PROSE))) - 1e-9)
+    strong: list[bool] = []
+    for above, own in page.suspects:  # suspects come after those around them
+        strong.append(own or above >= 0 and strong[above])
+    total = np.zeros(len(page.suspects) + 1)
+    spoken, some = np.zeros((2, len(page.articles) + 1), bool)
+    for (_, _, _, suspect, article), weight in zip(page.found, prose):
+        total[suspect] += weight * (4 if article >= 0 else 1) * (0.25 if suspect >= 0 and strong[suspect] else 1)
+        spoken[article] |= weight > 0
+        some[article] = True
+    whole = total.sum()
+    for k in range(len(page.suspects) - 1, -1, -1):
+        if page.suspects[k][0] >= 0:
+            total[page.suspects[k][0]] += total[k]
+    # Where no article has such text, one with any text counts.
+    spoken = spoken if spoken[:-1].any() else some
+    in_clear = {suspect for suspect, has in zip(page.articles, spoken) if has}
+    certain, stays = -1 in in_clear, []
+    for k, (above, _) in enumerate(page.suspects):
+        stays.append((above < 0 or stays[above]) and not certain and 2 * total[k] >= whole > 0)
+        certain |= stays[k] and k in in_clear
+    return [line for line in page.found if line[3] < 0 or stays[line[3]]]
+
+
 def main_lines(html: str | None) -> list[str]:
     """The lines of the main region, in page order."""
     if not html:
@@ -180,12 +240,11 @@ def main_lines(html: str | None) -> list[str]:
     page.feed(html)
     page.close()
     page.cut()
-    found = page.found
+    found = page.found = _unsuspected(page) if page.found else []
     if not found:
         return []
-    chars = np.array([len(t) for t, _, _ in found], float)
-    ratio = smooth(np.log1p(chars / np.array([max(1, n) for _, n, _ in found], float)))
-    owner, own = _regions(page), np.array([c for _, _, c in found])
+    chars, ratio = _ratios(found)
+    owner, own = _regions(page), np.array([line[2] for line in found])
     region = owner[own]
     mass, weight = np.zeros((2, len(owner)))
     np.add.at(mass, region, chars)
@@ -195,12 +254,12 @@ def main_lines(html: str | None) -> list[str]:
     kept = (mass > 0) & (score >= cut - 1e-9)
     for node in range(len(kept) - 1, 0, -1):  # children come after their parents
         kept[owner[page.parent[node]]] |= kept[owner[node]]
-    return [t for (t, _, _), r in zip(found, region) if kept[r]]
+    return [line[0] for line, r in zip(found, region) if kept[r]]
 
 
 def _regions(page: _Lines) -> np.ndarray:
     """The region of each container: its outermost article, else itself; a table cell of one line is part of what is around it."""
-    lines = np.bincount([c for _, _, c in page.found], minlength=len(page.parent))
+    lines = np.bincount([line[2] for line in page.found], minlength=len(page.parent))
     inner = np.bincount(page.parent[1:], minlength=len(page.parent))
     owner = np.arange(len(page.parent))
     for node in range(1, len(owner)):
