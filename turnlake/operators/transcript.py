@@ -557,11 +557,15 @@ def render_srt(segments: DataFrame, details: bool = False, skip_blank: bool = Fa
 
 
 def to_document(
-    segments: DataFrame, extras: DataFrame | None = None, part_size: int = SEG_BUCKET
+    segments: DataFrame, extras: DataFrame | None = None, part_size: int = SEG_BUCKET, alignment: DataFrame | None = None,
+    corrections: DataFrame | None = None,
 ) -> DataFrame:
-    """Nested JSON payload in parts of ``part_size`` segments; part 0 carries the metadata.
+    """Nested JSON payload in parts of ``part_size`` segments; part 0 carries all that is about the whole.
 
-    ``extras`` are (episode_id, ord, key, value) rows that override the metadata.
+    ``extras`` are (episode_id, ord, key, value) rows that override the metadata.  ``alignment`` holds the rows of
+    :func:`alignment_summary`: they are the ``alignment`` block, and the metadata's ``alignment_summary`` and ``speaker_order``
+    where extras name none.  ``corrections`` are the distinct results per episode (episode_id, original, corrected, canonical,
+    method, confidence), the ``name_corrections`` block.
     """
     fields = [
         c for c in ("seg_id", "start_ms", "end_ms", "speaker", "text", "speaker_conf", "asr_conf", "mix", "words")
@@ -576,14 +580,26 @@ def to_document(
     if extras is not None:
         kept = meta.join(extras.select("episode_id", "key"), ["episode_id", "key"], "left_anti")
         meta = kept.unionByName(extras)
+    block = None
+    if alignment is not None:
+        names = F.filter(F.split("speakers", ","), lambda n: n != "").alias("speakers")
+        block = alignment.select("episode_id", F.struct("asr_segments", "turns", "words_aligned", "unaligned", names).alias("about"))
+        summary = block.select("episode_id", F.lit(1000).alias("ord"), F.lit("alignment_summary").alias("key"), F.to_json("about").alias("value"))
+        # What the metadata names already stays.
+        meta = meta.unionByName(summary.join(meta.select("episode_id", "key"), ["episode_id", "key"], "left_anti").select(*meta.columns))
     meta = meta.groupBy("episode_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("metadata")
     )
-    first = parts.groupBy("episode_id").agg(F.min("part").alias("part"))
-    return (
-        parts.join(first.join(meta, "episode_id"), ["episode_id", "part"], "left")
-        .select(
-            "episode_id", "part",
-            F.to_json(F.struct("episode_id", "part", "metadata", "segments")).alias("document"),
-        )
+    about = parts.groupBy("episode_id").agg(F.min("part").alias("part")).join(meta, "episode_id")
+    blocks = ["episode_id", "part", "metadata", "segments"]
+    if block is not None:
+        about = about.join(block.select("episode_id", F.struct(F.col("about").alias("metadata")).alias("alignment")), "episode_id", "left")
+        blocks.append("alignment")
+    if corrections is not None:
+        results = F.struct("original", "corrected", "canonical", "method", "confidence")
+        listed = corrections.groupBy("episode_id").agg(F.array_sort(F.collect_set(results)).alias("name_corrections"))
+        about = about.join(listed, "episode_id", "left")
+        blocks.append("name_corrections")
+    return parts.join(about, ["episode_id", "part"], "left").select(
+        "episode_id", "part", F.to_json(F.struct(*blocks)).alias("document"),
     )

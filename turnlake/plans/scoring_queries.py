@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import scoring as S
+from ..session import scratch_path
+from ..sources.writers import write_csv
 from .registry import query
 from .sqltext import edit_ctes, norm_words, rnd, simple_words
 
@@ -206,12 +208,38 @@ def _report(t):
     )
 
 
-@query("eval_report", "E30 E13 E17 E18 E10 D13")
+_JER = f"{_SETS} SELECT episode_id, {rnd('1-common_ticks/all_ticks', 4)} AS jer FROM j"
+_REPORT = (
+    edit_ctes(
+        f"SELECT {{'clip': episode_id, 'asr': tool}} AS k, flatten(list({norm_words('ref_text')} ORDER BY seg_id)) AS ref,"
+        f" flatten(list({norm_words('hyp_text')} ORDER BY seg_id)) AS hyp FROM hyp_tools GROUP BY episode_id, tool"
+    )
+    + f""",
+ wer_of AS (SELECT k.clip AS clip, k.asr AS asr, {rnd('num_errors/num_words*100', 2)} AS wer FROM counts),
+ der_of AS (SELECT episode_id AS clip, 'dia_a' AS dia, der_pct AS der FROM ({_der_sql('turn')}) UNION ALL SELECT episode_id, 'dia_b', der_pct FROM ({_der_sql('turn_ovl')})),
+ jer_of AS (SELECT episode_id AS clip, 'dia_a' AS dia, jer FROM ({_JER.replace('turn_ovl', 'turn')}) UNION ALL SELECT episode_id, 'dia_b', jer FROM ({_JER})),
+ mean_rtf AS (SELECT CASE stage WHEN 'asr' THEN 'asr' ELSE 'dia' END||CASE WHEN event_id%4<2 THEN '_a' ELSE '_b' END AS tool, avg(rtf) AS x FROM runtime GROUP BY 1),
+ rtf_of AS (SELECT tool, {rnd('x', 4)} AS rtf FROM mean_rtf),
+ report AS (SELECT g.clip, asr, dia, {rnd('g.duration_ms/1000', 2)} AS duration, wer, der, jer, coalesce(a.rtf, 0.0) AS rtf_asr, coalesce(d.rtf, 0.0) AS rtf_dia
+  FROM (SELECT episode_id AS clip, duration_ms, unnest(['asr_a', 'asr_b']) AS asr FROM duration) g CROSS JOIN (SELECT unnest(['dia_a', 'dia_b']) AS dia) x
+  LEFT JOIN wer_of USING (clip, asr) LEFT JOIN der_of USING (clip, dia) LEFT JOIN jer_of USING (clip, dia) LEFT JOIN rtf_of a ON a.tool=asr LEFT JOIN rtf_of d ON d.tool=dia)"""
+)
+_REPORT_VIEWS = "hyp_tools ref_turn turn turn_ovl duration runtime"
+
+
+@query("eval_report", "E30 E13 E17 E18 E10 D13", "SELECT * FROM report", _REPORT_VIEWS, _REPORT, True)
 def eval_report(t):
-    """Composition of checked parts (wer, der, jer, runtime); rows only here."""
+    """Whole texts, diarization and run times of two recognisers by two diarizers."""
     return _report(t)
 
 
-@query("eval_summary", "B8")
+_TEXT = ", ".join(f"coalesce({c}::VARCHAR, 'N/A') AS {c}" for c in "clip asr dia duration wer der jer rtf_asr rtf_dia".split())
+
+
+@query("eval_summary", "B8", f"SELECT {_TEXT}, 'N/A' AS cpwer, NULL::VARCHAR AS notes FROM report", _REPORT_VIEWS, _REPORT, True)
 def eval_summary(t):
-    return S.eval_summary(_report(t))
+    """The summary as a CSV file with its header, read back as text (an empty cell is null)."""
+    path = scratch_path(t.spark, "eval-summary")
+    table = S.eval_summary(_report(t))
+    write_csv(table, path)
+    return t.spark.read.option("header", True).schema(", ".join(f"{c} string" for c in table.columns)).csv(path)

@@ -325,3 +325,29 @@ def to_document(t):
     """Nested JSON; no SQL check because JSON number and key spelling differ between engines."""
     extras = t.seg.select("episode_id").distinct().select("episode_id", F.lit(9).alias("ord"), F.lit("segment_count").alias("key"), F.lit("extra").alias("value"))
     return T.to_document(t.aseg, extras)
+
+
+_ABOUT = """SELECT s.episode_id, s.n AS asr_segments, coalesce(t.n,0) AS turns, coalesce(w.n,0) AS words_aligned, coalesce(w.u,0) AS unaligned, coalesce(p.speakers,'') AS speakers
+  FROM (SELECT episode_id, count(*) AS n FROM seg GROUP BY 1) s LEFT JOIN (SELECT episode_id, count(*) AS n FROM turn GROUP BY 1) t USING (episode_id)
+  LEFT JOIN (SELECT episode_id, count(*) AS n, count(*) FILTER (speaker='Unknown') AS u FROM aligned GROUP BY 1) w USING (episode_id)
+  LEFT JOIN (SELECT episode_id, string_agg(speaker, ',' ORDER BY f) AS speakers FROM (SELECT episode_id, speaker, min(seg_id*1000000+first_idx) AS f FROM mix GROUP BY ALL) GROUP BY 1) p USING (episode_id)"""
+
+
+@query("document_content", "B4", f"""SELECT g.episode_id, g.seg_id, g.seg_id//2 AS part, g.speaker, g.text, g.start_ms, g.end_ms, CASE WHEN g.seg_id<2 THEN a.speakers END AS speakers,
+  CASE WHEN g.seg_id<2 THEN a.words_aligned END AS words_aligned, CASE WHEN g.seg_id<2 THEN a.unaligned END AS unaligned, CASE WHEN g.seg_id<2 THEN 'extra' END AS segment_count,
+  CASE WHEN g.seg_id<2 THEN c.fixes END AS fixes FROM seg g JOIN ({_ABOUT}) a USING (episode_id)
+  JOIN (SELECT episode_id, string_agg(speaker||'>'||upper(speaker), ',' ORDER BY speaker) AS fixes FROM (SELECT DISTINCT episode_id, speaker FROM seg) GROUP BY 1) c USING (episode_id)""", "seg turn aligned mix")
+def document_content(t):
+    """Documents of two segments a part, parsed again: segments, and on the first part what is about the whole."""
+    extras = t.seg.select("episode_id").distinct().select("episode_id", F.lit(9).alias("ord"), F.lit("segment_count").alias("key"), F.lit("extra").alias("value"))
+    fixes = t.seg.select("episode_id", F.col("speaker").alias("original"), F.upper("speaker").alias("corrected"), F.upper("speaker").alias("canonical"),
+                         F.lit("alias").alias("method"), F.lit(0.95).alias("confidence"))
+    made = T.to_document(t.seg.drop("ws"), extras, 2, T.alignment_summary(t.seg, t.aligned, t.turn), fixes)
+    kinds = """episode_id bigint, part bigint, metadata map<string, string>, segments array<struct<seg_id bigint, start_ms bigint, end_ms bigint, speaker string, text string>>,
+      alignment struct<metadata struct<words_aligned bigint, unaligned bigint, speakers array<string>>>, name_corrections array<struct<original string, corrected string>>"""
+    d = made.select(F.from_json("document", kinds).alias("d")).select("d.*").withColumn("s", F.explode("segments"))
+    return d.select(
+        "episode_id", "s.seg_id", "part", "s.speaker", "s.text", "s.start_ms", "s.end_ms", F.array_join("alignment.metadata.speakers", ",").alias("speakers"),
+        "alignment.metadata.words_aligned", "alignment.metadata.unaligned", F.col("metadata")["segment_count"].alias("segment_count"),
+        F.array_join(F.transform("name_corrections", lambda c: F.concat(c["original"], F.lit(">"), c["corrected"])), ",").alias("fixes"),
+    )
