@@ -568,13 +568,14 @@ def to_document(
     method, confidence), the ``name_corrections`` block.
     """
     fields = [
-        c for c in ("seg_id", "start_ms", "end_ms", "speaker", "text", "speaker_conf", "asr_conf", "mix", "words")
+        c for c in ("seg_id", "start_ms", "end_ms", "speaker", "text", "speaker_conf", "asr_conf", "mix", "words", "metadata")
         if c in segments.columns
     ]
+    in_order = lambda a, b: F.when(a["seg_id"] < b["seg_id"], -1).when(a["seg_id"] > b["seg_id"], 1).otherwise(0)  # noqa: E731  open metadata has no order
     parts = (
         segments.withColumn("part", floor_div(F.col("seg_id"), part_size))
         .groupBy("episode_id", "part")
-        .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("segments"))
+        .agg(F.array_sort(F.collect_list(F.struct(*fields)), in_order).alias("segments"))
     )
     meta = summary_metadata(segments)
     if extras is not None:

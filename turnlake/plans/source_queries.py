@@ -131,10 +131,20 @@ def read_cost_log(t):
     docs = t.cost.select(F.to_json(F.struct(
         "event_id", "provider", "model", "cost_usd", F.col("duration_s").alias("duration_seconds"), "media_path",
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"))).alias("value"))
-    got = R.read_cost_log(t.spark, _written(t, docs, "cost"))
+    got = R.read_cost_log(t.spark, _written(t, docs, "cost")).drop("metadata")
     return got.withColumn("cost_usd", F.round("cost_usd", 6)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+@query("cost_metadata", "A9 M12", "SELECT event_id, event_id%7 AS attempt, CASE WHEN event_id%2=0 THEN 'r'||event_id%3 END AS region, CASE WHEN event_id%2=0 THEN provider ELSE NULL END AS tag FROM cost", "cost")
+def cost_metadata(t):
+    """Metadata of events keeps keys that no schema lists, nested ones too."""
+    nested = F.when(F.col("event_id") % 2 == 0, F.struct(F.concat(F.lit("r"), (F.col("event_id") % 3).cast("string")).alias("region"), F.array("provider").alias("tags")))
+    docs = t.cost.select(F.to_json(F.struct("event_id", "cost_usd", F.struct((F.col("event_id") % 7).alias("attempt"), nested.alias("where")).alias("metadata"))).alias("value"))
+    got = R.read_cost_log(t.spark, _written(t, docs, "cost-metadata"))
+    key = lambda path, kind: F.try_variant_get("metadata", path, kind)
+    return got.select("event_id", key("$.attempt", "bigint").alias("attempt"), key("$.where.region", "string").alias("region"), key("$.where.tags[0]", "string").alias("tag"))
+
+
 @query("read_runtime_log", "A9 M13", f"SELECT clip::VARCHAR AS clip, tool, stage, duration_s, audio_s, {rnd('rtf', 6)} AS rtf FROM runtime", "runtime")
 def read_runtime_log(t):
     docs = t.runtime.select(F.to_json(F.struct(

@@ -24,7 +24,7 @@ DIARIZATION = "file string, segments array<struct<id:string,start:string,end:str
 ALIGNED = f"file string, start string, end string, speaker string, text string, words {_WORD}"
 TRANSCRIPT = (
     "file string, segments array<struct<id:string,start:string,end:string,speaker:string,text:string,"
-    f"speaker_confidence:string,words:{_WORD},metadata:struct<original_speaker:string,manual_label:boolean>>>"
+    f"speaker_confidence:string,words:{_WORD},metadata:variant>>"
 )
 CAST = (
     "show_slug string, season_number string, cast_members array<struct<canonical_name:string,role:string,"
@@ -32,7 +32,7 @@ CAST = (
 )
 COST = (
     "event_id bigint, provider string, model string, cost_usd double, duration_seconds double, media_path string, "
-    "metadata map<string,string>, timestamp string"
+    "metadata variant, timestamp string"
 )
 RUNTIME = "clip string, tool string, stage string, duration_s double, timestamp double, audio_duration_s double, rtf double"
 METADATA = "show_slug string, episode_id string"
@@ -134,7 +134,7 @@ def read_aligned(spark: SparkSession, path: str, episode_from: str = "stem") ->
 
 
 def read_transcript(spark: SparkSession, path: str, multiline: bool = False, episode_from: str = "stem") -> DataFrame:
-    """Transcript segments with metadata; a word's speaker falls back to its segment's."""
+    """Transcript segments; a word's speaker falls back to its segment's.  ``metadata`` keeps every key, listed or not (VARIANT)."""
     docs = _named(_json(spark, path, TRANSCRIPT, multiline), episode_from)
     rows = docs.select(F.col("file").alias("episode_id"), F.posexplode("segments").alias("pos", "s"))
     word = lambda w: F.struct(
@@ -147,8 +147,9 @@ def read_transcript(spark: SparkSession, path: str, multiline: bool = False, epi
         _ms(F.col("s.start")).alias("start_ms"), _ms(F.col("s.end")).alias("end_ms"),
         F.coalesce("s.speaker", F.lit("")).alias("speaker"), F.coalesce("s.text", F.lit("")).alias("text"),
         _prob(F.col("s.speaker_confidence"), None).alias("speaker_conf"),
-        F.col("s.metadata.original_speaker").alias("original_speaker"),
+        F.try_variant_get("s.metadata", "$.original_speaker", "string").alias("original_speaker"),
         F.filter(F.transform("s.words", word), lambda w: F.coalesce(w["word"], F.lit("")) != "").alias("words"),
+        F.col("s.metadata").alias("metadata"),
     )
 
 
@@ -168,10 +169,12 @@ def read_cast(spark: SparkSession, path: str, multiline: bool = False) -> DataFr
 
 
 def read_cost_log(spark: SparkSession, path: str) -> DataFrame:
+    """Cost events; ``metadata`` keeps whatever an event carries (VARIANT)."""
     rows = _json(spark, path, COST, False)
     return rows.select(
         "event_id", "provider", "model", "cost_usd", F.col("duration_seconds").alias("duration_s"), "media_path",
         F.try_to_timestamp(F.replace("timestamp", F.lit("Z"), F.lit("+00:00"))).alias("ts"),
+        "metadata",
     ).filter(F.col("cost_usd").isNotNull())
 
 
