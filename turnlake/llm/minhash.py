@@ -140,7 +140,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, shingle: int, text_col: str)
 
 
 def _fine(sets: DataFrame) -> DataFrame:
-    """(f, fine): the longer one-bit sketch of sets."""
+    """(f, bits): the longer one-bit sketch of sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -151,10 +151,10 @@ def _fine(sets: DataFrame) -> DataFrame:
                 at = lists.offsets.to_numpy().astype(np.int64)
                 bits = _one_bit(sketch(lists.values.to_numpy(zero_copy_only=False).view(np.uint64), at, FINE))
                 fine = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1) * bits.shape[1], pa.int32()), pa.array(bits.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("f"), fine], ["f", "fine"])
+                yield pa.RecordBatch.from_arrays([part.column("f"), fine], ["f", "bits"])
 
     spread = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sets.repartition(spread, F.xxhash64("f")).mapInArrow(run, "f long, fine array<long>")
+    return sets.repartition(spread, F.xxhash64("f")).mapInArrow(run, "f long, bits array<long>")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -225,10 +225,11 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     sets = settle(_full_sets(docs, shared.select("h").distinct(), shingle, text_col), "sets")
     bits = shared.select("f", "bits").dropDuplicates(["f"])
 
-    def compare(pairs: DataFrame, label: str) -> DataFrame:
-        """Links among pairs (f, other) of which the first carries its sketch."""
+    def compare(pairs: DataFrame, drawn_of: DataFrame, size: int, label: str) -> DataFrame:
+        """Links among pairs (f, bits, other) of which the first carries its sketch of ``size`` coordinates; the others' are in ``drawn_of``."""
         pairs = pairs.where("f <> other").dropDuplicates(["f", "other"])
-        near = pairs.join(bits.select(F.col("f").alias("other"), F.col("bits").alias("theirs")), "other").where(~_far("bits", "theirs", percent))
+        theirs = drawn_of.select(F.col("f").alias("other"), F.col("bits").alias("theirs"))
+        near = pairs.join(theirs, "other").where(~_far("bits", "theirs", percent, size))
         return settle(_verify(near.select(F.col("f").alias("a"), F.col("other").alias("b")), sets, percent), label)
 
     def placed(named: DataFrame) -> DataFrame:
@@ -238,7 +239,8 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
             "key", "f", "bits", F.coalesce("label", F.xxhash64("f")).alias("label"), F.coalesce("main", F.xxhash64("centre")).alias("main")
         )
 
-    links = compare(shared.select("f", "bits", F.col("centre").alias("other")), "links")
+    links = compare(shared.select("f", "bits", F.col("centre").alias("other")), bits, COORDINATES, "links")
+    fine = None
     # Members outside the centre's component meet drawn members of each of their buckets; what that links is contracted and
     # others are drawn, as long as it links a fair share.  What it misses is found below.
     draw = 0
@@ -248,19 +250,23 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
         mixed = members.join(outside.select("key").distinct(), "key", "left_semi")
         order = [F.min(F.struct(F.xxhash64("f", "key", F.lit(draw + k)).alias("d"), "f", "label")).alias(f"p{k}") for k in range(DRAWS)]
         partners = mixed.groupBy("key").agg(*order).withColumn("p", F.explode(F.array(*(f"p{k}" for k in range(DRAWS)))))
-        asked = mixed.join(partners.select("key", "p"), "key").where(F.col("label") != F.col("p.label")).select("f", "bits", F.col("p.f").alias("other"))
-        found = compare(asked, "drawn-links")
+        if fine is None:
+            # What lies outside now is all that is compared from here on.
+            fine = settle(_fine(sets.join(mixed.select("f").distinct(), "f", "left_semi")), "fine")
+        asked = mixed.join(partners.select("key", "p"), "key").where(F.col("label") != F.col("p.label")).select("f", F.col("p.f").alias("other"))
+        asked = asked.dropDuplicates(["f", "other"]).join(fine, "f")
+        found = compare(asked, fine, FINE, "drawn-links")
         links = links.unionByName(found)
         draw += DRAWS
         if found.count() * FEW <= outside.count():
             break
 
-    # What is left is compared in full, behind a longer sketch; a pair in several buckets is one pair, of the first one.
+    # What is left is compared in full, behind the longer sketch; a pair in several buckets is one pair, of the first one.
     buckets = mixed.groupBy("f").agg(F.collect_set("key").alias("keys"))
-    side = mixed.join(buckets, "f").join(_fine(sets.join(buckets.select("f"), "f", "left_semi")), "f")
-    stray = side.where("label <> main").select("key", *(F.col(c).alias(f"a{c}") for c in ("f", "fine", "label", "keys")))
-    other = side.select("key", *(F.col(c).alias(f"b{c}") for c in ("f", "fine", "label", "keys")), (F.col("label") != F.col("main")).alias("bstray"))
-    once = (F.col("alabel") != F.col("blabel")) & (~F.col("bstray") | (F.col("af") < F.col("bf"))) & ~_far("afine", "bfine", percent, FINE)
+    side = mixed.drop("bits").join(buckets, "f").join(fine, "f")
+    stray = side.where("label <> main").select("key", *(F.col(c).alias(f"a{c}") for c in ("f", "bits", "label", "keys")))
+    other = side.select("key", *(F.col(c).alias(f"b{c}") for c in ("f", "bits", "label", "keys")), (F.col("label") != F.col("main")).alias("bstray"))
+    once = (F.col("alabel") != F.col("blabel")) & (~F.col("bstray") | (F.col("af") < F.col("bf"))) & ~_far("abits", "bbits", percent, FINE)
     rest = stray.join(other, "key").where(once & (F.array_min(F.array_intersect("akeys", "bkeys")) == F.col("key"))).select(
         F.col("af").alias("a"), F.col("bf").alias("b")
     )
