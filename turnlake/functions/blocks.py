@@ -1,42 +1,25 @@
-"""Exact best-match search without a cross join.
+"""Spreading rows for compute-heavy steps.
 
-The candidate side is cut into blocks of bounded size and the query side into
-groups of bounded size; every (group, block) cell is one task-sized unit that
-emits a single best row per query.  Pairs are compared inside the cell and never
-become rows.  Sizes come from counts, so both bounds hold for any input.
+Such rows are few bytes but much work; left alone, adaptive execution would coalesce them by size into a
+handful of tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 512
+#: Queries that one task compares with a cell of candidates.
 GROUP_ROWS = 20_000
 
 
-def blocks_needed(df: DataFrame, rows: int) -> int:
-    return max(1, -(-df.count() // rows))
-
-
-def hashed_block(df: DataFrame, cols: Sequence[str], n: int, name: str) -> DataFrame:
-    return df.withColumn(name, F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int"))
-
-
-def all_blocks(df: DataFrame, n: int, name: str) -> DataFrame:
-    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+def _tasks(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
 
 
 def wide(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread rows for a compute-heavy step.
-
-    Such rows are few bytes but much work; left alone, adaptive execution would
-    coalesce them by size into a handful of tasks.
-    """
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys)
+    """Rows by key, over as many tasks as the session has."""
+    return df.repartition(_tasks(df), *keys)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -45,5 +28,4 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     A repartitioning by the key itself would be dropped where a join below has it already, and the join's few
     small partitions would do all the work.
     """
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
-    return df.repartition(n, F.xxhash64(*keys))
+    return df.repartition(_tasks(df), F.xxhash64(*keys))
