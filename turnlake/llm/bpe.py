@@ -186,13 +186,14 @@ class Vocabulary:
             begins[here + 1] = False
             after = here[kinds[here + n + 1] == LETTER] + n + 1 if len(here) else here
             begins[after] = True
-        length = np.ones(len(points), np.int64)
+        length = np.ones(len(points), np.uint8)
         for bound in (0x80, 0x800, 0x10000):
             length += points >= bound
         starts = np.flatnonzero(begins)
         body = points[solid].tobytes().decode("utf-32-le").encode("utf-8")
-        before = np.concatenate(([0], np.cumsum(length * solid)))
-        where = np.append(before[starts], before[-1]).astype(np.int32)
+        before = np.zeros(len(points) + 1, np.int32)
+        np.cumsum(length * solid, dtype=np.int32, out=before[1:])
+        where = np.append(before[starts], before[-1])
         found = pa.StringArray.from_buffers(len(starts), pa.py_buffer(where), pa.py_buffer(body))
         # A text ends at its own line feed: the first after as many characters as it has.
         ends = np.flatnonzero(points == 0x0A)
@@ -261,6 +262,7 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str
                 flat, at = words.encode([t or "" for t in part.column("text").to_pylist()])
                 ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), ids], [*names, "ids"])
+        tx.release()
 
     coded = source.mapInArrow(run, T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
     return coded.select(*(F.col(n).alias(c) for n, c in zip(names, carried)), F.col("ids").alias(ids_col))
@@ -283,6 +285,7 @@ def decode(coded: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str
                 part = b.slice(at, stop - at)
                 yield pa.RecordBatch.from_arrays([*part.columns, words.decode(pa.concat_arrays([part.column(ids)]))], [*names, "text"])
                 at = stop
+        tx.release()
 
     out = source.mapInArrow(run, T.StructType([*fields, T.StructField("text", T.StringType())]))
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, carried)), F.col("text").alias(text_col))

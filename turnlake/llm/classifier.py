@@ -143,5 +143,6 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", score_co
                 odds = (total[begin[1:]] - total[begin[:-1]]) * value + w[BIAS]
                 p = 1 / (1 + np.exp(-np.clip(odds, -35, 35)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], [*part.schema.names, score_col])
+        tx.release()
 
     return docs.mapInArrow(run, schema)

@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(tokenizer)
         for whole in batches:
-            for part in tx.slices(whole):
+            for part in tx.slices(whole, limit=tx.SLICE_BYTES // 2):
                 flat, at = words.encode([t or "" for t in part.column("text").to_pylist()])
                 flat = np.insert(flat, at[1:], END_ID).astype("<i4", copy=False)
                 at = at + np.arange(len(at))
@@ -61,6 +61,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 ids = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id").take(pa.array(row)), pa.array(start), pa.array(np.diff(where)), pa.array(crc, pa.int64()), pa.array(total[row]), ids], names)
+        tx.release()
 
     return source.mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>")
 

@@ -5,6 +5,7 @@ Hashes are 64-bit polynomial sums over bytes, so any substring's hash follows fr
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -60,6 +61,14 @@ class Sums:
         return mix((self.total[end] - self.total[start]) * self.down[start])
 
 
+def release() -> None:
+    """Give back what a task has freed: workers are reused, and the next stage needs the memory elsewhere."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string or binary column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
