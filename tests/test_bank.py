@@ -48,6 +48,23 @@ def test_search_is_exact_and_opens_few_cells(spark, monkeypatch, spread, cell):
             assert r.opened < 0.35 * r.possible
 
 
+def test_what_travels_grows_with_blocks_and_not_with_queries_times_bands(spark, monkeypatch):
+    rnd = np.random.default_rng(5)
+    bank = spark.createDataFrame([(i, 1, "x", v.tolist(), i, "a") for i, v in enumerate(rnd.normal(size=(200, 32)))], BANK)
+    queries = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(rnd.normal(size=(100, 32)))], "qid string, vec array<double>")
+    monkeypatch.setattr(B, "BANK_BLOCK", 50)
+    written, settle = {}, V.settle
+
+    def seen(df, label):
+        written[label] = settle(df, label)
+        return written[label]
+
+    monkeypatch.setattr(V, "settle", seen)
+    assert B.match_bank(queries, bank, low=-1.0).count() == 100
+    assert "vec" not in written["vectors-more"].columns
+    assert written["vectors-more"].count() <= 40  # at most 4 blocks of up to 100 queries and 8 units
+
+
 def test_without_the_table_of_bands(spark, monkeypatch):
     rnd = np.random.default_rng(1)
     vecs = rnd.normal(size=(50, 6))

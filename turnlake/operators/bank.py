@@ -20,7 +20,8 @@ from ..sources.bank_store import BankStore
 from .alignment import best_overlap
 from .vector_index import Index
 
-BANK_BLOCK = 512
+#: Stored vectors of a cell, and queries that meet it at once, at most.
+BANK_BLOCK = 8192
 
 
 def clamp_thresholds(high: float, medium: float, low: float) -> tuple[float, float, float]:
@@ -90,10 +91,10 @@ def match_bank(
 def match_bank_report(
     queries: DataFrame, bank: DataFrame, high: float = 0.85, medium: float = 0.75, low: float = 0.6, by: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
-    """``match_bank`` and one row (opened, possible): how many cells of the bank the queries opened, and all they have."""
+    """``match_bank`` and one row (opened, possible): how many cells of the bank the queries asked for, and all they have."""
     order = F.struct(F.lower("display_name").alias("name_key"), (-F.col("created")).alias("newest"), F.col("emb_id").alias("id"))
     index = Index(bank.select(*by, "emb_id", "vec", order.alias("rank")), BANK_BLOCK, by)
-    best, report = index.search(queries.select(*by, "qid", "vec"), GROUP_ROWS)
+    best, report = index.search(queries.select(*by, "qid", "vec"), min(GROUP_ROWS, BANK_BLOCK))
     info = bank.select("emb_id", "speaker_id", "display_name")
     level = confidence_level(F.col("sim"), high, medium, low)
     named = lambda c: F.when(level.isNotNull(), F.col(c)).alias(c)
