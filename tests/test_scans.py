@@ -82,3 +82,13 @@ def test_overlap_totals_are_sums_of_pairs(spark, monkeypatch, width, rows_held):
     want |= {(3, "s0", "s1"): 334 * 333 * 1000, (3, "s0", "s2"): 334 * 333 * 1000, (3, "s1", "s2"): 333 * 333 * 1000}
     got = {tuple(r)[:3]: r.overlap_ms for r in A.overlap_totals(df, width).collect()}
     assert got == dict(want)
+
+
+def test_overlap_totals_pay_no_python_call_for_each_bucket(spark):
+    """A call of pandas for every minute of every recording was nearly all of the time."""
+    turns = spark.range(400).selectExpr(
+        "id div 2 as episode_id", "id as turn_id", "if(id % 2 = 0, 'a', 'b') as speaker", "0L as start_ms", "130000L as end_ms")
+    got = A.overlap_totals(turns)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+    assert {(r.episode_id, r.a_speaker, r.b_speaker, r.overlap_ms) for r in got.collect()} == {(k, "a", "b", 130_000) for k in range(200)}

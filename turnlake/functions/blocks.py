@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 GROUP_ROWS = 20_000
 
 
-def _tasks(df: DataFrame) -> int:
+def tasks(df: DataFrame) -> int:
+    """Tasks of the session, for steps whose work does not show in bytes."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
 
 
 def wide(df: DataFrame, *keys: str) -> DataFrame:
     """Rows by key, over as many tasks as the session has."""
-    return df.repartition(_tasks(df), *keys)
+    return df.repartition(tasks(df), *keys)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -28,4 +29,4 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     A repartitioning by the key itself would be dropped where a join below has it already, and the join's few
     small partitions would do all the work.
     """
-    return df.repartition(_tasks(df), F.xxhash64(*keys))
+    return df.repartition(tasks(df), F.xxhash64(*keys))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.blocks import wide
 from ..functions.intervals import (
     BUCKET_MS,
     SCAN_MS,
@@ -22,7 +24,7 @@ from ..functions.text import UNKNOWN
 TIE = "UNK"
 OUTSIDE = "UNKNOWN"
 ROW = "__row"
-#: Time that one sweep covers, and borders that it holds at once.
+#: Time that one sweep covers, and borders that it turns into rows at once.
 SWEEP_MS, SWEEP_ROWS = 60_000, 4096
 
 
@@ -243,32 +245,44 @@ def overlap_totals(turns: DataFrame, bucket_ms: int = SWEEP_MS) -> DataFrame:
     ))
     # Turns that begin or end together are one border.
     steps = cut.select("episode_id", "bucket", "speaker", borders).groupBy("episode_id", "bucket", "speaker", "t").agg(F.sum("change").alias("change"))
+    keys = ["episode_id", "bucket"]
+    laid = wide(steps.where("change <> 0"), *keys).sortWithinPartitions(*keys, "t")
     episode = turns.schema["episode_id"].dataType.simpleString()
-    found = steps.where("change <> 0").groupBy("episode_id", "bucket").applyInPandas(
-        _sweep, f"episode_id {episode}, a_speaker string, b_speaker string, overlap_ms bigint"
-    )
+    found = laid.select(*keys, "t", "speaker", "change").mapInArrow(_sweep, f"episode_id {episode}, a_speaker string, b_speaker string, overlap_ms bigint")
     return found.groupBy("episode_id", "a_speaker", "b_speaker").agg(F.sum("overlap_ms").alias("overlap_ms"))
 
 
-def _sweep(key: tuple, steps: pd.DataFrame) -> pd.DataFrame:
-    names, who = np.unique(steps["speaker"].to_numpy(str), return_inverse=True)
-    t, at = np.unique(steps["t"].to_numpy(np.int64), return_inverse=True)
-    change = steps["change"].to_numpy(np.int64)
-    total = np.zeros((len(names), len(names)), np.int64)
-    open_turns = np.zeros(len(names), np.int64)
-    order = np.argsort(at, kind="stable")
-    span = np.append(np.diff(t), 0)
-    for a in range(0, len(t), SWEEP_ROWS):
-        b = min(a + SWEEP_ROWS, len(t))
-        part = order[np.searchsorted(at[order], a) : np.searchsorted(at[order], b)]
-        counts = np.zeros((b - a, len(names)), np.int64)
-        np.add.at(counts, (at[part] - a, who[part]), change[part])
-        counts[0] += open_turns
-        np.cumsum(counts, axis=0, out=counts)
-        open_turns = counts[-1].copy()
-        total += counts.T @ (counts * span[a:b, None])
-    first, second = np.nonzero(np.triu(total, 1))
-    return pd.DataFrame({"episode_id": key[0], "a_speaker": names[first], "b_speaker": names[second], "overlap_ms": total[first, second]})
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Borders by episode, bucket and time, any number of buckets in a row; the bucket at hand is all that is held."""
+    at, open_turns, total, before = None, {}, {}, 0
+    for batch in (b.slice(k, SWEEP_ROWS) for b in batches for k in range(0, b.num_rows, SWEEP_ROWS)):
+        kind = batch.schema.field(0).type
+        out: list[tuple] = []
+        for episode, bucket, t, speaker, change in zip(*(c.to_pylist() for c in batch.columns)):
+            if at != (episode, bucket):
+                if total:
+                    out += [(at[0], *pair, ms) for pair, ms in total.items()]
+                at, open_turns, total = (episode, bucket), {}, {}
+            elif t > before and len(open_turns) > 1:
+                names = sorted(open_turns)
+                for k, a in enumerate(names):
+                    for b in names[k + 1 :]:
+                        total[a, b] = total.get((a, b), 0) + open_turns[a] * open_turns[b] * (t - before)
+            before = t
+            left = open_turns.get(speaker, 0) + change
+            if left:
+                open_turns[speaker] = left
+            else:
+                open_turns.pop(speaker)
+        yield _totals(out, kind)
+    if total:
+        yield _totals([(at[0], *pair, ms) for pair, ms in total.items()], kind)
+
+
+def _totals(rows: list[tuple], episode: pa.DataType) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [(), (), (), ()]
+    kinds = (episode, pa.string(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["episode_id", "a_speaker", "b_speaker", "overlap_ms"])
 
 
 def attribute_masks(masks: DataFrame, turns: DataFrame) -> DataFrame:
