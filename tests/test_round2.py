@@ -167,3 +167,15 @@ def test_words_leave_once_over_late_batches_and_a_restart(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).where("episode_id >= 0").select("episode_id", "seg_id", "word_idx", "speaker")
     want = align_midpoint(spark.createDataFrame(words, w_schema), spark.createDataFrame(turns, t_schema).withColumn("conf", F.lit(1.0)))
     assert rows(got) == rows(want.select("episode_id", "seg_id", "word_idx", "speaker"))
+
+
+def test_small_files_are_made_by_many_tasks(spark, tmp_path):
+    """A few bytes an episode, but a file each: they were all made by one task."""
+    from turnlake.sources import writers as W
+
+    lines = spark.range(64).selectExpr("id as episode_id", "1 as section", "0 as pos", "0 as sub", "'x' as line")
+    W.write_lines(lines, str(tmp_path / "text"), ["section", "pos", "sub"])
+    made = list((tmp_path / "text").glob("episode_id=*/part-*"))
+    assert len(made) == 64 and len({p.name.split("-")[1] for p in made}) > 3
+    spark.read.text(str(tmp_path / "text")).createOrReplaceTempView("small_files")
+    assert spark.sql("select count(distinct episode_id) from small_files").first()[0] == 64

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.blocks import wide
 from ..functions.text import exact_round
-from ..session import scratch_path
+from ..session import listing, scratch_path
 from ..sources import readers as R
 from ..sources import writers as W
 from .registry import query
@@ -188,11 +189,12 @@ def episode_catalog(t):
     """One metadata file per episode in a folder per show and episode, read by the operator itself."""
     path = scratch_path(t.spark, "shows")
     show = F.concat(F.lit("show"), (F.col("episode_id") % 5).cast("string"))
-    t.seg.select("episode_id").distinct().select(
+    docs = t.seg.select("episode_id").distinct().select(
         show.alias("show"), F.col("episode_id").cast("string").alias("dir"),
         F.to_json(F.struct(F.when(F.col("episode_id") % 4 != 0, show).alias("show_slug"),
                            F.concat(F.lit("S01E"), (F.col("episode_id") % 60).cast("string")).alias("episode_id"))).alias("value"),
-    ).repartition("dir").write.partitionBy("show", "dir").text(path)
+    )
+    wide(docs, "dir").write.options(**W.MOVED_BY_TASKS).partitionBy("show", "dir").text(path)
     return R.episode_catalog(t.spark, path, "*/*/*.txt", show_at=-3).select("show_slug", "episode_id", "dir", "label")
 
 
@@ -216,4 +218,6 @@ def write_transcript_text(t):
 
     path = scratch_path(t.spark, "text")
     W.write_lines(render_text(t.seg), path, ["section", "pos", "sub"])
-    return t.spark.read.text(path).groupBy(F.col("episode_id").cast("bigint").alias("episode_id")).agg(F.count(F.lit(1)).alias("n_lines"))
+    with listing(t.spark, 8 * t.spark.sparkContext.defaultParallelism):
+        written = t.spark.read.text(path)
+    return written.groupBy(F.col("episode_id").cast("bigint").alias("episode_id")).agg(F.count(F.lit(1)).alias("n_lines"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE
+from ..session import listing
 
 # Record layouts of the exchanged files.  Numbers are read as text
 # so that a malformed value costs one field, not the record.
@@ -229,10 +230,9 @@ def episode_catalog(
     ``show_at`` is the place of the show's folder in the path, from its end; ``name=`` before a folder's value
     (partitioned tables) is left out.  A missing slug or id takes the folder's name.
     """
-    docs = (
-        spark.read.schema(METADATA).option("multiLine", True).json(f"{root}/{pattern}")
-        .withColumn("path", F.col("_metadata.file_path"))
-    )
+    with listing(spark, 8 * spark.sparkContext.defaultParallelism):
+        docs = spark.read.schema(METADATA).option("multiLine", True).json(f"{root}/{pattern}")
+    docs = docs.withColumn("path", F.col("_metadata.file_path"))
     folder = lambda at: F.regexp_replace(F.url_decode(F.element_at(F.split("path", "/"), at)), "^[a-z_]+=", "")
     return label_catalog(
         docs.select(

@@ -9,10 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.blocks import tasks
 from ..functions.text import ms_fixed3
 from ..operators.alignment import best_overlap
 
 
+#: Many small files: each task moves its own into place, not the driver all of them one by one when the job ends.  A job
+#: that fails may leave files behind, so the path must be a new one.
+MOVED_BY_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
 def _seconds(ms: Column) -> Column:
     return ms / F.lit(1000.0)
 
@@ -26,11 +32,12 @@ def write_lines(
     then a number of even part files instead of one small file per recording.
     """
     keys = ["episode_id", *order]
-    rows = lines.repartitionByRange(*keys).sortWithinPartitions(*keys).select(
+    # Small lines, but a folder and a file for each episode: a counted number of tasks creates them.
+    rows = lines.repartitionByRange(*([tasks(lines)] if per_episode else []), *keys).sortWithinPartitions(*keys).select(
         "episode_id", F.col(text).alias("value")
     )
     if per_episode:
-        rows.write.partitionBy("episode_id").text(path)
+        rows.write.options(**MOVED_BY_TASKS).partitionBy("episode_id").text(path)
     else:
         rows.select("value").write.text(path)
 
