@@ -179,3 +179,64 @@ def test_small_files_are_made_by_many_tasks(spark, tmp_path):
     assert len(made) == 64 and len({p.name.split("-")[1] for p in made}) > 3
     spark.read.text(str(tmp_path / "text")).createOrReplaceTempView("small_files")
     assert spark.sql("select count(distinct episode_id) from small_files").first()[0] == 64
+
+
+class _State:
+    def __init__(self):
+        self.rows = []
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return iter(self.rows)
+
+    def appendValue(self, row):
+        self.rows.append(row)
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def clear(self):
+        self.rows = []
+
+
+def test_words_that_come_together_are_one_state_row():
+    """A state row for each word was nearly all of the time of an alignment."""
+    import pandas as pd
+
+    from turnlake.streaming.live_align import FirstOwner
+
+    class One(_State):
+        def get(self):
+            return self.rows[0]
+
+        def update(self, row):
+            self.rows = [row]
+
+    class Handle:
+        def __init__(self):
+            self.states, self.timers = {}, []
+
+        def getListState(self, name, schema):
+            return self.states.setdefault(name, _State())
+
+        def getValueState(self, name, schema):
+            return self.states.setdefault(name, One())
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    handle, owner = Handle(), FirstOwner()
+    owner.init(handle)
+    n = 500
+    batch = pd.DataFrame({"is_word": [True] * n, "close_ms": [10_000 * (1 + k // 25) for k in range(n)], "seg_id": range(n), "word_idx": [1] * n,
+                          "mid2": [800 * k for k in range(n)], "t_start": [None] * n, "t_end": [None] * n, "turn_id": [None] * n, "speaker": [None] * n})
+    list(owner.handleInputRows((1,), iter([batch]), None))
+    assert len(handle.states["words"].rows) == 1 and handle.timers == [10_000]
