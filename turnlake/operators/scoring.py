@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.blocks import spread, wide
+from ..functions.blocks import spread, tasks, wide
 from ..functions.intervals import floor_div, last_writer_cells, union_lengths
 from ..functions.ordered import prefix_scan
 from ..functions.text import exact_round, norm_words, words_of
@@ -22,8 +22,10 @@ FRAME_MS = 10
 TICK_MS = 100
 FRAME_BUCKET = 1500
 TILE = 4096
+#: Tokens of the pairs that one task aligns, by which their tasks grow.
+TASK_TOKENS = 1 << 22
 #: Tokens of a text that is one row; cells beside the diagonal at first, and at most.
-WHOLE, FIRST_BAND, WIDEST = 4 * TILE, 64, 1 << 16
+WHOLE, FIRST_BAND, WIDEST = 64 * TILE, 64, 1 << 16
 
 # --- word edit distance ---------------------------------------------------------
 # Each cell of the alignment matrix carries its cost and the deletions on its path.
@@ -146,23 +148,83 @@ def _edit_batch(refs: list[np.ndarray], hyps: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _edit_pair(ref: list, hyp: list, strip: int = 8192, span: int = 1024) -> tuple[int, int]:
+    """(cost, deletions) of one pair; the matrix is made in strips of ``ref`` words, a column of a strip in one integer.
+
+    Neighbouring cells differ by -1, 0 or 1, so a column is two bit sets (Myers, in the form of Hyyro).  The way back from the last
+    cell chooses as everywhere here.  Every ``span``-th column is kept; the tiles on the way back are made again.
+    """
+    m, n = len(ref), len(hyp)
+
+    def places(s: int) -> tuple[dict, int]:
+        at: dict = {}
+        words = ref[s * strip : (s + 1) * strip]
+        for i, word in enumerate(words):
+            at[word] = at.get(word, 0) | 1 << i
+        return at, len(words)
+
+    def tile(at: dict, size: int, words: list, steps: bytes, above: int, below: int) -> tuple:
+        """Columns right of (above, below): cells equal to their diagonal neighbour, cells one more than the cell above, and
+        the steps along the last row.  ``steps`` are those along the row above the strip, plus one."""
+        every, last = (1 << size) - 1, size - 1
+        diagonal, deeper, out = [], [], bytearray()
+        for word, step in zip(words, steps):
+            found = at.get(word, 0) | (step == 0)
+            equal = (((found & above) + above) ^ above | found | below) & every
+            right, left = below | every ^ (above | equal), above & equal
+            out.append(1 + (right >> last) - (left >> last))
+            right = (right << 1 | (step == 2)) & every
+            above, below = (left << 1 | (step == 0) | every ^ (right | equal)) & every, right & equal
+            diagonal.append(equal)
+            deeper.append(above)
+        return diagonal, deeper, out, above, below
+
+    marks, rows, made, diagonal, deeper = {}, [], None, [], []
+    steps = bytes([2]) * n
+    for s in range(-(-m // strip)):
+        at, size = places(s)
+        above, below, out = (1 << size) - 1, 0, bytearray()
+        for k in range(-(-n // span)):
+            marks[s, k] = above, below
+            diagonal, deeper, more, above, below = tile(at, size, hyp[k * span : (k + 1) * span], steps[k * span : (k + 1) * span], above, below)
+            made, out = (s, k), out + more
+        rows.append(steps)
+        steps = bytes(out)
+    i, j, cost, dels = m, n, 0, 0
+    strip_at = made and made[0]
+    while i and j:
+        s, k = (i - 1) // strip, (j - 1) // span
+        if made != (s, k):
+            if strip_at != s:
+                (at, size), strip_at = places(s), s
+            diagonal, deeper, *_ = tile(at, size, hyp[k * span : (k + 1) * span], rows[s][k * span : (k + 1) * span], *marks[s, k])
+            made = s, k
+        top, left = s * strip, k * span
+        while i > top and j > left:
+            if ref[i - 1] == hyp[j - 1]:
+                i, j = i - 1, j - 1
+                continue
+            cost += 1
+            if not diagonal[j - left - 1] >> (i - top - 1) & 1:
+                i, j = i - 1, j - 1
+            elif deeper[j - left - 1] >> (i - top - 1) & 1:
+                i, dels = i - 1, dels + 1
+            else:
+                j -= 1
+    return cost + i + j, dels + i
+
+
 _EDIT = T.StructType([T.StructField("cost", T.LongType()), T.StructField("dels", T.LongType())])
 
 
 @F.pandas_udf(_EDIT)
 def _edit_udf(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     out = np.zeros((len(ref), 2), dtype=np.int64)
-    if not len(ref):
-        return pd.DataFrame({"cost": out[:, 0], "dels": out[:, 1]})
-    size = np.array([max(len(a), len(b)) for a, b in zip(ref, hyp)])
-    order = np.argsort(size, kind="stable")
-    at = 0
-    while at < len(order):
-        # Pairs of similar size share a batch of at most about two million cells wide.
-        take = max(1, min(64, 200_000 // max(1, int(size[order[min(at + 63, len(order) - 1)]]))))
-        chunk = order[at : at + take]
-        out[chunk] = _edit_batch([ref.iloc[k] for k in chunk], [hyp.iloc[k] for k in chunk])
-        at += take
+    size = np.array([max(len(a), len(b)) for a, b in zip(ref, hyp)], dtype=np.int64)
+    for k in np.flatnonzero(size <= WHOLE):
+        out[k] = _edit_pair(ref.iloc[k].tolist(), hyp.iloc[k].tolist())
+    for k in np.flatnonzero(size > WHOLE):
+        out[k] = _edit_batch([ref.iloc[k]], [hyp.iloc[k]])[0]
     return pd.DataFrame({"cost": out[:, 0], "dels": out[:, 1]})
 
 
@@ -218,16 +280,17 @@ def edit_counts_blocks(
         F.col("__len_r").alias("num_words"), F.col("__longer").alias("num_errors"),
     )
     both = size.filter((F.col("__len_r") > 0) & (F.col("__len_h") > 0))
-    longest = both.agg(F.max("__longer")).first()[0]
+    fits = F.col("__longer") <= whole
+    longest, tokens = both.agg(F.max("__longer"), F.sum(F.when(fits, F.col("__len_r") + F.col("__len_h")))).first()
     if longest is None:
         return out
     text = lambda df, at, toks: df.groupBy(*keys).agg(  # noqa: E731  at most ``whole`` tokens a row
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(at, toks))), lambda s: s[toks])).alias(toks)
     )
-    small = both.filter(F.col("__longer") <= whole)
-    short = small.select(*keys)
+    short = both.filter(fits).select(*keys)
     pairs = text(r.join(short, list(keys), "left_semi"), "bi", "rt").join(text(h.join(short, list(keys), "left_semi"), "bj", "ht"), list(keys))
-    near = spread(pairs, *keys).withColumn("__e", _edit_udf("rt", "ht")).withColumns({"__m": F.size("rt"), "__n": F.size("ht")})
+    laid = pairs.repartition(max(tasks(pairs), (tokens or 0) // TASK_TOKENS), F.xxhash64(*keys))
+    near = laid.withColumn("__e", _edit_udf("rt", "ht")).withColumns({"__m": F.size("rt"), "__n": F.size("ht")})
     out = out.unionByName(near.select(*keys, *_counts(F.col("__e.cost"), F.col("__e.dels"), F.col("__m"), F.col("__n"))))
     if longest <= whole:
         return out
@@ -527,6 +590,11 @@ def token_blocks(tokens: DataFrame, keys: Sequence[str], order: Sequence[str], b
     parts = tokens.withColumn("__bucket", bucket).groupBy(*keys, "__bucket").agg(
         F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["__t"]).alias("toks")
     )
+    return _cut_blocks(parts, keys, tile)
+
+
+def _cut_blocks(parts: DataFrame, keys: Sequence[str], tile: int) -> DataFrame:
+    """Blocks from (keys.., __bucket, toks), the tokens of each bucket in order."""
     before = F.coalesce(F.sum(F.size("toks")).over(W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = parts.withColumn("__at", before).withColumn("b", F.explode(F.sequence(floor_div(F.col("__at"), tile), floor_div(F.col("__at") + F.size("toks") - 1, tile))))
     first = F.greatest(F.col("b") * tile - F.col("__at"), F.lit(0))
@@ -535,10 +603,14 @@ def token_blocks(tokens: DataFrame, keys: Sequence[str], order: Sequence[str], b
     return cut.groupBy(*keys, "b").agg(F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda s: s["toks"])).alias("toks"))
 
 
-def text_blocks(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Blocks of the joined segment texts of each key."""
-    rows = segments.select(*keys, "seg_id", F.posexplode(norm_words(F.col("text"))).alias("i", "tok"))
-    return token_blocks(rows, keys, ["seg_id", "i"], floor_div(F.col("seg_id"), 64))
+def text_blocks(segments: DataFrame, keys: Sequence[str], tile: int = TILE) -> DataFrame:
+    """Blocks of the joined segment texts of each key; a segment's tokens travel as one array."""
+    toks = F.coalesce(_tokens(norm_words(F.col("text"))), F.array().cast("array<bigint>"))
+    rows = segments.select(*keys, floor_div(F.col("seg_id"), 64).alias("__bucket"), F.struct("seg_id", toks.alias("toks")).alias("__seg"))
+    parts = rows.groupBy(*keys, "__bucket").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list("__seg")), lambda s: s["toks"])).alias("toks")
+    )
+    return _cut_blocks(parts.filter(F.size("toks") > 0), keys, tile)
 
 
 def document_wer(ref: DataFrame, hyp: DataFrame, keys: Sequence[str]) -> DataFrame:
